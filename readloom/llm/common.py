@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one block (a group of documents handled together) aims at.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 3 << 20
 #: Blocks' text bytes for each shard of the corpus counter.
 SHARD_BYTES = 16 << 20
 
@@ -121,7 +121,8 @@ def corpus_counts(
     (shard, block, hashes, counts) goes to the shard of each range of hashes. A shard sums over all
     blocks and answers each with counts in the order of its hashes, which the block knows and need not
     get back. A frequent feature is one entry a block, however often it occurs, so no key is hot.
-    Returns (block, shard, counts).
+    Returns (block, shard, counts, n_odd, total_odd): the last two are how many odd hashes the shard has with a count
+    above 0, and the sum of their counts. Every block asks every shard, so a block that adds these up has corpus totals.
     """
     bounds = shard_bounds(n_shards)
 
@@ -147,13 +148,22 @@ def corpus_counts(
         np.add.at(totals, where, counts)
         cuts = np.cumsum([len(x) for x in asked])[:-1]
         out = [pack_counts(totals[w]) for w in np.split(where, cuts)]
-        return pa.table({"block": table["from"], "shard": table["shard"], "counts": pa.array(out, pa.binary())})
+        odd = totals[(known & np.uint64(1)) == 1]
+        return pa.table(
+            {
+                "block": table["from"],
+                "shard": table["shard"],
+                "counts": pa.array(out, pa.binary()),
+                "n_odd": pa.array([int(np.count_nonzero(odd))] * len(out), pa.int64()),
+                "total_odd": pa.array([int(odd.sum())] * len(out), pa.int64()),
+            }
+        )
 
     return (
         blocked.groupBy("block")
         .applyInArrow(ask, "shard int, from int, hashes binary, counts binary")
         .groupBy("shard")
-        .applyInArrow(answer, "block int, shard int, counts binary")
+        .applyInArrow(answer, "block int, shard int, counts binary, n_odd long, total_odd long")
     )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm import decontam, htmltext, langid, linededup, quality, warc
+from readloom.llm import decontam, htmltext, langid, linededup, neardup, ngramlm, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,14 +43,31 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramlm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = langid.identify_language(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op3_html_extraction, op4_line_dedup, op5_decontamination, op6_warc, op8_language_id)
+    for f in (
+        op1_quality_rules,
+        op3_html_extraction,
+        op4_line_dedup,
+        op5_decontamination,
+        op6_warc,
+        op7_lm_scoring,
+        op8_language_id,
+        op10_near_duplicates,
+    )
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

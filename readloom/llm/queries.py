@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm import decontam, htmltext, langid, linededup, neardup, ngramlm, quality, warc
+from readloom.llm import decontam, htmltext, langid, licenses, linededup, neardup, ngramlm, packing, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,19 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's licences: their names, the best match and its Dice coefficient."""
+    out = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    best = F.array_max(F.transform("matches", lambda m: F.struct(m["dice"].alias("dice"), m["license"].alias("license"))))
+    return out.select(
+        "doc_id",
+        F.size("matches").cast("long").alias("n_licenses"),
+        F.concat_ws(",", F.transform("matches", lambda m: m["license"])).alias("licenses"),
+        best["license"].alias("best_license"),
+        F.coalesce(best["dice"], F.lit(0.0)).alias("best_dice"),
+    )
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_text(table(spark, sf_dir, "pages"))
 
@@ -52,6 +65,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -60,12 +77,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules,
+        op2_license_scan,
         op3_html_extraction,
         op4_line_dedup,
         op5_decontamination,
         op6_warc,
         op7_lm_scoring,
         op8_language_id,
+        op9_packing,
         op10_near_duplicates,
     )
 }

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.llm.common import (
@@ -292,6 +292,16 @@ def connected(pairs: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
+def text_classes(docs: DataFrame) -> DataFrame:
+    """(digest, rep, class, copies) of each distinct text of `docs` that is not null."""
+    n = docs.where("text is not null").agg(F.count("*").alias("docs"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    _, reps = distinct_texts(docs)
+    sets = materialize(weighted_sets(docs, reps, n["docs"], n["bytes"] or 0), "sets")
+    classes = connected(similar_pairs(sets))
+    joined = reps.join(classes, reps["rep"] == classes["node"], "left")
+    return materialize(joined.select("digest", "rep", F.coalesce("label", "rep").alias("class"), "copies"), "classes")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, copies) of each row of `docs`.
 
@@ -300,16 +310,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     class_id its least doc_id. copies is how many rows have the same text. Null texts are alone in their class (of
     their doc_id); texts without words link to nothing but equal texts. Rows of one doc_id may be in several classes.
     """
-    n = docs.where("text is not null").agg(F.count("*").alias("docs"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    rows, reps = distinct_texts(docs)
-    sets = materialize(weighted_sets(docs, reps, n["docs"], n["bytes"] or 0), "sets")
-    classes = connected(similar_pairs(sets))
-    of_text = materialize(
-        reps.join(classes, reps["rep"] == classes["node"], "left").select("digest", F.coalesce("label", "rep").alias("class"), "copies"), "classes"
-    )
-    null = F.lit(NULL_ID)
-    return rows.join(of_text, "digest", "left").select(
+    rows, _ = distinct_texts(docs)
+    return rows.join(text_classes(docs), "digest", "left").select(
         "doc_id",
-        F.coalesce(F.when(F.col("class") != null, F.col("class")), "doc_id").alias("class_id"),
+        F.coalesce(F.when(F.col("class") != NULL_ID, F.col("class")), "doc_id").alias("class_id"),
         F.coalesce("copies", F.lit(1)).alias("copies"),
     )
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` that stay: of each class the one with the least doc_id, once if it is repeated, and all
+    rows with a null text."""
+    stays = text_classes(docs).where("rep = class").select(F.col("digest").alias("of_digest"), F.col("rep").alias("of_rep"))
+    keyed = docs.withColumn("of_text", F.unhex(F.sha2("text", 256))).withColumn("of_id", F.coalesce("doc_id", F.lit(NULL_ID)))
+    kept = keyed.join(stays, (F.col("of_text") == F.col("of_digest")) & (F.col("of_id") == F.col("of_rep")))
+    first = F.row_number().over(Window.partitionBy("of_text", "of_id").orderBy(F.lit(0)))
+    return kept.withColumn("of_row", first).where("of_row = 1").select(docs.columns).unionByName(docs.where("text is null"))

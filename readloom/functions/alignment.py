@@ -120,7 +120,7 @@ def nm_tag(ops: Column, seq: Column, ref: Column) -> Column:
 
 def xd_from_md(md: Column) -> Column:
     """XD: MD without zeros that stand alone between letters, with `$` where a deletion ends."""
-    closed = F.regexp_replace(md, r"(\^[^0-9]+)(?=[0-9])", r"$1\$")
+    closed = F.regexp_replace(md, r"(\^[^0-9]*)(?=[0-9])", r"$1\$")
     return F.regexp_replace(closed, r"(?<![0-9])0(?![0-9])", "")
 
 

@@ -26,11 +26,14 @@ NOT_CONTENT = frozenset(
 )
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 HINTS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline-share comment comments consent "
-    "cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices "
-    "notification pagination popup popover promo promotion recommended related replies reply respond share sharing "
-    "sidebar signup skip social sponsor sponsored subscribe subscription tagcloud toolbar topbar widget widgets".split()
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies "
+    "disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification pagination "
+    "popup popover promo promotion recommended related replies reply respond share sharing sidebar signup skip social "
+    "sponsor sponsored subscribe subscription tagcloud toolbar topbar widget widgets".split()
 )
+#: Those that count inside of a hyphenated name too, and first parts of names that only speak of them.
+HINT_PARTS = HINTS - frozenset("banner login modal notification related respond skip widget widgets".split())
+ABOUT = frozenset("has is no with without".split())
 #: Elements that are closed when one of these starts inside them.
 CLOSED_BY = {"p": BLOCK, "li": frozenset(["li"]), "option": frozenset(["option"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"])}
 #: Width of the Gaussian, in lines, and the share of the deviation that a line must reach.
@@ -62,7 +65,8 @@ def _hinted(attrs: list[tuple[str, str | None]]) -> bool:
             return True
         if name in ("class", "id"):
             words = value.lower().split()
-            if not HINTS.isdisjoint(words) or not HINTS.isdisjoint(p for w in words for p in re.split(r"[-_]", w)):
+            parts = [p for p in (re.split(r"[-_]+", w) for w in words) if p[0] not in ABOUT]
+            if not HINTS.isdisjoint(words) or not HINT_PARTS.isdisjoint(x for p in parts for x in p):
                 return True
     return False
 
@@ -111,6 +115,8 @@ class LineParser(HTMLParser):
         outside = tag == "header" and not top.region
         hidden = top.hidden or tag in NOT_CONTENT or outside or (tag not in ("html", "body", "article", "main") and _hinted(attrs))
         hidden = hidden or (tag == "article" and _hinted([a for a in attrs if a[0] in ("class", "id", "role")]))
+        if tag == "main":  # a page's one main part is shown, whatever the names around it
+            hidden = False
         region = top.region
         if tag in ("article", "main") and not hidden:
             self._regions += 1

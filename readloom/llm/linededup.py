@@ -198,20 +198,19 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int =
     and the fingerprint checks half. Null and empty texts are one empty line. Rows of one doc_id count as one
     document each for `min_docs` and all keep the line if theirs is the largest id; null ids sort below all others.
     """
-    clash = [c for c in docs.columns if c in ("kept_text", "n_lines", "n_dropped", "lost")]
-    docs = docs.drop(*clash)
+    docs = docs.drop("kept_text", "n_lines", "n_dropped")  # columns of these names are replaced
     n_lines = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n_shards = max(1, min(1 << 20, n_lines // (64 * SHARD_KEYS)))
     index = line_index(line_hashes(docs, n_shards, min_chars).where(F.col("n_docs") >= min_docs))
     lost = probe(line_probes(docs, n_shards, min_chars), index, min_docs)
-    lost = lost.groupBy("doc_id").agg(F.collect_list("keys").alias("lost")).withColumnRenamed("doc_id", "lost_id")
-    joined = docs.join(lost, F.coalesce(docs["doc_id"], F.lit(-(1 << 63))) == lost["lost_id"], "left").drop("lost_id")
+    lost = lost.groupBy("doc_id").agg(F.collect_list("keys").alias("_lost")).withColumnRenamed("doc_id", "_lost_id")
+    joined = docs.join(lost, F.coalesce(docs["doc_id"], F.lit(-(1 << 63))) == lost["_lost_id"], "left").drop("_lost_id")
     names = docs.columns
 
     def rewrite(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows):
             kept, n, gone = [], [], []
-            for data, keys in zip(utf8(batch.column("text")), batch.column("lost").to_pylist(), strict=True):
+            for data, keys in zip(utf8(batch.column("text")), batch.column("_lost").to_pylist(), strict=True):
                 lines = data.split(b"\n")
                 stay = lines
                 if keys:

@@ -57,16 +57,9 @@ def nm(cigar, seq, ref):
 
 
 def xd(md_text):
-    out, deleting = "", False
-    for i, c in enumerate(md_text):
-        if c == "^":
-            deleting = True
-        elif c.isdigit() and deleting:
-            out, deleting = out + "$", False
-        alone = not (i and md_text[i - 1].isdigit()) and not (i + 1 < len(md_text) and md_text[i + 1].isdigit())
-        if c != "0" or not alone:
-            out += c
-    return out
+    """By tokens: a run of 0 goes, a deletion gets its end mark."""
+    tokens = re.findall(r"(\d+)|(\^\D*)|(\D)", md_text)
+    return "".join(("" if run == "0" else run) or (gone and f"{gone}$") or base for run, gone, base in tokens)
 
 
 def split(cigar, seq, ref):

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: Text bytes that one block (a group of documents handled together) aims at.
 BLOCK_BYTES = 3 << 20
 #: Blocks' text bytes for each shard of the corpus counter.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -105,26 +105,28 @@ def unpack_counts(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(8, -1).T).reshape(-1).view("<u8").astype(np.int64)
 
 
-def shard_bounds(n_shards: int) -> np.ndarray:
-    """First hash of each shard; shards are ranges of hashes, so that a sorted array is cut by search."""
-    return (np.arange(1, n_shards, dtype=np.float64) * (2.0**64 / n_shards)).astype(np.uint64)
+def shard_bounds(n_shards: int, bits: int = 64) -> np.ndarray:
+    """First hash of each shard but the first; shards are equal ranges of hashes of so many bits, so that a sorted array is
+    cut by search."""
+    return (np.arange(1, n_shards, dtype=np.float64) * (2.0**bits / n_shards)).astype(np.uint64)
 
 
 def corpus_counts(
     blocked: DataFrame,
     features: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]],
     n_shards: int,
+    bits: int = 64,
 ) -> DataFrame:
     """Corpus-wide counts of hashed features, sent back to each block that asked.
 
-    `features(table)` gives a block's distinct hashes, sorted, and their counts there. One row
+    `features(table)` gives a block's distinct hashes of `bits` bits, sorted, and their counts there. One row
     (shard, block, hashes, counts) goes to the shard of each range of hashes. A shard sums over all
     blocks and answers each with counts in the order of its hashes, which the block knows and need not
     get back. A frequent feature is one entry a block, however often it occurs, so no key is hot.
     Returns (block, shard, counts, n_odd, total_odd): the last two are how many odd hashes the shard has with a count
     above 0, and the sum of their counts. Every block asks every shard, so a block that adds these up has corpus totals.
     """
-    bounds = shard_bounds(n_shards)
+    bounds = shard_bounds(n_shards, bits)
 
     def ask(table: pa.Table) -> pa.Table:
         hashes, counts = features(table)

@@ -22,6 +22,8 @@ from readloom.llm.common import (
 
 #: Words in a shingle.
 SHINGLE = 5
+#: Bits of a shingle's hash.
+HASH_BITS = 56
 SIMILARITY = 0.8
 #: Samples in a band, and bands: at similarity 0.8 a pair shares none with a chance of (1 - 0.8**3)**12, 2 in 10,000.
 ROWS, BANDS = 3, 12
@@ -39,7 +41,7 @@ def words(text: str | None) -> list[bytes]:
 
 
 def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, hash, times) of each distinct shingle of each text, sorted by both; hashes have 56 bits. A text of fewer
+    """(text, hash, times) of each distinct shingle of each text, sorted by both; hashes have HASH_BITS bits. A text of fewer
     than SHINGLE words, but not none, is one shingle."""
     tokens = TokenHashes()
     parts = [tokens.of(words(x)) for x in texts]
@@ -53,7 +55,7 @@ def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         shifted = np.concatenate([np.zeros(min(back, len(flat)), np.uint64), flat[: max(0, len(flat) - back)]])
         run = np.where(back < length, mix(run, shifted), run)
     whole = depth >= length - 1
-    owner, run = owner[whole], run[whole] >> np.uint64(8)
+    owner, run = owner[whole], run[whole] >> np.uint64(64 - HASH_BITS)
     order = np.lexsort((run, owner))
     owner, run = owner[order], run[order]
     first = np.ones(len(run), bool)
@@ -184,7 +186,7 @@ def weighted_sets(docs: DataFrame, reps: DataFrame, n_docs: int, n_bytes: int) -
     rows = keyed.select("block", "ident", "digest", "text", F.lit(None).cast("long").alias("copies")).unionByName(
         own.select("block", F.col("rep").alias("ident"), "digest", F.lit(None).cast("string").alias("text"), "copies")
     )
-    answers = corpus_counts(rows, ask, shard_count(n_bytes))
+    answers = corpus_counts(rows, ask, shard_count(n_bytes), HASH_BITS)
     return (
         rows.groupBy("block")
         .cogroup(answers.groupBy("block"))
@@ -321,8 +323,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay: of each class the one with the least doc_id, once if it is repeated, and all
     rows with a null text."""
-    stays = text_classes(docs).where("rep = class").select(F.col("digest").alias("of_digest"), F.col("rep").alias("of_rep"))
-    keyed = docs.withColumn("of_text", F.unhex(F.sha2("text", 256))).withColumn("of_id", F.coalesce("doc_id", F.lit(NULL_ID)))
-    kept = keyed.join(stays, (F.col("of_text") == F.col("of_digest")) & (F.col("of_id") == F.col("of_rep")))
-    first = F.row_number().over(Window.partitionBy("of_text", "of_id").orderBy(F.lit(0)))
-    return kept.withColumn("of_row", first).where("of_row = 1").select(docs.columns).unionByName(docs.where("text is null"))
+    stays = text_classes(docs).where("rep = class").select(F.col("digest").alias("_of_digest"), F.col("rep").alias("_of_rep"))
+    keyed = docs.withColumn("_of_text", F.unhex(F.sha2("text", 256))).withColumn("_of_id", F.coalesce("doc_id", F.lit(NULL_ID)))
+    kept = keyed.join(stays, (F.col("_of_text") == F.col("_of_digest")) & (F.col("_of_id") == F.col("_of_rep")))
+    first = F.row_number().over(Window.partitionBy("_of_text", "_of_id").orderBy(F.lit(0)))
+    return kept.withColumn("_of_row", first).where("_of_row = 1").select(docs.columns).unionByName(docs.where("text is null"))

@@ -45,7 +45,7 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return (
         cut.groupBy(F.slice("w", F.col("start") + 1, F.lit(window)).alias("words"))
         .agg(F.array_sort(F.collect_set("item")).alias("items"))
-        .withColumn("wid", F.sha2(F.concat_ws(" ", "words"), 256))
+        .withColumn("wid", F.unhex(F.md5(F.concat_ws(" ", "words"))))
     )
 
 
@@ -92,25 +92,22 @@ def phrase_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, anch
     chosen = materialize(rarest_terms(docs, windows, anchors), "anchors")
     index = materialize(postings(docs, chosen.select("term").distinct()), "postings")
     places = phrase_candidates(index, chosen).join(windows, "wid")
-    places = places.groupBy(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash")).agg(
-        F.collect_list(F.struct("start", "words", "items")).alias("places")
+    places = places.groupBy(F.col("doc_id").alias("_of_id"), F.col("text_hash").alias("_of_hash")).agg(
+        F.collect_list(F.struct("start", "words", "items")).alias("_places")
     )
     places = materialize(places, "places")
-    kept = [c for c in docs.columns if c not in ("n_words", "occurrences", "text_hash", "places", "raw", "of_id", "of_hash")]
-    keyed = docs.select(*kept, F.xxhash64("text").alias("text_hash"), raw_words(F.col("text")).alias("raw"))
-    joined = keyed.join(places, keyed["doc_id"].eqNullSafe(places["of_id"]) & (keyed["text_hash"] == places["of_hash"]), "left")
-    exact = F.when(F.col("places").isNotNull(), ascii_lower(F.col("raw")))
-    found = F.filter("places", lambda p: F.slice("words", p["start"] + 1, F.size(p["words"])) == p["words"])
+    kept = [c for c in docs.columns if c not in ("n_words", "occurrences")]
+    same = docs["doc_id"].eqNullSafe(places["_of_id"]) & (F.xxhash64(docs["text"]) == places["_of_hash"])
+    # words are cut after the join, so that a shuffle moves the text alone
+    joined = docs.select(kept).join(places, same, "left").withColumn("_raw", raw_words(F.col("text")))
+    exact = F.when(F.col("_places").isNotNull(), ascii_lower(F.col("_raw")))
+    found = F.filter("_places", lambda p: F.slice("_words", p["start"] + 1, F.size(p["words"])) == p["words"])
+    occurrences = F.transform(found, lambda p: F.struct(p["start"].alias("start"), F.size(p["words"]).alias("len"), p["items"].alias("items")))
+    none = F.array().cast("array<struct<start:int,len:int,items:array<string>>>")
     return (
-        joined.withColumn("n_words", F.size("raw").cast("long"))
-        .withColumn("words", exact)
-        .withColumn(
-            "occurrences",
-            F.coalesce(
-                F.transform(found, lambda p: F.struct(p["start"].alias("start"), F.size(p["words"]).alias("len"), p["items"].alias("items"))),
-                F.array().cast("array<struct<start:int,len:int,items:array<string>>>"),
-            ),
-        )
+        joined.withColumn("n_words", F.size("_raw").cast("long"))
+        .withColumn("_words", exact)
+        .withColumn("occurrences", F.coalesce(occurrences, none))
         .select(*kept, "n_words", "occurrences")
     )
 
@@ -134,7 +131,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     Null texts and texts without words have no hits. Items without words have no window; an item with a null id
     counts for n_hit but is not listed. Repeated documents are each judged; repeated items count once.
     """
-    added = ("n_hit", "n_items", "items", "contaminated")
+    added = ("n_hit", "n_items", "items", "contaminated")  # columns of these names are replaced
     matched = phrase_matches(docs.drop(*added), items, window)
     listed = F.array_sort(F.array_distinct(F.flatten(F.transform("occurrences", lambda o: o["items"]))))
     return (

@@ -166,6 +166,12 @@ def test_html_main_text(wrap):
     assert htmltext.extract(PAGE % (wrap % BODY)) == TEXT
 
 
+def test_html_names_that_only_speak_of_boilerplate():
+    wrapped = f'<div class="layout has-sidebar elementor-widget-text"><div class="sidebar-left">S</div>{BODY}</div>'
+    assert htmltext.extract(PAGE % wrapped) == TEXT
+    assert htmltext.extract(PAGE % f'<div class="banner"><main>{BODY}</main></div>') == TEXT
+
+
 @pytest.mark.parametrize("html", [None, "", "<", "<p", "plain & simple", "<!-- x", "</p></p>", "<script>alert(1)", "&#xFFFFFFFF;", "<b>" * 5000 + "x"])
 def test_html_odd_pages(html):
     assert isinstance(htmltext.extract(html), str)
@@ -211,7 +217,34 @@ def test_line_dedup(request, which):
 
 def test_line_dedup_keeps_null_ids_and_clashing_columns(spark, odd):
     got = linededup.dedup_lines(odd.withColumn("n_lines", F.lit("x")).withColumn("lost", F.lit(1))).collect()
-    assert len(got) == len(ODD)
+    assert len(got) == len(ODD) and {r.lost for r in got} == {1}
+
+
+CLASHES = ("words", "block", "text_hash", "occurrences", "n_words", "items", "kept", "score", "held_out", "rep", "digest", "class", "start", "matches", "shard", "of_id")
+
+
+def test_clashing_columns(spark, sf_dir, odd):
+    """Extra columns, whatever their names, change no result; those that an operator adds are replaced."""
+    more = odd
+    for name in CLASHES:
+        more = more.withColumn(name, F.lit("mine"))
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    labels = spark.createDataFrame([(9, 1, 0)], "doc_id long, quality long, toxic long")
+    forms = {
+        "quality": lambda d: quality.quality_rules(d, labels).drop("threshold"),
+        "licenses": licenses.scan_licenses,
+        "lines": lambda d: linededup.dedup_lines(d).select("doc_id", "kept_text", "n_dropped"),
+        "decontam": lambda d: decontam.decontaminate(d, items).select("doc_id", "n_words", "n_hit", "contaminated"),
+        "lm": lambda d: ngramlm.score_documents(d).select("doc_id", "n_tokens", F.round("score", 6)),
+        "language": lambda d: langid.identify_language(d).select("doc_id", "lang_pred", "held_out"),
+        "packing": lambda d: packing.pack_documents(d, with_ids=False).groupBy("doc_id").agg(F.sum("length")),
+        "near": neardup.near_duplicates,
+        "stays": lambda d: neardup.drop_near_duplicates(d).select("doc_id", "text"),
+    }
+    for name, form in forms.items():
+        assert Counter(map(str, form(more).collect())) == Counter(map(str, form(odd).collect())), name
+    kept = decontam.decontaminate(more, items)
+    assert {r.words for r in kept.collect()} == {"mine"}
 
 
 def test_perfect_hash():
@@ -558,6 +591,14 @@ def test_weighted_samples_agree_as_often_as_similar():
     assert got == pytest.approx(neardup.weighted_jaccard(a, b), abs=0.04)
 
 
+def test_shards_get_equal_shares_of_shingles(docs):
+    from readloom.llm.common import shard_bounds
+
+    _, hashes, _ = neardup.shingles([r.text for r in docs.collect()])
+    share = np.bincount(np.searchsorted(shard_bounds(8, neardup.HASH_BITS), hashes, "right"), minlength=8) / len(hashes)
+    assert share.max() < 0.2
+
+
 def test_components_of_a_long_chain(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r.node: r.label for r in neardup.connected(pairs).collect()}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,8 @@ from readloom.llm.common import TokenHashes, batches, mix
 
 #: Least Dice coefficient of a match.
 THRESHOLD = 0.8
+#: Stretches that are compared at a time.
+CELLS = 1 << 20
 
 # Licence texts and notices, as published.
 TEMPLATES: dict[str, str] = {
@@ -74,6 +77,8 @@ TEMPLATES: dict[str, str] = {
         and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from
         any source distribution.""",
 }
+# The full texts lie beside this module, one a file; only the driver reads them.
+TEMPLATES |= {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
 _SPACED = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
 
@@ -95,13 +100,49 @@ def dice(a: np.ndarray, b: np.ndarray) -> float:
     return 2 * (x & y).total() / (len(a) + len(b))
 
 
-def best_stretch(hit: np.ndarray, threshold: float) -> tuple[int, int, float]:
-    """Begin, end and value of the run that has the largest 2 hits - threshold * size; ties: the first end, then the first begin."""
+def most_value(hit: np.ndarray, threshold: float) -> float:
+    """The largest 2 hits - threshold * size of any run."""
     sums = np.concatenate([[0.0], np.cumsum(2.0 * hit - threshold)])
-    lows = np.minimum.accumulate(sums)
-    end = int((sums[1:] - lows[:-1]).argmax()) + 1
-    begin = int(np.flatnonzero(sums[:end] == lows[end - 1])[0])
-    return begin, end, float(sums[end] - sums[begin])
+    return float((sums[1:] - np.minimum.accumulate(sums)[:-1]).max())
+
+
+def best_stretch(bag: np.ndarray, grams: np.ndarray, hits: np.ndarray, threshold: float) -> tuple[int, int, float] | None:
+    """Begin, end and Dice coefficient of the stretch of `grams` that is most like the bag, if it reaches the threshold;
+    ties: the first begin, then the first end. `hits` are the places of bigrams of the bag, in order.
+
+    Every stretch from a hit to a hit is compared whose size lets it reach the threshold; no other is better. A hit counts
+    in the stretches that begin after the place where its bigram stood as many bigrams earlier as the bag has of it.
+    """
+    size = len(bag)
+    known, times = np.unique(bag, return_counts=True)
+    number = np.searchsorted(known, grams[hits])
+    order = np.argsort(number, kind="stable")
+    of = number[order]
+    first = np.searchsorted(of, np.arange(len(known)))
+    rank = np.arange(len(order)) - first[of]
+    old = np.full(len(hits), -1, np.int64)
+    late = rank >= times[of]
+    old[order[late]] = hits[order[np.flatnonzero(late) - times[of[late]]]]
+    longest = int(size * (2 - threshold) / threshold + 1e-9)
+    ends = np.searchsorted(hits, hits + longest)  # hits in the longest stretch from each
+    best, found = threshold - 1e-12, None
+    # a begin needs as many hits after it as the threshold asks of the shortest stretch
+    begins = np.flatnonzero(2 * (ends - np.arange(len(hits))) >= threshold * (size + 1))
+    step = max(1, CELLS // max(1, longest))
+    for at in range(0, len(begins), step):
+        some = begins[at : at + step]
+        width = int((ends[some] - some).max())
+        cell = np.minimum(some[:, None] + np.arange(width), len(hits) - 1)
+        inside = some[:, None] + np.arange(width) < ends[some][:, None]
+        start = hits[some][:, None]
+        shared = np.cumsum(inside & (old[cell] < start), axis=1)
+        value = np.where(inside, 2.0 * shared / (hits[cell] - start + 1 + size), 0.0)
+        top = int(value.argmax())
+        if value.flat[top] > best:
+            row, column = divmod(top, width)
+            best = float(value.flat[top])
+            found = int(hits[some[row]]), int(hits[cell[row, column]]) + 1, best
+    return found
 
 
 class LicenseScanner:
@@ -109,7 +150,8 @@ class LicenseScanner:
 
     A stretch of b bigrams with h of a template of t reaches a Dice coefficient of d only if 2 h >= d (b + t). So a
     template is a candidate for a text only if the text has at least d t / (2 - d) bigrams, and as many of the
-    template; the stretch with the largest 2 h - d b must reach d t, and is then compared in full.
+    template; the largest 2 h - d b, hits counted without regard to how often the template has them, must reach d t. Then
+    all stretches from hit to hit are compared in full, so a template that stands twice near itself is found too.
     """
 
     def __init__(self, templates: dict[str, str], threshold: float = THRESHOLD):
@@ -135,10 +177,10 @@ class LicenseScanner:
         for k in np.flatnonzero(enough & (self.least > 0)):
             hit = np.zeros(len(grams), bool)
             hit[at[self.holds[k, number]]] = True
-            begin, end, value = best_stretch(hit, self.threshold)
-            if value >= self.threshold * len(self.bags[k]) - 1e-9:
-                d = dice(grams[begin:end], self.bags[k])
-                if d >= self.threshold:
+            if most_value(hit, self.threshold) >= self.threshold * len(self.bags[k]) - 1e-9:
+                found = best_stretch(self.bags[k], grams, np.flatnonzero(hit), self.threshold)
+                if found:
+                    begin, end, d = found
                     out.append((self.names[k], d, begin, end - begin + 1))
         return out
 

@@ -151,6 +151,35 @@ def test_license_scan_is_exhaustive(docs):
             assert (name in found) == (least >= scanner.threshold)
 
 
+@pytest.mark.parametrize("name", ["MIT", "Apache-2.0-notice", "GPL-3.0"])
+def test_license_scan_finds_a_text_that_stands_twice(name):
+    scanner = licenses.LicenseScanner(licenses.TEMPLATES)
+    text = licenses.normalised(licenses.TEMPLATES[name])
+    for gap in range(0, 301, 50):
+        words = [b"before", *text, *(b"w%d" % i for i in range(gap)), *text, b"after"]
+        found = {m[0]: m for m in scanner.scan(licenses.bigrams(words, licenses.TokenHashes()))}
+        assert found[name] == (name, 1.0, 1, len(text))
+
+
+def test_license_stretch_is_the_best_of_all():
+    rng = np.random.default_rng(11)
+    for _ in range(40):
+        bag = rng.integers(0, 8, rng.integers(1, 12)).astype(np.uint64)
+        grams = rng.integers(0, 12, 50).astype(np.uint64)
+        want = max(licenses.dice(grams[i:j], bag) for i in range(50) for j in range(i + 1, 51))
+        got = licenses.best_stretch(bag, grams, np.flatnonzero(np.isin(grams, bag)), 0.7)
+        assert (got[2] if got else 0.0) == pytest.approx(want if want >= 0.7 else 0.0)
+        assert not got or licenses.dice(grams[got[0] : got[1]], bag) == pytest.approx(got[2])
+
+
+def test_license_full_texts():
+    names = ["Apache-2.0", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"]
+    scanner = licenses.LicenseScanner(licenses.TEMPLATES)
+    for name in names:
+        found = {m[0] for m in scanner.scan(licenses.bigrams(licenses.normalised(licenses.TEMPLATES[name]), licenses.TokenHashes()))}
+        assert name in found
+
+
 # --- op3
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>

@@ -116,6 +116,7 @@ def corpus_counts(
     features: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]],
     n_shards: int,
     bits: int = 64,
+    tally: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None,
 ) -> DataFrame:
     """Corpus-wide counts of hashed features, sent back to each block that asked.
 
@@ -125,6 +126,7 @@ def corpus_counts(
     get back. A frequent feature is one entry a block, however often it occurs, so no key is hot.
     Returns (block, shard, counts, n_odd, total_odd): the last two are how many odd hashes the shard has with a count
     above 0, and the sum of their counts. Every block asks every shard, so a block that adds these up has corpus totals.
+    `tally(hashes, counts)` of a shard, if given, are further numbers to add up (column tally, packed).
     """
     bounds = shard_bounds(n_shards, bits)
 
@@ -159,13 +161,14 @@ def corpus_counts(
                 "n_odd": pa.array([int(np.count_nonzero(odd))] * len(out), pa.int64()),
                 "total_odd": pa.array([int(odd.sum())] * len(out), pa.int64()),
             }
+            | ({"tally": pa.array([pack_counts(tally(known, totals))] * len(out), pa.binary())} if tally else {})
         )
 
     return (
         blocked.groupBy("block")
         .applyInArrow(ask, "shard int, from int, hashes binary, counts binary")
         .groupBy("shard")
-        .applyInArrow(answer, "block int, shard int, counts binary, n_odd long, total_odd long")
+        .applyInArrow(answer, "block int, shard int, counts binary, n_odd long, total_odd long" + (", tally binary" if tally else ""))
     )
 
 

@@ -17,18 +17,21 @@ from readloom.llm.common import (
     mix,
     shard_count,
     text_bytes,
+    unpack_counts,
     utf8,
     with_block,
 )
 
-#: Words in the longest n-gram.
-ORDER = 2
-#: An n-gram's relative frequency has at most this weight against its suffix, ...
+#: Words in the longest n-gram, and in the longest of the query.
+ORDER, QUERY_ORDER = 2, 3
+#: Without fitted weights, an n-gram's relative frequency has at most this weight against its suffix, ...
 TRUST = 0.3
 #: ... and half of it at so many occurrences of its context.
 HALF = 4.0
 #: Added to each token's count in the unigram estimate.
 ADDED = 0.1
+#: The last three bits of a hash tell the n-gram's order: 0 and 1 single tokens, then 2, 4 and, for all longer ones, 6.
+KINDS, BUCKETS = 4, 48
 #: What stands before the first and after the last word; no word has a white-space character.
 START, END = b" start", b" end"
 
@@ -38,7 +41,7 @@ class Grams:
     """n-grams of a block of texts, each a start mark, the words and an end mark.
 
     hashes[n - 1][i] is the hash of the n tokens that end at i; valid[n - 1][i] tells whether they are of one text.
-    Hashes of single predicted tokens are odd, all others even.
+    Hashes of single predicted tokens are odd, all others even; see KINDS.
     """
 
     hashes: list[np.ndarray]
@@ -56,12 +59,12 @@ def grams(texts: list[bytes], order: int = ORDER) -> Grams:
     sizes = np.array(lengths, np.int64)
     flat = np.concatenate([np.zeros(0, np.uint64), *parts])
     depth = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    even = ~np.uint64(1)
+    kept = ~np.uint64(7)
     last, hashes, valid = mix(flat, 1), [], []
     for n in range(1, order + 1):
         if n > 1:
             last = mix(np.concatenate([last[:1], last[:-1]]), flat)
-        hashes.append((last & even) | ((depth > 0).astype(np.uint64) if n == 1 else np.uint64(0)))
+        hashes.append((last & kept) | ((depth > 0).astype(np.uint64) if n == 1 else np.uint64(2 * min(n - 1, KINDS - 1))))
         valid.append(depth >= n - 1)
     return Grams(hashes, valid, sizes)
 
@@ -84,9 +87,52 @@ def numbered(found: Grams) -> tuple[np.ndarray, list[np.ndarray]]:
     return ranked[first], ids
 
 
-def trust(context: np.ndarray) -> np.ndarray:
-    """Weight of the relative frequency after a context that occurs so often; 0 for an unknown context."""
-    return TRUST * context / (context + HALF)
+def trust(context: np.ndarray, half: np.ndarray | None = None) -> np.ndarray:
+    """Weight of the relative frequency after a context that occurs so often; 0 for an unknown context. With a fitted
+    half it nears 1 as the context's count grows."""
+    return TRUST * context / (context + HALF) if half is None else context / (context + half)
+
+
+def tally(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each order, how many n-grams occur once, and by the logarithm of the count how many there are and their
+    occurrences. The start mark is left out: it occurs as often as the end mark, which is no context."""
+    out = np.zeros((KINDS, 1 + 2 * BUCKETS), np.int64)
+    kind = (hashes & np.uint64(7)).astype(np.int64)
+    for row in range(KINDS):
+        own = counts[(kind == max(1, 2 * row)) & (counts > 0)]
+        bucket = np.frexp(own.astype(np.float64))[1] - 1
+        out[row, 0] = np.count_nonzero(own == 1)
+        out[row, 1 : 1 + BUCKETS] = np.bincount(bucket, minlength=BUCKETS)
+        np.add.at(out[row, 1 + BUCKETS :], bucket, own)
+    return out.reshape(-1)
+
+
+def fitted_halves(tallies: np.ndarray, order: int) -> np.ndarray:
+    """For contexts of 0 to order - 1 tokens, the count at which their relative frequencies have half of the weight.
+
+    After a context of count c, c / (c + half) goes to the frequencies. half is chosen so that over the training text what
+    is left to the suffixes is the Turing estimate of what is new: the share of n-grams that occur once. (n-grams that
+    end in the end mark count as contexts too, one a document.)
+    """
+    rows = tallies.reshape(KINDS, 1 + 2 * BUCKETS)
+    halves = np.full(order, HALF)
+    for n in range(2, order + 1):
+        below, own = rows[min(n - 2, KINDS - 1)], rows[min(n - 1, KINDS - 1)]
+        number, mass = below[1 : 1 + BUCKETS], below[1 + BUCKETS :]
+        count = np.divide(mass, number, out=np.ones(BUCKETS), where=number > 0)
+        total = own[1 + BUCKETS :].sum()
+        if not total or not mass.sum():
+            continue
+        new = own[0] / total
+        low, high = np.log(1e-3), np.log(1e9)
+        for _ in range(80):
+            half = np.exp((low + high) / 2)
+            if (mass * half / (count + half)).sum() < new * mass.sum():
+                low = np.log(half)
+            else:
+                high = np.log(half)
+        halves[n - 1] = np.exp((low + high) / 2)
+    return halves
 
 
 @dataclass
@@ -126,9 +172,10 @@ class Automaton:
         return total
 
 
-def build(found: Grams, ids: list[np.ndarray], counts: np.ndarray, n_tokens: int, n_types: int) -> Automaton:
+def build(found: Grams, ids: list[np.ndarray], counts: np.ndarray, n_tokens: int, n_types: int, halves: np.ndarray | None = None) -> Automaton:
     """The part of the automaton that a block's texts can reach. ids[n - 1][i] is the number, in `counts`, of the n-gram
-    that ends at i (any number where it is not valid); n_tokens and n_types are the training totals."""
+    that ends at i (any number where it is not valid); n_tokens and n_types are the training totals;
+    halves[m] is the fitted half of contexts of m tokens."""
     order, size = len(ids), len(counts)
     denominator = n_tokens + ADDED * (n_types + 1)
     prob = (counts + ADDED) / denominator
@@ -144,7 +191,7 @@ def build(found: Grams, ids: list[np.ndarray], counts: np.ndarray, n_tokens: int
             continue
         place = places[own]
         context, shorter = ids[n - 2][place - 1], ids[n - 2][place]
-        weight = trust(counts[context])
+        weight = trust(counts[context], None if halves is None else halves[n - 1])
         seen = counts[own] > 0
         share = np.divide(counts[own], counts[context], out=np.zeros(len(own)), where=seen)
         prob[own] = weight * share + (1 - weight) * prob[shorter]
@@ -154,7 +201,7 @@ def build(found: Grams, ids: list[np.ndarray], counts: np.ndarray, n_tokens: int
     state = np.where(known & (order_of < order), np.arange(size) + 1, 0)
     after = np.where(order_of < order, state, np.where(suffix >= 0, state[suffix], 0))
     fail_to = np.concatenate([[0], np.where(suffix >= 0, state[suffix], 0)])
-    fall = np.concatenate([[0.0], np.log10(1 - trust(counts))])
+    fall = np.concatenate([[0.0], np.log10(1 - trust(counts, None if halves is None else halves[np.minimum(order_of, order - 1)]))])
     depth = np.concatenate([[0], np.where(state > 0, order_of, 0)])
     return Automaton(
         np.log10(prob).tolist(), after.tolist(), fall.tolist(), fail_to.tolist(), depth.tolist(), float(np.log10(ADDED / denominator))
@@ -183,7 +230,10 @@ def score_block(docs: pa.Table, answers: pa.Table, order: int = ORDER) -> dict[s
     counts = answered(answers)
     n_types, n_tokens = sum(answers["n_odd"].to_pylist()), sum(answers["total_odd"].to_pylist())
     _, ids = numbered(found)
-    automaton = build(found, ids, counts, n_tokens, n_types)
+    halves = None
+    if "tally" in answers.column_names:
+        halves = fitted_halves(sum(unpack_counts(x) for x in answers["tally"].to_pylist()), order)
+    automaton = build(found, ids, counts, n_tokens, n_types, halves)
     usable = [np.where(v & (counts[i] > 0), i, -1) for i, v in zip(ids, found.valid, strict=True)]
     single = counts[ids[0]]
     base = np.log10((single + ADDED) / (n_tokens + ADDED * (n_types + 1)))
@@ -200,19 +250,20 @@ def score_block(docs: pa.Table, answers: pa.Table, order: int = ORDER) -> dict[s
     return out
 
 
-def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
+def score_documents(docs: DataFrame, order: int = ORDER, fitted: bool = False) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of `docs`.
 
     Tokens are the words, A-Z lower-cased, and one end mark; a null text has just that. Counts are of all rows that are
     not held out, repeated rows included. p(w | h) = t(h) c(h w) / c(h) + (1 - t(h)) p(w | shorter h), down to the
-    unigram estimate of base_score, so the words and one unknown share a probability of 1 after any context.
+    unigram estimate of base_score, so the words and one unknown share a probability of 1 after any context. t(h) follows
+    from c(h), by fixed values or, `fitted`, by values that the corpus counts give for each order.
 
     Documents are dealt into blocks by hash. Blocks ask the shards of the corpus counter for their n-grams, build the
     part of the automaton that their texts can reach, and score; no task or driver has the whole model.
     """
     size = text_bytes(docs)
     blocked = with_block(docs.select("doc_id", "text", held_out().alias("held_out")), "doc_id", block_count(size))
-    answers = corpus_counts(blocked, lambda table: ask(table, order), shard_count(size * order // 2))
+    answers = corpus_counts(blocked, lambda table: ask(table, order), shard_count(size * order // 2), tally=tally if fitted else None)
 
     def score(_: tuple, own: pa.Table, counts: pa.Table) -> pa.Table:
         found = score_block(own, counts, order)

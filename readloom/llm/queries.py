@@ -57,7 +57,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngramlm.score_documents(table(spark, sf_dir, "documents"))
+    return ngramlm.score_documents(table(spark, sf_dir, "documents"), ngramlm.QUERY_ORDER, fitted=True)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

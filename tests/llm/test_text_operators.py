@@ -458,6 +458,42 @@ def test_lm_probabilities_sum_to_one():
         assert sum(probs) == pytest.approx(1.0)
 
 
+def test_lm_query_has_trigrams_with_fitted_weights(spark, sf_dir, docs):
+    """The query's scores are those of interpolated trigrams straight from counts; more training text raises the weights."""
+    data = [(r.doc_id, ["S", *(r.text or "").translate(LOWER).encode().split(), "E"]) for r in docs.collect()]
+    counts = [Counter(), Counter(), Counter()]
+    for doc, w in data:
+        if doc is None or zlib.crc32(str(doc).encode()) % 10:
+            for n in range(3):
+                counts[n].update(tuple(w[i : i + n + 1]) for i in range(len(w) - n))
+    single = Counter({k: c for k, c in counts[0].items() if k != ("S",)})
+    n, v = single.total(), len(single)
+    halves = {}
+    for m, below in ((1, single), (2, counts[1])):
+        own = counts[m]
+        groups = defaultdict(list)
+        for c in below.values():
+            groups[c.bit_length()].append(c)
+        new, low, high = sum(c == 1 for c in own.values()) / own.total(), 1e-3, 1e9
+        for _ in range(200):
+            half = (low * high) ** 0.5
+            left = sum(sum(g) * half / (sum(g) / len(g) + half) for g in groups.values()) / below.total()
+            low, high = (half, high) if left < new else (low, half)
+        halves[m] = half
+
+    def p(h, x):
+        if not h:
+            return (single[x,] + 0.1) / (n + 0.1 * (v + 1))
+        c = counts[len(h) - 1][h]
+        t = c / (c + halves[len(h)])
+        return t * counts[len(h)][*h, x] / max(c, 1) + (1 - t) * p(h[1:], x)
+
+    want = {doc: sum(np.log10(p(tuple(w[max(0, i - 2) : i]), w[i])) for i in range(1, len(w))) for doc, w in data}
+    got = {r.doc_id: r.score for r in queries.op7_lm_scoring(spark, sf_dir).collect()}
+    assert got == pytest.approx(want, rel=1e-6)
+    assert ngramlm.trust(np.array([10**6]), halves[1])[0] > 0.9
+
+
 # --- op8
 
 

@@ -579,6 +579,45 @@ def test_neighbours_share_words():
     assert sum(len(x) == 1 for x in by.values()) >= len(by) - 4
 
 
+def test_neighbours_come_from_the_whole_corpus(spark, monkeypatch):
+    """However the input is split, over many shards and rounds, a seed's neighbours are those of brute force."""
+    rng = np.random.default_rng(6)
+    vocabulary = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).get_vocab()
+    words = sorted(t[:-4] for t in vocabulary if t.endswith("</w>") and t[:-4].isascii() and t[:-4].isalpha() and t.islower() and len(t) > 8)
+    topics = [words[150 * i : 150 * (i + 1)] for i in range(4)]
+    data = [(i, " ".join(rng.choice(topics[i % 4], 400))) for i in range(96)]
+    for name, value in (("SHARD_DOCS", 20), ("ALONE_DOCS", 30), ("SEEDS", 6), ("ASKED", 8)):
+        monkeypatch.setattr(packing, name, value)
+    results = []
+    for parts in (1, 7):
+        df = spark.createDataFrame(data, "doc_id long, text string").repartition(parts)
+        got = packing.pack_documents(df, with_ids=False).collect()
+        assert sum(r.length for r in got) == sum({r.doc_id: r.doc_tokens for r in got}.values())
+        by = defaultdict(set)
+        for r in got:
+            by[r.sequence_id].add(r.doc_id)
+        assert sum(len({d % 4 for d in x}) == 1 for x in by.values()) >= len(by) - 5
+        results.append(Counter(frozenset(x) for x in by.values()))
+    assert results[0] == results[1]
+
+
+def test_nearest_over_shards_has_full_recall():
+    rng = np.random.default_rng(8)
+    docs = [(rng.zipf(1.3, 80) % 500).astype(np.uint32) for _ in range(200)]
+    corpus, seeds, rows = packing.Corpus.of(docs), [np.unique(x) for x in docs[:20]], np.arange(200)
+
+    def shard(own):
+        return rows[own], rows[own], np.ones(len(own), bool), packing.Bm25([docs[i] for i in own], corpus)
+
+    _, _, got = packing.nearest(iter([shard(np.arange(k, 200, 7)) for k in range(7)]), seeds, 10)
+    df = Counter(t for x in docs for t in set(x.tolist()))
+    mean = sum(map(len, docs)) / 200
+    for seed, near in zip(seeds, got, strict=True):
+        tf = [Counter(x.tolist()) for x in docs]
+        want = [sum(np.log(1 + (200 - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * len(x) / mean)) for t in seed.tolist()) for x, c in zip(docs, tf, strict=True)]
+        assert sorted((want[i] for i in near), reverse=True) == pytest.approx(sorted(want, reverse=True)[:10], abs=1e-3)
+
+
 # --- op10
 
 

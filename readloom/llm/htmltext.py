@@ -39,13 +39,18 @@ CLOSED_BY = {"p": BLOCK, "li": frozenset(["li"]), "option": frozenset(["option"]
 #: Width of the Gaussian, in lines, and the share of the deviation that a line must reach.
 SIGMA = 1.0
 THRESHOLD = 0.5
+#: On pages with article or main: factor of the ratios outside of them, and of the threshold inside, which is never above
+#: DENSE characters a tag, however long some lines are.
+OUTSIDE, INSIDE, DENSE = 0.1, 0.25, 5.0
+#: So many lines of few characters a tag, one after another, can still be short paragraphs of a region.
+SHORT = 2
 
 
 @dataclass
 class Line:
     text: str
     tags: int
-    region: int  # the innermost article or main, 0 outside of any
+    region: int  # the innermost article or main, 0 outside of any; which one it is does not matter
 
 
 @dataclass
@@ -160,26 +165,50 @@ def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(padded, kernel / kernel.sum(), "valid")
 
 
+def kept_runs(content: np.ndarray, dense: np.ndarray) -> np.ndarray:
+    """Lines of text but for runs of more than SHORT lines that are not content, with the lines beside such a run that only
+    their neighbours make content."""
+    kept = np.ones(len(content), bool)
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], content, [True]])))
+    for begin, end in edges.reshape(-1, 2):
+        if end - begin <= SHORT:
+            continue
+        while begin and not dense[begin - 1]:
+            begin -= 1
+        while end < len(content) and not dense[end]:
+            end += 1
+        kept[begin:end] = False
+    return kept
+
+
 def content_lines(lines: list[Line], sigma: float = SIGMA, threshold: float = THRESHOLD) -> list[str]:
     """Texts of the selected lines, in page order.
 
     A line's ratio is its characters per tag. Lines whose smoothed ratio reaches `threshold` standard deviations are
-    content; the region (article, main, or the rest of the page) with the most smoothed content wins. An article or
-    main is marked as one text, so all its lines with text are taken; in a page without, lines are taken from the first
-    to the last content line, so that short paragraphs between long ones stay.
+    content. On a page with text in an article or main, that is a prior on the ratios: those of lines outside of all
+    such regions are multiplied by OUTSIDE, and the threshold is lowered by INSIDE for lines in any. So a story in several
+    regions is whole, and longer runs of lines in a region that are mostly tags are dropped. On other pages lines are taken from
+    the first to the last content line, so that short paragraphs between long ones stay.
     """
     if not any(x.text for x in lines):
         return []
+    inside = np.array([x.region > 0 for x in lines])
+    prior = any(x.region and x.text for x in lines)
     ratios = np.array([len(x.text) / max(1, x.tags) for x in lines])
+    if prior:
+        ratios[~inside] *= OUTSIDE
     smoothed = smooth(ratios, sigma)
-    content = (smoothed >= threshold * ratios.std()) & (ratios > 0)
+    bound = threshold * ratios.std() * np.ones(len(lines))
+    if prior:
+        bound[inside] = min(INSIDE * bound[0], DENSE)
+    content = (smoothed >= bound) & (ratios > 0)
     if not content.any():
         content = ratios > 0
-    regions = np.array([x.region for x in lines])
-    mass = np.bincount(regions, np.where(content, smoothed, 0.0))
-    if len(mass) > 1 and mass[1:].max() > 0:
-        best = 1 + int(mass[1:].argmax())
-        return [x.text for x in lines if x.region == best and x.text]
+    if prior:
+        own = np.flatnonzero(inside & (ratios > 0))
+        plain = np.array([x.tags <= 2 for x in lines])  # an element of its own and no more: a paragraph, however short
+        content[own] = kept_runs((content | plain)[own], ((ratios >= bound) | plain)[own])
+        return [x.text for x, c in zip(lines, content, strict=True) if c]
     at = np.flatnonzero(content)
     return [x.text for x in lines[at[0] : at[-1] + 1] if x.text]
 

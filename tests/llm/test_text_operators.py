@@ -206,6 +206,19 @@ def test_html_odd_pages(html):
     assert isinstance(htmltext.extract(html), str)
 
 
+def test_html_nested_and_multiple_regions():
+    """A story may stand in a main and in several articles; lists of links in it that no name tells are dropped."""
+    long = [f"Paragraph {i} of the story goes on for a good while, with enough words to be told from a list of links." for i in range(6)]
+    body = [f"<p>{x}</p>" for x in long]
+    nested = f"<main><h1>The title of the story</h1><p>{long[0]}</p><article>{body[1]}{body[2]}</article>{body[3]}</main>"
+    assert htmltext.extract(PAGE % nested) == "\n\n".join(["The title of the story", *long[:4]])
+    parts = f"<article>{body[0]}{body[1]}</article><div>Short</div><article>{body[2]}</article><article>{body[3]}</article>"
+    assert htmltext.extract(PAGE % parts).replace("\n\nShort", "") == "\n\n".join(long[:4])
+    links = "".join(f"<li><a href='/{i}'><b>L{i}</b></a></li>" for i in range(12))
+    mixed = f"<article>{body[0]}{body[1]}<div class='zz'><ul>{links}</ul></div>{body[2]}<p>Be.</p>{body[3]}</article>"
+    assert htmltext.extract(PAGE % mixed) == "\n\n".join([*long[:3], "Be.", long[3]])
+
+
 def test_html_query(spark, sf_dir):
     got = queries.op3_html_extraction(spark, sf_dir).collect()
     pages = {r.page_id: r for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}

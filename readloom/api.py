@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.operators import columns, ranges, stats
@@ -23,7 +23,7 @@ class ReadStore:
         """Writes a store of alignment files, text or BAM, sorted by position."""
         reads = header = None
         for i, source in enumerate(sources):
-            if text.sniff(source) == "bam":
+            if text.sniff(spark, source) == "bam":
                 own, (lines, _) = bam.read_bam(spark, source), bam.read_bam_header(spark, source)
             else:
                 own, lines = text.read_sam(spark, source), text.read_header(spark, source)
@@ -84,13 +84,21 @@ class ReadStore:
         """Rows in the order of contigs and positions."""
         return columns.coordinate_order(df, store.contig_ranks(self.spark, self.path, by_header))
 
-    def pages(self, range: str = "", flag: int = 0, overlap: bool = False) -> Iterator[list]:
-        """Rows of a query, a block at a time; only one block is on the driver."""
+    def pages(self, range: str = "", flag: int = 0, overlap: bool = False, after: Row | None = None) -> Iterator[list[Row]]:
+        """Rows of a query, a block at a time, in the order of ranges, files, contigs and positions; only one block is on the
+        driver. `after`, the last row of a page, resumes behind it, in this or a later session of the same store."""
         found = self.query(range, flag, overlap=overlap)
-        keys = [*(["range_no"] if "range_no" in found.columns else []), "file_id", "chr", "block_id"]
+        rank = store.contig_ranks(self.spark, self.path).select("chr", F.col("id").alias("chr_rank"))
+        found = found.join(F.broadcast(rank), "chr").select(*found.columns, "chr_rank")  # one row a contig
+        keys = [*(["range_no"] if "range_no" in found.columns else []), "file_id", "chr_rank", "pos", "row_id"]
+        if after is not None:
+            behind = F.lit(False)
+            for k in reversed(keys):
+                behind = (F.col(k) > after[k]) | ((F.col(k) == after[k]) & behind)
+            found = found.where(behind)
         page, last = [], None
-        for row in found.orderBy(*keys, "pos", "row_id").toLocalIterator(prefetchPartitions=True):
-            key = tuple(row[k] for k in keys)
+        for row in found.orderBy(*keys).toLocalIterator(prefetchPartitions=True):
+            key = (*(row[k] for k in keys[:-2]), row["block_id"])
             if page and key != last:
                 yield page
                 page = []

@@ -69,16 +69,18 @@ def main(argv: list[str] | None = None) -> int:
             for row in opened.ordered(found).select(text.sam_line().alias("line")).toLocalIterator():
                 print(row["line"])
     elif args.command == "sort":
-        kind = text.sniff(args.input)
+        kind = text.sniff(spark, args.input)
         reads = bam.read_bam(spark, args.input) if kind == "bam" else text.read_sam(spark, args.input)
         rank = columns.first_seen_dictionary(reads, [], "chr", "row_id")
         ranked = columns.coordinate_order(reads, rank).withColumn("unmapped", F.col("chr") == "*")
-        header = None if kind == "bam" else text.read_header(spark, args.input)
+        header = bam.read_bam_header(spark, args.input)[0] if kind == "bam" else text.read_header(spark, args.input)
         text.write_sam(ranked, args.output, header, ["unmapped", "chr_rank", "pos", "row_id"])
     else:
         flags = ReadStore(spark, args.store).flags()
         stats.filtered_count(flags, args.mask).show()
-        flags.orderBy("file_id", "flag").show(1000, False)
+        print("file_id\tflag\tn")
+        for row in flags.orderBy("file_id", "flag").toLocalIterator():
+            print(f"{row['file_id']}\t{row['flag']}\t{row['n']}")
     return 0
 
 

@@ -118,12 +118,13 @@ def blocks_of_range(index: DataFrame, r: Range) -> DataFrame:
 
 
 def block_at(index: DataFrame, positions: DataFrame) -> DataFrame:
-    """As-of lookup: for rows (chr, at) the last block of an index that starts at or before `at`, with block_id null if none.
-    Both sides are merged in one order, so no pairs of rows are made."""
+    """As-of lookup: for rows (chr, at) the last block of an index that starts at or before `at`, with block_id, of the
+    index's own type, null if none. Both sides are merged in one order, so no pairs of rows are made."""
     from pyspark.sql import Window
 
-    both = positions.select("chr", "at", F.lit(1).alias("asks"), F.lit(None).cast("long").alias("block")).unionByName(
-        index.select("chr", F.col("first_pos").alias("at"), F.lit(0).alias("asks"), F.col("block_id").cast("long").alias("block"))
+    kind = index.schema["block_id"].dataType
+    both = positions.select("chr", "at", F.lit(1).alias("asks"), F.lit(None).cast(kind).alias("block")).unionByName(
+        index.select("chr", F.col("first_pos").alias("at"), F.lit(0).alias("asks"), F.col("block_id").alias("block"))
     )
     order = Window.partitionBy("chr").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn("block_id", F.last("block", ignorenulls=True).over(order)).where("asks = 1").select("chr", "at", "block_id")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 from readloom.functions import alignment, fields
 from readloom.operators import columns, mates, pileup, ranges, stats
 from readloom.plans.adapters import ORDER, C, L, M, Q, R, contigs, letters, mated, qualities, reads, table
+from readloom.storage import shared_path
 from readloom.streaming import reads as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -579,13 +578,16 @@ def q_sam_lines(spark, sf_dir):
 # --- streams
 
 
-def _drained(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """Rows of a stream over what is there now, written and read back."""
-    spark = stream.sparkSession
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="readloom-")
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{shared}/{name}").trigger(availableNow=True).start()
+def _drained(stream: DataFrame, name: str) -> DataFrame:
+    """Rows of a stream over what is there now, in complete mode: written as Parquet to the shared folder and read back."""
+    path = shared_path(stream.sparkSession, name)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows")  # a batch has all rows so far
+
+    q = stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -595,11 +597,9 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CAST(length(event_type) AS INTEGER) AS flag, count(*) AS n FROM events GROUP BY ALL")
 def q_stream_flag_counts(spark, sf_dir):
-    name = f"flag_counts_{uuid.uuid4().hex}"
-    return _drained(streams.flag_counts(_events(spark, sf_dir).select(F.length("event_type").alias("flag"))), "complete", name)
+    return _drained(streams.flag_counts(_events(spark, sf_dir).select(F.length("event_type").alias("flag"))), "flag-counts")
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS \"end\", event_type, count(*) AS n FROM events GROUP BY ALL")
 def q_stream_windows(spark, sf_dir):
-    name = f"windows_{uuid.uuid4().hex}"
-    return _drained(streams.windowed_counts(_events(spark, sf_dir), "ts", window="1 day", by=["event_type"]), "complete", name)
+    return _drained(streams.windowed_counts(_events(spark, sf_dir), "ts", window="1 day", by=["event_type"]), "windows")

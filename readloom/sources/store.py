@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from readloom.operators import columns, stats
 from readloom.operators.pileup import with_spans
@@ -31,7 +32,8 @@ def write_store(
     order = ["file_id", "chr", "pos", "row_id"]
     placed = full.repartitionByRange(*order).withColumn("part", F.spark_partition_id()).sortWithinPartitions(*order)
     placed = columns.assign_blocks(placed, ["file_id", "chr", "part"], ["pos", "row_id"], block_rows)
-    placed = placed.withColumn("block_id", F.concat_ws("-", "part", "block_id"))
+    # parts are ranges of the order, so these numbers follow it within a contig
+    placed = placed.withColumn("block_id", F.shiftleft(F.col("part").cast("long"), 32) + F.col("block_id"))
     writer = placed.drop("part", "ops").sortWithinPartitions(*order).write.mode(mode).option("compression", codec)
     writer.partitionBy("file_id", "chr").parquet(f"{path}/reads")
     stored = read_store(spark, path)
@@ -47,9 +49,13 @@ def write_store(
 
 
 def read_store(spark: SparkSession, path: str, table: str = "reads") -> DataFrame:
-    """A table of a store. Contig names stay text even if they look like numbers."""
+    """A table of a store. Contig names are read as text, so `01` and `1e5` stay what they are."""
     df = spark.read.parquet(f"{path}/{table}")
-    return df.withColumn("chr", F.col("chr").cast("string")) if table == "reads" else df
+    if table != "reads":
+        return df
+    kinds = {"file_id": IntegerType(), "chr": StringType()}
+    schema = StructType([StructField(f.name, kinds.get(f.name, f.dataType)) for f in df.schema])
+    return spark.read.schema(schema).parquet(f"{path}/{table}")
 
 
 def contig_ranks(spark: SparkSession, path: str, by_header: bool = False) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import gzip
 import re
+import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from readloom.functions.fields import header_attributes, name_and_comment, parse_tags, tag_text
 from readloom.schema import LINE
 
+#: Bytes of a file that tell its format.
+SNIFFED = 1 << 12
+#: Reference files that a header may name.
+MAX_FILES = 10_000
+
 
 def numbered_lines(spark: SparkSession, paths: list[str], glob: str | None = None) -> DataFrame:
     """(file_id, line_no, value): lines of text files, numbered from 0 in each; file_id is the place in `paths`.
@@ -80,8 +85,8 @@ def write_sam(reads: DataFrame, path: str, header: DataFrame | None = None, orde
     body.repartitionByRange(*keys).sortWithinPartitions(*keys).select("file_id", "value").write.partitionBy("file_id").text(path)
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(chr, seq) of a FASTA file, a row for each contig, upper case; the name ends at the first white space."""
+def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(chr, seq) of FASTA files, a row for each contig, upper case; the name ends at the first white space."""
     records = spark.read.text(path, lineSep=">").where(F.trim("value") != "")
     name = F.regexp_extract("value", r"^\s*(\S+)", 1)
     body = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "")
@@ -118,8 +123,11 @@ def resolve_reference(spark: SparkSession, header: DataFrame | None = None, path
     elif path:
         found = [read_fasta(spark, path)]
     elif header is not None:
-        urls = header_registry(header, "SQ").select(F.col("attrs")["UR"].alias("u")).where("u is not null").distinct().limit(10_000)
-        found = [read_fasta(spark, r["u"]) for r in urls.collect()]  # a header names few files
+        urls = header_registry(header, "SQ").select(F.col("attrs")["UR"].alias("u")).where("u is not null").distinct().limit(MAX_FILES + 1)
+        names = [r["u"] for r in urls.collect()]
+        if len(names) > MAX_FILES:
+            raise ValueError(f"the header names more than {MAX_FILES} reference files; give one file or a folder")
+        found = [read_fasta(spark, names)] if names else []
     else:
         found = []
     out = None
@@ -135,17 +143,21 @@ def read_fastq_names(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return lines.select("file_id", F.floor(F.col("line_no") / 4).alias("read_no"), parts["name"].alias("name"), parts["comment"].alias("comment"))
 
 
-def sniff(path: str) -> str:
-    """`bam`, `store` or `sam`, by a local file's or folder's first bytes."""
-    import os
-
-    if os.path.isdir(path):
+def sniff(spark: SparkSession, path: str) -> str:
+    """`bam`, `store` or `sam`, by the first bytes of a file, or `store` for a folder; read through the session's file systems,
+    so any path that Spark reads will do."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.getFileStatus(at).isDirectory():
         return "store"
-    with open(path, "rb") as f:
-        head = f.read(2)
-    if head == b"\x1f\x8b":
-        with gzip.open(path) as f:
-            return "bam" if f.read(4) == b"BAM\x01" else "sam"
+    stream = files.open(at)
+    try:
+        head = bytes(stream.readNBytes(SNIFFED))
+    finally:
+        stream.close()
+    if head[:2] == b"\x1f\x8b":
+        return "bam" if zlib.decompressobj(31).decompress(head, 4) == b"BAM\x01" else "sam"
     return "sam"
 
 

@@ -104,7 +104,7 @@ def test_bam_gives_the_lines(spark, bam_file):
     header, contigs = bam.read_bam_header(spark, bam_file)
     assert [r.raw for r in header.orderBy("line_no").collect()] == HEADER
     assert [(r.chr, r.length) for r in contigs.orderBy("chr_no").collect()] == [("c1", 40), ("c2", 30)]
-    assert text.sniff(bam_file) == "bam"
+    assert text.sniff(spark, bam_file) == "bam"
 
 
 def test_fasta(spark, tmp_path):
@@ -191,6 +191,11 @@ def test_store(spark, sam, bam_file, tmp_path):
         opened.query("5,c1")
     pages = list(opened.pages())
     assert sum(map(len, pages)) == 11 and all(len({(r.file_id, r.chr, r.block_id) for r in p}) == 1 for p in pages)
+    rows = [row for p in pages for row in p]
+    order = ["c2", "c1", "*"]
+    assert [(r.file_id, order.index(r.chr), r.pos) for r in rows] == sorted((r.file_id, order.index(r.chr), r.pos) for r in rows)
+    for at in (0, len(pages) // 2):
+        assert [row for p in opened.pages(after=pages[at][-1]) for row in p] == [row for p in pages[at + 1 :] for row in p]
     plain = opened.count(16).first()
     assert (plain.included, plain.excluded) == (4, 7)
     order = [(r.chr, r.pos) for r in opened.ordered(opened.query("")).where("file_id = 0").collect()]
@@ -200,6 +205,35 @@ def test_store(spark, sam, bam_file, tmp_path):
     assert "PushedFilters" in plan and "LessThanOrEqual(pos,9)" in plan
 
 
+def test_store_of_contigs_that_look_like_numbers(spark, tmp_path):
+    """Names stay text, more than ten blocks stay in order, and a written index answers as-of lookups."""
+    names = ["01", "02", "1e5", "*"]
+    rows = [f"r{i}\t0\t{c}\t{10 * i if c != '*' else 0}\t9\t4M\t*\t0\t0\tACGT\tIIII" for c in names for i in range(1, 25)]
+    (tmp_path / "n.sam").write_text("\n".join(rows))
+    path = str(tmp_path / "store")
+    store.write_store(text.read_sam(spark, str(tmp_path / "n.sam")), path, block_rows=3)
+    opened = ReadStore(spark, path)
+    assert opened.contigs() == names and opened.query("01:10-20").count() == 2 and opened.query("1e5").count() == 24
+    assert sorted({r.chr for r in opened.query("01;02").collect()}) == ["01", "02"]
+    pages = list(opened.pages("02"))
+    assert len(pages) >= 8 and [r.pos for p in pages for r in p] == [10 * i for i in range(1, 25)]
+    index = store.read_store(spark, path, "blocks")
+    assert [(type(r.block_id), r.chr) for r in index.where("chr = '01'").limit(1).collect()] == [(int, "01")]
+    asks = spark.createDataFrame([("01", 5), ("01", 10), ("1e5", 239), ("02", 10**6)], "chr string, at long")
+    of = {(r.chr, r.pos): r.block_id for r in opened.reads.collect()}
+    got = {(r.chr, r.at): r.block_id for r in ranges.block_at(index, asks).collect()}
+    first = {(r.chr, r.block_id): r.first_pos for r in index.collect()}
+    assert got["01", 5] is None and got["01", 10] == of["01", 10] and got["02", 10**6] == of["02", 240]
+    assert first["1e5", got["1e5", 239]] == max(p for (c, b), p in first.items() if c == "1e5" and p <= 239)
+
+
+def test_too_many_reference_files(spark, monkeypatch):
+    monkeypatch.setattr(text, "MAX_FILES", 2)
+    header = spark.createDataFrame([(0, i, "SQ", {"SN": f"c{i}", "UR": f"/none/{i}.fa"}, "") for i in range(3)], "file_id int, line_no long, record_type string, attrs map<string,string>, raw string")
+    with pytest.raises(ValueError, match="more than 2"):
+        text.resolve_reference(spark, header)
+
+
 def test_lossy_store(spark, sam, tmp_path):
     path = str(tmp_path / "lossy")
     ReadStore.ingest(spark, [sam], path, lossy_percent=30)
@@ -214,12 +248,21 @@ def test_cli(spark, sam, tmp_path, capsys, monkeypatch):
     assert cli.main(["query", out, "c2", "-H"]) == 0
     assert capsys.readouterr().out.splitlines() == [*HEADER, *LINES[:2]]
     assert cli.main(["stats", out, "-f", "16"]) == 0
+    flags = capsys.readouterr().out.splitlines()
+    assert [x for x in flags if x.count("\t") == 2] == ["file_id\tflag\tn", "0\t0\t2", "0\t4\t1", "0\t16\t1", "0\t99\t1", "0\t147\t1"]
     assert cli.main(["sort", sam, "-o", str(tmp_path / "sorted")]) == 0
     got = [r.value for r in spark.read.text(str(tmp_path / "sorted/file_id=0")).collect()]
     assert got == [*HEADER, LINES[0], LINES[1], LINES[3], LINES[2], LINES[5], LINES[4]]
     assert cli.memory("2G") == 2 << 30
 
 
+def test_sort_of_a_binary_file_keeps_its_header(spark, bam_file, tmp_path, monkeypatch):
+    monkeypatch.setattr(cli, "session", lambda *a, **k: spark)
+    assert cli.main(["sort", bam_file, "-o", str(tmp_path / "sorted")]) == 0
+    got = [r.value for r in spark.read.text(str(tmp_path / "sorted/file_id=0")).collect()]
+    assert got[: len(HEADER)] == HEADER and len(got) > len(HEADER)
+
+
 @pytest.mark.parametrize(
     ("given", "want"),
     [

@@ -1,10 +1,9 @@
-"""Helpers that several text operators share: shared scratch space, byte sums,
-Arrow columns, token hashes and the sharded corpus counter."""
+"""Helpers that several text operators share: byte sums, Arrow columns, token hashes, joins on keys of which a few may be
+hot, and the sharded corpus counter."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,35 +13,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text bytes that one block (a group of documents handled together) aims at.
-BLOCK_BYTES = 3 << 20
-#: Blocks' text bytes for each shard of the corpus counter.
-SHARD_BYTES = 4 << 20
+from readloom.storage import materialize, shared_dir, shared_path
 
+__all__ = ["materialize", "shared_dir", "shared_path"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session,
-    or, where that is unset (tests on one machine), a temporary folder set for it."""
-    sc = spark.sparkContext
-    given = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not given:
-        given = getattr(sc, "_readloom_shared", None)
-        if given is None:
-            given = sc._readloom_shared = f"file://{tempfile.mkdtemp(prefix='readloom-')}"
-            sc.setCheckpointDir(given)
-    return given.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """`df` written as Parquet in the shared folder and read again: a cut lineage that outlives executors."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Text bytes of the corpus for each message between a block of documents and a shard of the corpus counter.
+MESSAGE_BYTES = 4 << 10
+#: Text bytes of a block, and features of a shard, that are worked on at a time.
+STEP_BYTES, STEP_FEATURES = 8 << 20, 4 << 20
 
 
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
@@ -102,7 +80,7 @@ def pack_counts(values: np.ndarray) -> bytes:
 
 def unpack_counts(blob: bytes) -> np.ndarray:
     raw = np.frombuffer(zstandard.decompress(blob), np.uint8)
-    return np.ascontiguousarray(raw.reshape(8, -1).T).reshape(-1).view("<u8").astype(np.int64)
+    return np.ascontiguousarray(raw.reshape(8, -1).T).reshape(-1).view("<u8").astype(np.int64)  # a copy, to be written to
 
 
 def shard_bounds(n_shards: int, bits: int = 64) -> np.ndarray:
@@ -111,6 +89,60 @@ def shard_bounds(n_shards: int, bits: int = 64) -> np.ndarray:
     return (np.arange(1, n_shards, dtype=np.float64) * (2.0**bits / n_shards)).astype(np.uint64)
 
 
+def side(total_bytes: int) -> int:
+    """How many blocks the corpus is dealt into, and how many shards its features: the root of the messages that MESSAGE_BYTES
+    allows. So messages grow in proportion to the text, and a block or shard with its root: 2 MB of 1 GB, 64 MB of 1 TB,
+    640 MB of 100 TB."""
+    return max(1, math.isqrt(total_bytes // MESSAGE_BYTES))
+
+
+def hash_bits(total_bytes: int) -> int:
+    """Bits of a feature's hash: two to the power of 22 times as many hashes as the corpus has bytes, up to 64 bits, so that
+    a feature meets another one's hash about as rarely at any size."""
+    return min(64, max(1, total_bytes).bit_length() + 22)
+
+
+def steps(texts: list[bytes], limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
+    """Stretches of a list of texts, of about so many bytes; one, if there are no texts."""
+    begin = size = 0
+    for i, text in enumerate(texts):
+        if size + len(text) > limit and i > begin:
+            yield begin, i
+            begin, size = i, 0
+        size += len(text)
+    yield begin, len(texts)
+
+
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of several sorted lists, sorted, and their summed counts."""
+    if len(parts) == 1:
+        return parts[0]
+    known, where = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
+    return known, np.bincount(where, np.concatenate([c for _, c in parts]), minlength=len(known)).astype(np.int64)
+
+
+def answer_shard(table: pa.Table, n_shards: int, bits: int, tally: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, step: int = STEP_FEATURES) -> pa.Table:
+    """A shard's answers to what blocks asked; see corpus_counts. Its hashes are summed `step` at a time."""
+    asked = [unpack(x) for x in table["hashes"].to_pylist()]
+    counts = [unpack_counts(x) for x in table["counts"].to_pylist()]
+    shard, size = table["shard"][0].as_py(), sum(map(len, asked))
+    low, high = (float(2.0**bits / n_shards * k) for k in (shard, shard + 1))
+    n_steps = max(1, -(-size // step))
+    inner = [low + (high - low) * k / n_steps for k in range(1, n_steps)]
+    at = [np.concatenate([[0], np.searchsorted(x, np.array(inner).astype(np.uint64)), [len(x)]]) for x in asked]
+    totals: np.ndarray | int = 0
+    for k in range(n_steps):  # a stretch of the shard's hashes after the other
+        own = [slice(x[k], x[k + 1]) for x in at]
+        known, where = np.unique(np.concatenate([x[o] for x, o in zip(asked, own, strict=True)]), return_inverse=True)
+        total = np.bincount(where, np.concatenate([c[o] for c, o in zip(counts, own, strict=True)]), minlength=len(known)).astype(np.int64)
+        if tally:
+            totals = totals + tally(known, total)
+        for c, o, w in zip(counts, own, np.split(where, np.cumsum([o.stop - o.start for o in own])[:-1]), strict=True):
+            c[o] = total[w]
+    out = {"block": table["from"], "shard": table["shard"], "counts": pa.array([pack_counts(c) for c in counts], pa.binary())}
+    return pa.table(out | ({"tally": pa.array([pack_counts(totals)] * len(counts), pa.binary())} if tally else {}))
+
+
 def corpus_counts(
     blocked: DataFrame,
     features: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]],
@@ -124,9 +156,9 @@ def corpus_counts(
     (shard, block, hashes, counts) goes to the shard of each range of hashes. A shard sums over all
     blocks and answers each with counts in the order of its hashes, which the block knows and need not
     get back. A frequent feature is one entry a block, however often it occurs, so no key is hot.
-    Returns (block, shard, counts, n_odd, total_odd): the last two are how many odd hashes the shard has with a count
-    above 0, and the sum of their counts. Every block asks every shard, so a block that adds these up has corpus totals.
-    `tally(hashes, counts)` of a shard, if given, are further numbers to add up (column tally, packed).
+    With as many blocks and shards as `side` gives, the rows grow in proportion to the text.
+    Returns (block, shard, counts, tally): the last are numbers of the shard to add up, packed: `tally(hashes, counts)`. Every
+    block asks every shard, so a block that adds these up has corpus totals.
     """
     bounds = shard_bounds(n_shards, bits)
 
@@ -144,31 +176,11 @@ def corpus_counts(
             }
         )
 
-    def answer(table: pa.Table) -> pa.Table:
-        asked = [unpack(x) for x in table["hashes"].to_pylist()]
-        counts = np.concatenate([unpack_counts(x) for x in table["counts"].to_pylist()])
-        known, where = np.unique(np.concatenate(asked), return_inverse=True)
-        totals = np.zeros(len(known), np.int64)
-        np.add.at(totals, where, counts)
-        cuts = np.cumsum([len(x) for x in asked])[:-1]
-        out = [pack_counts(totals[w]) for w in np.split(where, cuts)]
-        odd = totals[(known & np.uint64(1)) == 1]
-        return pa.table(
-            {
-                "block": table["from"],
-                "shard": table["shard"],
-                "counts": pa.array(out, pa.binary()),
-                "n_odd": pa.array([int(np.count_nonzero(odd))] * len(out), pa.int64()),
-                "total_odd": pa.array([int(odd.sum())] * len(out), pa.int64()),
-            }
-            | ({"tally": pa.array([pack_counts(tally(known, totals))] * len(out), pa.binary())} if tally else {})
-        )
-
     return (
         blocked.groupBy("block")
         .applyInArrow(ask, "shard int, from int, hashes binary, counts binary")
         .groupBy("shard")
-        .applyInArrow(answer, "block int, shard int, counts binary, n_odd long, total_odd long" + (", tally binary" if tally else ""))
+        .applyInArrow(lambda table: answer_shard(table, n_shards, bits, tally), "block int, shard int, counts binary" + (", tally binary" if tally else ""))
     )
 
 
@@ -178,12 +190,17 @@ def answered(table: pa.Table) -> np.ndarray:
     return np.concatenate([unpack_counts(x) for _, x in rows]) if rows else np.zeros(0, np.int64)
 
 
-def block_count(total_bytes: int) -> int:
-    return max(1, -(-total_bytes // BLOCK_BYTES))
+def hot_keys(df: DataFrame, key: str, n_rows: int, parts: int = 1000) -> DataFrame:
+    """Keys that hold more than one in `parts` of the n_rows rows of `df`; there are fewer than `parts`."""
+    return df.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > n_rows / parts).select(key)
 
 
-def shard_count(total_bytes: int) -> int:
-    return max(1, -(-total_bytes // SHARD_BYTES))
+def join_hot(left: DataFrame, right: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """`left` inner join `right`, which has each key at most once, by `key`. Rows of `right` of the hot keys, a bounded
+    number (see hot_keys), are broadcast, so that no task gathers such a key; the other keys are shuffled."""
+    hot = F.broadcast(hot)
+    often = left.join(F.broadcast(right.join(hot, key, "left_semi")), key)
+    return often.unionByName(left.join(hot, key, "left_anti").join(right, key))
 
 
 def batches(rows: Iterator[pa.RecordBatch], limit: int = 2000) -> Iterator[pa.RecordBatch]:

@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from readloom.llm.common import (
     TokenHashes,
     answered,
-    block_count,
     corpus_counts,
+    hot_keys,
+    join_hot,
     materialize,
     mix,
-    shard_count,
+    side,
 )
 
 #: Words in a shingle.
@@ -130,7 +131,7 @@ def weighted_sets(docs: DataFrame, reps: DataFrame, n_docs: int, n_bytes: int) -
     A shingle that no other text has adds to the union with any partner and to no intersection. So a text is left out,
     without loss, if shingles of other texts make up less than SIMILARITY of its weight.
     """
-    n_blocks = block_count(n_bytes)
+    n_blocks = side(n_bytes)
 
     def block(ident: str, digest: str) -> F.Column:
         return F.pmod(F.xxhash64(ident, digest), F.lit(n_blocks)).cast("int").alias("block")
@@ -186,7 +187,7 @@ def weighted_sets(docs: DataFrame, reps: DataFrame, n_docs: int, n_bytes: int) -
     rows = keyed.select("block", "ident", "digest", "text", F.lit(None).cast("long").alias("copies")).unionByName(
         own.select("block", F.col("rep").alias("ident"), "digest", F.lit(None).cast("string").alias("text"), "copies")
     )
-    answers = corpus_counts(rows, ask, shard_count(n_bytes), HASH_BITS)
+    answers = corpus_counts(rows, ask, n_blocks, HASH_BITS)
     return (
         rows.groupBy("block")
         .cogroup(answers.groupBy("block"))
@@ -275,22 +276,25 @@ def similar_pairs(sets: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 
 def connected(pairs: DataFrame) -> DataFrame:
-    """(node, label): the least node of each node's component, by alternating large and small stars."""
+    """(node, label): the least node of each node's component, by alternating large and small stars. The hubs that stars
+    make are hot keys of the joins."""
     edges = materialize(pairs.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     size = None
+    n_edges = edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        hubs = materialize(hot_keys(both, "u", 2 * n_edges), "hubs")  # those of `large` are among them
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = join_hot(both, least, "u", hubs).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(
+        small = join_hot(large, least, "u", hubs).select(
             F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
         )
         edges = materialize(small.select("e.u", "e.v").where("u > v").distinct(), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == size:
             break
-        size = now
+        size, n_edges = now, now[0]
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
@@ -311,6 +315,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     by times in the text and inverse document frequency, is at least SIMILARITY; a class is what links connect, and
     class_id its least doc_id. copies is how many rows have the same text. Null texts are alone in their class (of
     their doc_id); texts without words link to nothing but equal texts. Rows of one doc_id may be in several classes.
+    Classes are what pairs of texts connect; pairs that add nothing to a class are not counted. A very long text is one set
+    in the memory of its block; other columns are left out; an empty table gives no rows.
     """
     rows, _ = distinct_texts(docs)
     return rows.join(text_classes(docs), "digest", "left").select(

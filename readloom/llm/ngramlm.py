@@ -12,18 +12,20 @@ from pyspark.sql import functions as F
 from readloom.llm.common import (
     TokenHashes,
     answered,
-    block_count,
     corpus_counts,
+    hash_bits,
     mix,
-    shard_count,
+    side,
+    steps,
+    summed,
     text_bytes,
     unpack_counts,
     utf8,
     with_block,
 )
 
-#: Words in the longest n-gram, and in the longest of the query.
-ORDER, QUERY_ORDER = 2, 3
+#: Words in the longest n-gram.
+ORDER = 3
 #: Without fitted weights, an n-gram's relative frequency has at most this weight against its suffix, ...
 TRUST = 0.3
 #: ... and half of it at so many occurrences of its context.
@@ -49,7 +51,7 @@ class Grams:
     lengths: np.ndarray
 
 
-def grams(texts: list[bytes], order: int = ORDER) -> Grams:
+def grams(texts: list[bytes], order: int = ORDER, bits: int = 64) -> Grams:
     tokens = TokenHashes()
     parts, lengths = [], []
     for text in texts:
@@ -64,7 +66,7 @@ def grams(texts: list[bytes], order: int = ORDER) -> Grams:
     for n in range(1, order + 1):
         if n > 1:
             last = mix(np.concatenate([last[:1], last[:-1]]), flat)
-        hashes.append((last & kept) | ((depth > 0).astype(np.uint64) if n == 1 else np.uint64(2 * min(n - 1, KINDS - 1))))
+        hashes.append(((last >> np.uint64(64 - bits)) & kept) | ((depth > 0).astype(np.uint64) if n == 1 else np.uint64(2 * min(n - 1, KINDS - 1))))
         valid.append(depth >= n - 1)
     return Grams(hashes, valid, sizes)
 
@@ -95,7 +97,8 @@ def trust(context: np.ndarray, half: np.ndarray | None = None) -> np.ndarray:
 
 def tally(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """For each order, how many n-grams occur once, and by the logarithm of the count how many there are and their
-    occurrences. The start mark is left out: it occurs as often as the end mark, which is no context."""
+    occurrences. The start mark is left out: it occurs as often as the end mark, which is no context. All rows have the
+    same sums at any split of the hashes, so tallies add up."""
     out = np.zeros((KINDS, 1 + 2 * BUCKETS), np.int64)
     kind = (hashes & np.uint64(7)).astype(np.int64)
     for row in range(KINDS):
@@ -213,32 +216,47 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
 
 
-def ask(table: pa.Table, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+def ask(table: pa.Table, order: int = ORDER, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """A block's distinct n-grams, and how often its training documents have each."""
-    found = grams(utf8(table["text"]), order)
-    trains = np.repeat(~np.array(table["held_out"].to_pylist(), bool), found.lengths)
-    hashes, ids = numbered(found)
-    counts = np.zeros(len(hashes), np.int64)
-    for own, v in zip(ids, found.valid, strict=True):
-        counts += np.bincount(own[v & trains], minlength=len(hashes))
-    return hashes, counts
+    texts, held = utf8(table["text"]), np.array(table["held_out"].to_pylist(), bool)
+    parts = []
+    for begin, end in steps(texts):
+        found = grams(texts[begin:end], order, bits)
+        trains = np.repeat(~held[begin:end], found.lengths)
+        hashes, ids = numbered(found)
+        counts = np.zeros(len(hashes), np.int64)
+        for own, v in zip(ids, found.valid, strict=True):
+            counts += np.bincount(own[v & trains], minlength=len(hashes))
+        parts.append((hashes, counts))
+    return summed(parts)
+
+
+def score_block(docs: pa.Table, answers: pa.Table, order: int = ORDER, bits: int = 64, fitted: bool = True) -> dict[str, list]:
+    """Scores of a block's texts, from the corpus counts of its n-grams."""
+    texts, counts = utf8(docs["text"]), answered(answers)
+    tallies = sum(unpack_counts(x) for x in answers["tally"].to_pylist())
+    single = tallies.reshape(KINDS, 1 + 2 * BUCKETS)[0]
+    n_types, n_tokens = int(single[1 : 1 + BUCKETS].sum()), int(single[1 + BUCKETS :].sum())
+    halves = fitted_halves(tallies, order) if fitted else None
+    stretches = list(steps(texts))
+    known = ask(docs, order, bits)[0] if len(stretches) > 1 else None
+    out: dict[str, list] = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
+    for begin, end in stretches:
+        found = grams(texts[begin:end], order, bits)
+        hashes, ids = numbered(found)
+        own = counts if known is None else counts[np.searchsorted(known, hashes)]
+        score_texts(found, ids, own, n_tokens, n_types, halves, out)
+    out["train_tokens"] = [n_tokens] * len(texts)
+    return out
 
 
-def score_block(docs: pa.Table, answers: pa.Table, order: int = ORDER) -> dict[str, list]:
-    """Scores of a block's texts, from the corpus counts of its n-grams."""
-    found = grams(utf8(docs["text"]), order)
-    counts = answered(answers)
-    n_types, n_tokens = sum(answers["n_odd"].to_pylist()), sum(answers["total_odd"].to_pylist())
-    _, ids = numbered(found)
-    halves = None
-    if "tally" in answers.column_names:
-        halves = fitted_halves(sum(unpack_counts(x) for x in answers["tally"].to_pylist()), order)
+def score_texts(found: Grams, ids: list[np.ndarray], counts: np.ndarray, n_tokens: int, n_types: int, halves: np.ndarray | None, out: dict[str, list]) -> None:
+    """Adds the scores of some texts to `out`."""
     automaton = build(found, ids, counts, n_tokens, n_types, halves)
     usable = [np.where(v & (counts[i] > 0), i, -1) for i, v in zip(ids, found.valid, strict=True)]
     single = counts[ids[0]]
     base = np.log10((single + ADDED) / (n_tokens + ADDED * (n_types + 1)))
     ends = np.cumsum(found.lengths)
-    out: dict[str, list] = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
     for begin, end in zip(ends - found.lengths, ends, strict=True):
         start = int(usable[0][begin]) + 1
         arcs = list(zip(*(u[begin + 1 : end].tolist() for u in reversed(usable)), strict=True))
@@ -246,27 +264,28 @@ def score_block(docs: pa.Table, answers: pa.Table, order: int = ORDER) -> dict[s
         out["n_known"].append(int(np.count_nonzero(single[begin + 1 : end])))
         out["base_score"].append(float(base[begin + 1 : end].sum()))
         out["score"].append(automaton.score(arcs, start))
-    out["train_tokens"] = [n_tokens] * len(found.lengths)
-    return out
 
 
-def score_documents(docs: DataFrame, order: int = ORDER, fitted: bool = False) -> DataFrame:
+def score_documents(docs: DataFrame, order: int = ORDER, fitted: bool = True) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of `docs`.
 
     Tokens are the words, A-Z lower-cased, and one end mark; a null text has just that. Counts are of all rows that are
     not held out, repeated rows included. p(w | h) = t(h) c(h w) / c(h) + (1 - t(h)) p(w | shorter h), down to the
     unigram estimate of base_score, so the words and one unknown share a probability of 1 after any context. t(h) follows
-    from c(h), by fixed values or, `fitted`, by values that the corpus counts give for each order.
+    from c(h), by fixed values or, `fitted`, by values that the corpus counts give for each order. Rows of one doc_id are
+    scored one by one; a null doc_id is not held out; other columns are left out; a very long text is one text of its block,
+    whose memory it takes; an empty table gives no rows.
 
     Documents are dealt into blocks by hash. Blocks ask the shards of the corpus counter for their n-grams, build the
     part of the automaton that their texts can reach, and score; no task or driver has the whole model.
     """
     size = text_bytes(docs)
-    blocked = with_block(docs.select("doc_id", "text", held_out().alias("held_out")), "doc_id", block_count(size))
-    answers = corpus_counts(blocked, lambda table: ask(table, order), shard_count(size * order // 2), tally=tally if fitted else None)
+    n, bits = side(size), hash_bits(size)
+    blocked = with_block(docs.select("doc_id", "text", held_out().alias("held_out")), "doc_id", n)
+    answers = corpus_counts(blocked, lambda table: ask(table, order, bits), n, bits, tally)
 
     def score(_: tuple, own: pa.Table, counts: pa.Table) -> pa.Table:
-        found = score_block(own, counts, order)
+        found = score_block(own, counts, order, bits, fitted)
         return pa.table(
             {"doc_id": own["doc_id"].cast(pa.int64()), "held_out": own["held_out"]}
             | {k: pa.array(found[k], pa.int64()) for k in ("n_tokens", "n_known", "train_tokens")}

@@ -10,11 +10,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from readloom.llm import decontam, htmltext, langid, licenses, linededup, neardup, ngramlm, packing, quality, queries, warc
+from readloom.llm import common, decontam, htmltext, langid, licenses, linededup, neardup, ngramlm, packing, quality, queries, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 SPACE = "\x20\x09-\x0d"
@@ -424,51 +426,105 @@ def plain_lm(data):
 @pytest.mark.parametrize("which", ["docs", "odd", "empty"])
 def test_lm_scores(request, which):
     df = request.getfixturevalue(which)
-    got = [(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in ngramlm.score_documents(df).collect()]
+    got = [(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in ngramlm.score_documents(df, 2, fitted=False).collect()]
     want = plain_lm([(r.doc_id, r.text) for r in df.collect()])
     for g, w in zip(sorted(got, key=str), want, strict=True):
         assert g[:4] == w[:4] and g[4:] == pytest.approx(w[4:], abs=2e-6)
 
 
 def test_lm_blocks_do_not_matter(docs, monkeypatch):
-    want = {r.doc_id: r.score for r in ngramlm.score_documents(docs, 3).collect()}
-    monkeypatch.setattr(ngramlm, "block_count", lambda n: 7)
-    monkeypatch.setattr(ngramlm, "shard_count", lambda n: 5)
-    got = {r.doc_id: r.score for r in ngramlm.score_documents(docs, 3).collect()}
-    assert got == pytest.approx(want)
+    want = {r.doc_id: r.score for r in ngramlm.score_documents(docs).collect()}
+    monkeypatch.setattr(ngramlm, "side", lambda n: 7)
+    got = {r.doc_id: r.score for r in ngramlm.score_documents(docs).collect()}
+    assert got == pytest.approx(want, rel=1e-3)  # n-grams that share a hash may be in one block or not
+
+
+def test_lm_stretches_do_not_matter(docs, monkeypatch):
+    """A block and a shard that are worked on in many stretches give what they give in one."""
+    rows = docs.limit(60).collect()
+    table = pa.table({"block": pa.array([0] * len(rows), pa.int32()), "text": [r.text for r in rows], "held_out": [i % 9 == 0 for i in range(len(rows))]})
+
+    def run(step):
+        hashes, counts = ngramlm.ask(table, 3, 40)
+        cuts = np.searchsorted(hashes, common.shard_bounds(3, 40))
+        replies = []
+        for shard, (h, c) in enumerate(zip(np.split(hashes, cuts), np.split(counts, cuts), strict=True)):
+            asked = pa.table({"shard": pa.array([shard] * 2, pa.int32()), "from": pa.array([0, 1], pa.int32()), "hashes": [common.pack(h), common.pack(h[::2].copy())], "counts": [common.pack_counts(c), common.pack_counts(c[::2])]})
+            replies.append(common.answer_shard(asked, 3, 40, ngramlm.tally, step))
+        both = pa.concat_tables(replies)
+        return ngramlm.score_block(table, both.filter(pc.equal(both["block"], 0)), 3, 40)
+
+    want = run(1 << 20)
+    monkeypatch.setattr(ngramlm, "steps", lambda texts: common.steps(texts, 5000))
+    assert len(list(ngramlm.steps([b"x" * 900] * 60))) > 5
+    got = run(100)
+    assert got["score"] == pytest.approx(want["score"]) and got["n_known"] == want["n_known"] and got["train_tokens"] == want["train_tokens"]
+
+
+def test_messages_of_the_counter_grow_with_the_text():
+    for size in (10**8, 10**9, 10**12, 10**14):
+        assert 7 <= common.side(8 * size) ** 2 / common.side(size) ** 2 <= 9
+    assert common.side(0) == common.side(1) == 1 and common.hash_bits(1 << 50) == 64 and common.hash_bits(1 << 30) == 53
+
+
+def test_counts_are_those_of_all_blocks(spark):
+    """Rows between ask and answer, and counts, of a corpus and of one eight times as large."""
+    rows = []
+    for times in (1, 8):
+        table = spark.range(400 * times).select((F.col("id") % (5 * times)).cast("int").alias("block"), (F.col("id") % 37).alias("x"))
+
+        def features(own):
+            values, counts = np.unique(own["x"].to_numpy(), return_counts=True)
+            return values.astype(np.uint64) << np.uint64(4), counts.astype(np.int64)
+
+        n = common.side(400 * times * common.MESSAGE_BYTES)
+        blocked = table.withColumn("block", F.pmod(F.xxhash64("x", "block"), F.lit(n)).cast("int"))
+        answers = common.corpus_counts(blocked, features, n, 10).collect()
+        rows.append(len(answers))
+        total = Counter()
+        for r in table.collect():
+            total[r.x] += 1
+        of = defaultdict(list)
+        for r in sorted(answers, key=lambda r: r.shard):
+            of[r.block] += common.unpack_counts(r.counts).tolist()
+        asked = defaultdict(set)
+        for r in blocked.collect():
+            asked[r.block].add(r.x)
+        assert {b: [total[x] for x in sorted(v)] for b, v in asked.items()} == dict(of)
+    assert rows[1] <= 9 * rows[0]
+
+
+def test_join_on_hot_keys(spark):
+    left = spark.createDataFrame([(i % 7 if i % 2 else 1, i) for i in range(200)] + [(None, -1)], "k long, v long")
+    right = spark.createDataFrame([(k, 10 * k) for k in range(5)], "k long, w long")
+    want = sorted(map(tuple, left.join(right, "k").collect()))
+    assert want == sorted(map(tuple, common.join_hot(left, right, "k", common.hot_keys(left, "k", 201, 4)).select("k", "v", "w").collect()))
 
 
 def test_lm_probabilities_sum_to_one():
-    """After any context, the known tokens and one unknown share 1."""
-    import pyarrow as pa
-
+    """After any context, the known tokens, one unknown and the end share 1."""
     train = [b"a b a b c", b"b c a", b"a a a"]
-    table = pa.table({"text": pa.array([x.decode() for x in train]), "held_out": [False] * 3})
-    hashes, counts = ngramlm.ask(table, 3)
+    hashes, counts = ngramlm.ask(pa.table({"text": [x.decode() for x in train], "held_out": [False] * 3}))
     known = dict(zip(hashes.tolist(), counts.tolist(), strict=True))
-    odd = [c for h, c in known.items() if h & 1]
+    tallies = ngramlm.tally(hashes, counts)
+    single = tallies.reshape(ngramlm.KINDS, -1)[0]
+    n_types, n_tokens = int(single[1 : 1 + ngramlm.BUCKETS].sum()), int(single[1 + ngramlm.BUCKETS :].sum())
+    assert (n_types, n_tokens) == (4, 14)
+
+    def log_prob(text, with_end):
+        found = ngramlm.grams([text.encode()])
+        own, ids = ngramlm.numbered(found)
+        c = np.array([known.get(h, 0) for h in own.tolist()])
+        automaton = ngramlm.build(found, ids, c, n_tokens, n_types, ngramlm.fitted_halves(tallies, 3))
+        usable = [np.where(v & (c[k] > 0), k, -1) for k, v in zip(ids, found.valid, strict=True)]
+        arcs = list(zip(*(u[1:].tolist() for u in reversed(usable)), strict=True))
+        arcs = arcs if with_end else arcs[:-1]
+        return automaton.score(arcs, int(usable[0][0]) + 1) if arcs else 0.0
+
     for prefix in ("", "a", "a b", "c a", "zz"):
-        probs = []
-        for word in ("a", "b", "c", "new", None):
-            texts = [prefix, f"{prefix} {word}" if word else prefix]
-            scores = []
-            for i, text in enumerate(texts):
-                one = pa.table({"text": pa.array([text]), "held_out": [True]})
-                own, _ = ngramlm.ask(one, 3)
-                reply = pa.table({"shard": [0], "counts": [ngramlm.answered and __import__("readloom.llm.common", fromlist=["x"]).pack_counts(np.array([known.get(h, 0) for h in own.tolist()]))], "n_odd": [len(odd)], "total_odd": [sum(odd)]})
-                found = ngramlm.grams([text.encode()], 3)
-                _, ids = ngramlm.numbered(found)
-                c = ngramlm.answered(reply)
-                automaton = ngramlm.build(found, ids, c, sum(odd), len(odd))
-                usable = [np.where(v & (c[k] > 0), k, -1) for k, v in zip(ids, found.valid, strict=True)]
-                arcs = list(zip(*(u[1:].tolist() for u in reversed(usable)), strict=True))
-                if word is not None or i:
-                    arcs = arcs[:-1] if word is not None else arcs
-                elif not i:
-                    arcs = arcs[:-1]
-                scores.append(automaton.score(arcs, int(usable[0][0]) + 1) if arcs else 0.0)
-            probs.append(10 ** (scores[1] - scores[0]))
-        assert sum(probs) == pytest.approx(1.0)
+        before = log_prob(prefix, False)
+        after = [log_prob(f"{prefix} {word}", False) for word in ("a", "b", "c", "new")] + [log_prob(prefix, True)]
+        assert sum(10 ** (x - before) for x in after) == pytest.approx(1.0)
 
 
 def test_lm_query_has_trigrams_with_fitted_weights(spark, sf_dir, docs):

@@ -442,17 +442,17 @@ def test_lm_blocks_do_not_matter(docs, monkeypatch):
 def test_lm_stretches_do_not_matter(docs, monkeypatch):
     """A block and a shard that are worked on in many stretches give what they give in one."""
     rows = docs.limit(60).collect()
-    table = pa.table({"block": pa.array([0] * len(rows), pa.int32()), "text": [r.text for r in rows], "held_out": [i % 9 == 0 for i in range(len(rows))]})
+    block = ngramlm.Block([r.doc_id for r in rows], [(r.text or "").encode() for r in rows], np.arange(len(rows)) % 9 == 0)
 
     def run(step):
-        hashes, counts = ngramlm.ask(table, 3, 40)
+        hashes, counts = ngramlm.ask(block, 3, 40)
         cuts = np.searchsorted(hashes, common.shard_bounds(3, 40))
         replies = []
         for shard, (h, c) in enumerate(zip(np.split(hashes, cuts), np.split(counts, cuts), strict=True)):
             asked = pa.table({"shard": pa.array([shard] * 2, pa.int32()), "from": pa.array([0, 1], pa.int32()), "hashes": [common.pack(h), common.pack(h[::2].copy())], "counts": [common.pack_counts(c), common.pack_counts(c[::2])]})
             replies.append(common.answer_shard(asked, 3, 40, ngramlm.tally, step))
         both = pa.concat_tables(replies)
-        return ngramlm.score_block(table, both.filter(pc.equal(both["block"], 0)), 3, 40)
+        return ngramlm.score_block(block, both.filter(pc.equal(both["block"], 0)), 3, 40)
 
     want = run(1 << 20)
     monkeypatch.setattr(ngramlm, "steps", lambda texts: common.steps(texts, 5000))
@@ -504,7 +504,7 @@ def test_join_on_hot_keys(spark):
 def test_lm_probabilities_sum_to_one():
     """After any context, the known tokens, one unknown and the end share 1."""
     train = [b"a b a b c", b"b c a", b"a a a"]
-    hashes, counts = ngramlm.ask(pa.table({"text": [x.decode() for x in train], "held_out": [False] * 3}))
+    hashes, counts = ngramlm.ask(ngramlm.Block([1, 2, 3], train, np.zeros(3, bool)))
     known = dict(zip(hashes.tolist(), counts.tolist(), strict=True))
     tallies = ngramlm.tally(hashes, counts)
     single = tallies.reshape(ngramlm.KINDS, -1)[0]
@@ -635,56 +635,101 @@ def test_packing(request, which):
             assert offset == at
             at += length
         assert at <= packing.WINDOW
-    if which == "docs":
-        assert sum(want.values()) / (len(sequences) * packing.WINDOW) > 0.98
-
-
-def test_neighbours_share_words():
-    rng = np.random.default_rng(5)
-    docs = [rng.integers(1000 * (i % 4), 1000 * (i % 4) + 200, 500).astype(np.uint32) for i in range(64)]
-    by = defaultdict(set)
-    for p in packing.pack(docs):
-        by[p.sequence].add(p.doc % 4)
-    assert sum(len(x) == 1 for x in by.values()) >= len(by) - 4
-
-
-def test_neighbours_come_from_the_whole_corpus(spark, monkeypatch):
-    """However the input is split, over many shards and rounds, a seed's neighbours are those of brute force."""
+    assert sum(sum(n for _, n in parts) < packing.WINDOW for parts in sequences.values()) <= 1
+
+
+def plain_neighbours(docs, window):
+    """BM25 of every document that is no seed for each seed's rarest terms, by the definitions."""
+    n, mean = len(docs), sum(map(len, docs)) / len(docs)
+    held = Counter(i for x in docs for i in set(x))
+    pairs = [Counter(p for p in zip(x, x[1:]) if min(held[p[0]], held[p[1]]) * packing.COMMON <= n) for x in docs]
+    rests = [len(x) % window for x in docs]
+    lots = packing.lots(np.arange(n))
+    seeds = sorted(range(n), key=lambda i: (-rests[i], lots[i]))[: sum(rests) // window]
+    df = Counter(p for x in pairs for p in x)
+    others = Counter(p for i, x in enumerate(pairs) if i not in seeds for p in x)
+    out = {}
+    for s in seeds:
+        known = [p for p in pairs[s] if others[p]]
+        last = sorted(df[p] for p in known)[: packing.QUERY_TERMS]
+        sure = [p for p in known if last and df[p] < last[-1]]
+        out[s] = (sure, [p for p in known if last and df[p] == last[-1]], len(last) - len(sure))
+    gain = lambda p, i: np.log(1 + (n - df[p] + 0.5) / (df[p] + 0.5)) * pairs[i][p] * 2.2 / (pairs[i][p] + 1.2 * (0.25 + 0.75 * len(docs[i]) / mean))
+    return seeds, out, gain, pairs
+
+
+def test_neighbours_are_those_of_brute_force(spark, monkeypatch):
+    """The index gives each seed the documents of the whole corpus that score highest, however it is sharded."""
+    rng = np.random.default_rng(8)
+    docs = [(rng.zipf(1.15, int(rng.integers(1, 260))) % 900 + 2).tolist() + [1] for _ in range(300)]
+    docs += [docs[i][3:-2] + [1] for i in range(0, 40, 2)] + [[1], [1]]
+    window = 256
+    seeds, asked, gain, pairs = plain_neighbours(docs, window)
+    frame = spark.createDataFrame([(i, i, len(x), bytearray(packing.as_blob(np.array(x), i % 2 == 0))) for i, x in enumerate(docs)], "row long, tie long, n long, ids binary")
+    corpus = packing.corpus_of(frame.repartition(5), window)
+    assert [i for i, x in enumerate(docs) if corpus.is_seed(np.array([i]), np.array([len(x) % window]))[0]] == sorted(seeds) and len(seeds) > 50
+    results = []
+    for sides, parts in ((1, 1), (6, 5)):
+        monkeypatch.setattr(packing, "side", lambda n, k=sides: k)
+        got = defaultdict(dict)
+        for r in packing.Index(corpus, window).neighbours(frame.repartition(parts)).collect():
+            got[r.seed][r.doc] = r.score * packing.STEP
+        results.append(got)
+    assert results[0] == results[1]
+    for s in seeds:
+        sure, tied, n_tied = asked[s]
+        found = results[0][s]
+        assert not set(found) & set(seeds) and len(found) <= packing.ASKED
+        plain = {i: sum(gain(p, i) for p in sure if pairs[i][p]) for i in range(len(docs)) if i not in seeds}
+        if n_tied == len(tied):  # no tie at the last term: the query is the same
+            plain = {i: sum(gain(p, i) for p in [*sure, *tied] if pairs[i][p]) for i in plain}
+            want = sorted((v for v in plain.values() if v), reverse=True)[: packing.ASKED]
+            assert sorted(found.values(), reverse=True) == pytest.approx(want, rel=2e-3)
+            assert all(v == pytest.approx(plain[i], rel=2e-3) for i, v in found.items())
+        else:
+            most = {i: v + sum(gain(p, i) for p in tied if pairs[i][p]) for i, v in plain.items()}
+            assert all(plain[i] * 0.998 <= v <= most[i] * 1.002 for i, v in found.items())
+
+
+def test_windows_are_filled_with_neighbours(spark):
+    """Parts of a text share its window, however the input is split."""
     rng = np.random.default_rng(6)
     vocabulary = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).get_vocab()
-    words = sorted(t[:-4] for t in vocabulary if t.endswith("</w>") and t[:-4].isascii() and t[:-4].isalpha() and t.islower() and len(t) > 8)
-    topics = [words[150 * i : 150 * (i + 1)] for i in range(4)]
-    data = [(i, " ".join(rng.choice(topics[i % 4], 400))) for i in range(96)]
-    for name, value in (("SHARD_DOCS", 20), ("ALONE_DOCS", 30), ("SEEDS", 6), ("ASKED", 8)):
-        monkeypatch.setattr(packing, name, value)
+    words = np.array(sorted(t[:-4] for t in vocabulary if t.endswith("</w>") and t[:-4].isascii() and t[:-4].isalpha() and t.islower() and len(t) > 8))
+    data = []
+    for i in range(60):
+        whole = rng.choice(words, 1420).tolist()
+        data.append((i, " ".join(whole)))
+        data += [(100 * i + 100 + k, " ".join(whole[200 * k : 200 * k + 190])) for k in range(3)]
     results = []
     for parts in (1, 7):
-        df = spark.createDataFrame(data, "doc_id long, text string").repartition(parts)
-        got = packing.pack_documents(df, with_ids=False).collect()
+        got = packing.pack_documents(spark.createDataFrame(data, "doc_id long, text string").repartition(parts), with_ids=False).collect()
         assert sum(r.length for r in got) == sum({r.doc_id: r.doc_tokens for r in got}.values())
         by = defaultdict(set)
         for r in got:
-            by[r.sequence_id].add(r.doc_id)
-        assert sum(len({d % 4 for d in x}) == 1 for x in by.values()) >= len(by) - 5
-        results.append(Counter(frozenset(x) for x in by.values()))
+            by[r.doc_id].add(r.sequence_id)
+        with_source = [bool(by[d] & by[d // 100 - 1]) for d in by if d >= 100]
+        assert sum(with_source) >= 0.95 * len(with_source)
+        filled = Counter()
+        for r in got:
+            filled[r.sequence_id] += r.length
+        assert sum(v < packing.WINDOW for v in filled.values()) == 1
+        groups = defaultdict(set)
+        for r in got:
+            groups[r.sequence_id].add((r.doc_id, r.start, r.length))
+        results.append(Counter(map(frozenset, groups.values())))
     assert results[0] == results[1]
 
 
-def test_nearest_over_shards_has_full_recall():
-    rng = np.random.default_rng(8)
-    docs = [(rng.zipf(1.3, 80) % 500).astype(np.uint32) for _ in range(200)]
-    corpus, seeds, rows = packing.Corpus.of(docs), [np.unique(x) for x in docs[:20]], np.arange(200)
-
-    def shard(own):
-        return rows[own], rows[own], np.ones(len(own), bool), packing.Bm25([docs[i] for i in own], corpus)
-
-    _, _, got = packing.nearest(iter([shard(np.arange(k, 200, 7)) for k in range(7)]), seeds, 10)
-    df = Counter(t for x in docs for t in set(x.tolist()))
-    mean = sum(map(len, docs)) / 200
-    for seed, near in zip(seeds, got, strict=True):
-        tf = [Counter(x.tolist()) for x in docs]
-        want = [sum(np.log(1 + (200 - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * len(x) / mean)) for t in seed.tolist()) for x, c in zip(docs, tf, strict=True)]
-        assert sorted((want[i] for i in near), reverse=True) == pytest.approx(sorted(want, reverse=True)[:10], abs=1e-3)
+def test_seeds_of_equally_long_documents(spark):
+    rests = np.zeros(64, np.int64)
+    rests[40], rests[50] = 10_000, 10
+    assert packing.seeds_by_length(rests, 64) == (40, (10_000 * 40 + 500) // 64 - 10)
+    assert packing.seeds_by_length(np.zeros(64, np.int64), 64) == (0, 0)
+    docs = spark.range(5000).select(F.col("id").alias("tie"), F.lit(104).cast("long").alias("n"))
+    for missing in (1, 7, 999, 3000):
+        drawn = int((packing.lots(np.arange(5000)) < packing.share_of(docs, 40, missing, 5000, 64)).sum())
+        assert drawn == missing if missing < packing.EXACT_LOTS else 0.7 * missing < drawn < missing
 
 
 # --- op10

@@ -18,7 +18,7 @@ from readloom.storage import materialize, shared_dir, shared_path
 __all__ = ["materialize", "shared_dir", "shared_path"]
 
 #: Text bytes of the corpus for each message between a block of documents and a shard of the corpus counter.
-MESSAGE_BYTES = 4 << 10
+MESSAGE_BYTES = 6 << 10
 #: Text bytes of a block, and features of a shard, that are worked on at a time.
 STEP_BYTES, STEP_FEATURES = 8 << 20, 4 << 20
 
@@ -91,8 +91,8 @@ def shard_bounds(n_shards: int, bits: int = 64) -> np.ndarray:
 
 def side(total_bytes: int) -> int:
     """How many blocks the corpus is dealt into, and how many shards its features: the root of the messages that MESSAGE_BYTES
-    allows. So messages grow in proportion to the text, and a block or shard with its root: 2 MB of 1 GB, 64 MB of 1 TB,
-    640 MB of 100 TB."""
+    allows. So messages grow in proportion to the text, and a block or shard with its root: 2.5 MB of 1 GB, 80 MB of 1 TB,
+    800 MB of 100 TB."""
     return max(1, math.isqrt(total_bytes // MESSAGE_BYTES))
 
 

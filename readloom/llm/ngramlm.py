@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readloom.llm.common import (
     TokenHashes,
     answered,
+    batches,
     corpus_counts,
     hash_bits,
     mix,
@@ -34,6 +37,8 @@ HALF = 4.0
 ADDED = 0.1
 #: The last three bits of a hash tell the n-gram's order: 0 and 1 single tokens, then 2, 4 and, for all longer ones, 6.
 KINDS, BUCKETS = 4, 48
+#: Text bytes that a task puts together by block at a time.
+DEALT_BYTES = 32 << 20
 #: What stands before the first and after the last word; no word has a white-space character.
 START, END = b" start", b" end"
 
@@ -216,9 +221,56 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
 
 
-def ask(table: pa.Table, order: int = ORDER, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+@dataclass
+class Block:
+    """Documents of a block: ids (None for null), texts (null as empty) and which are held out."""
+
+    ids: list[int | None]
+    texts: list[bytes]
+    held: np.ndarray
+
+    @staticmethod
+    def read(table: pa.Table) -> Block:
+        """A block from its rows, each some documents of one task; see deal."""
+        ids: list[int | None] = []
+        texts: list[bytes] = []
+        held = []
+        for row in table.to_pylist():
+            own, sizes, flags = (np.frombuffer(row[k], t) for k, t in (("ids", "<i8"), ("sizes", "<i8"), ("flags", "u1")))
+            data, ends = zstandard.decompress(row["texts"]), np.cumsum(sizes)
+            ids += [None if f & 2 else i for i, f in zip(own.tolist(), flags.tolist(), strict=True)]
+            texts += [data[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+            held.append((flags & 1) > 0)
+        return Block(ids, texts, np.concatenate(held) if held else np.zeros(0, bool))
+
+
+def deal(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents (block, doc_id, text, held_out) of a task put together by block and compressed, DEALT_BYTES at a time."""
+    held: dict[int, list[tuple[int | None, bytes, bool]]] = {}
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        out: dict[str, list] = {"block": list(held), "ids": [], "sizes": [], "flags": [], "texts": []}
+        for own in held.values():
+            out["ids"].append(np.array([i or 0 for i, _, _ in own], "<i8").tobytes())
+            out["sizes"].append(np.array([len(x) for _, x, _ in own], "<i8").tobytes())
+            out["flags"].append(np.array([h + 2 * (i is None) for i, _, h in own], "u1").tobytes())
+            out["texts"].append(zstandard.compress(b"".join(x for _, x, _ in own), 1))
+        return pa.record_batch({k: pa.array(v, pa.int32() if k == "block" else pa.binary()) for k, v in out.items()})
+
+    for batch in batches(rows):
+        for block, doc, text, held_out in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), batch.column(3).to_pylist(), strict=True):
+            held.setdefault(block, []).append((doc, text, held_out))
+            size += len(text)
+        if size >= DEALT_BYTES:
+            yield flush()
+            held, size = {}, 0
+    yield flush()
+
+
+def ask(block: Block, order: int = ORDER, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """A block's distinct n-grams, and how often its training documents have each."""
-    texts, held = utf8(table["text"]), np.array(table["held_out"].to_pylist(), bool)
+    texts, held = block.texts, block.held
     parts = []
     for begin, end in steps(texts):
         found = grams(texts[begin:end], order, bits)
@@ -231,15 +283,15 @@ def ask(table: pa.Table, order: int = ORDER, bits: int = 64) -> tuple[np.ndarray
     return summed(parts)
 
 
-def score_block(docs: pa.Table, answers: pa.Table, order: int = ORDER, bits: int = 64, fitted: bool = True) -> dict[str, list]:
+def score_block(block: Block, answers: pa.Table, order: int = ORDER, bits: int = 64, fitted: bool = True) -> dict[str, list]:
     """Scores of a block's texts, from the corpus counts of its n-grams."""
-    texts, counts = utf8(docs["text"]), answered(answers)
+    texts, counts = block.texts, answered(answers)
     tallies = sum(unpack_counts(x) for x in answers["tally"].to_pylist())
     single = tallies.reshape(KINDS, 1 + 2 * BUCKETS)[0]
     n_types, n_tokens = int(single[1 : 1 + BUCKETS].sum()), int(single[1 + BUCKETS :].sum())
     halves = fitted_halves(tallies, order) if fitted else None
     stretches = list(steps(texts))
-    known = ask(docs, order, bits)[0] if len(stretches) > 1 else None
+    known = ask(block, order, bits)[0] if len(stretches) > 1 else None
     out: dict[str, list] = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
     for begin, end in stretches:
         found = grams(texts[begin:end], order, bits)
@@ -281,13 +333,15 @@ def score_documents(docs: DataFrame, order: int = ORDER, fitted: bool = True) ->
     """
     size = text_bytes(docs)
     n, bits = side(size), hash_bits(size)
-    blocked = with_block(docs.select("doc_id", "text", held_out().alias("held_out")), "doc_id", n)
-    answers = corpus_counts(blocked, lambda table: ask(table, order, bits), n, bits, tally)
+    rows = with_block(docs.select("doc_id", "text", held_out().alias("held_out")), "doc_id", n)
+    blocked = rows.select("block", F.col("doc_id").cast("long"), "text", "held_out").mapInArrow(deal, "block int, ids binary, sizes binary, flags binary, texts binary")
+    answers = corpus_counts(blocked, lambda table: ask(Block.read(table), order, bits), n, bits, tally)
 
     def score(_: tuple, own: pa.Table, counts: pa.Table) -> pa.Table:
-        found = score_block(own, counts, order, bits, fitted)
+        block = Block.read(own)
+        found = score_block(block, counts, order, bits, fitted)
         return pa.table(
-            {"doc_id": own["doc_id"].cast(pa.int64()), "held_out": own["held_out"]}
+            {"doc_id": pa.array(block.ids, pa.int64()), "held_out": pa.array(block.held)}
             | {k: pa.array(found[k], pa.int64()) for k in ("n_tokens", "n_known", "train_tokens")}
             | {k: pa.array(found[k], pa.float64()) for k in ("base_score", "score")}
         )

@@ -57,10 +57,10 @@ def mix(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
     return x
 
 
-def with_block(docs: DataFrame, key: str, n_blocks: int) -> DataFrame:
-    """Adds `block`, a number below n_blocks that follows from the key and, so that a
+def with_block(docs: DataFrame, key: str, n_blocks: int, name: str = "block") -> DataFrame:
+    """Adds `block` or another name, a number below n_blocks that follows from the key and, so that a
     repeated key cannot fill a block, from the text."""
-    return docs.withColumn("block", F.pmod(F.xxhash64(key, "text"), F.lit(n_blocks)).cast("int"))
+    return docs.withColumn(name, F.pmod(F.xxhash64(key, "text"), F.lit(n_blocks)).cast("int"))
 
 
 def pack(values: np.ndarray) -> bytes:

@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from readloom.llm.common import batches, mix, utf8
+from readloom.llm.common import mix, pack, shard_bounds, side, text_bytes, unpack, utf8, with_block
 
 SPACE = b" \t\n\x0b\x0c\r"
 MIN_CHARS = 20
 MIN_DOCS = 3
-#: Line hashes that a shard of the index aims at; also the probes in one chunk.
-SHARD_KEYS = 1 << 16
+#: Stands for a null doc_id, below all others.
+NULL_ID = -(1 << 63)
 GAMMA = 2.0
 
 
@@ -65,167 +63,143 @@ class PerfectHash:
             offset += size
         return out
 
-    def dump(self) -> bytes:
-        return np.packbits(self.bits).tobytes()
-
-    @classmethod
-    def load(cls, sizes: list[int], blob: bytes) -> PerfectHash:
-        return cls(sizes, np.unpackbits(np.frombuffer(blob, np.uint8), count=sum(sizes)).astype(bool))
-
-
-def line_hashes(docs: DataFrame, n_shards: int, min_chars: int) -> DataFrame:
-    """(shard, lo, hi, n_docs, last): for each task and distinct key its 128-bit hash in two halves, the rows that
-    hold it and the largest doc_id among them. Null ids count as documents and sort below all others."""
-
-    def scan(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, list[int]] = {}
-        for batch in batches(rows):
-            for doc, data in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-                doc = -(1 << 63) if doc is None else doc
-                lines = data.lower().split(b"\n")
-                for key in {k for k in (line_key(x, min_chars) for x in lines) if k is not None}:
-                    entry = seen.setdefault(xxhash.xxh3_128_digest(key), [0, doc])
-                    entry[0] += 1
-                    entry[1] = max(entry[1], doc)
-            if len(seen) >= 1 << 18:
-                yield partial(seen)
-                seen = {}
-        yield partial(seen)
-
-    def partial(seen: dict[bytes, list[int]]) -> pa.RecordBatch:
-        both = np.frombuffer(b"".join(seen), "<u8").reshape(-1, 2)
-        counts = np.array(list(seen.values()), np.int64).reshape(-1, 2)
-        return pa.record_batch({"lo": both[:, 0].view(np.int64), "hi": both[:, 1].view(np.int64), "n_docs": counts[:, 0], "last": counts[:, 1]})
-
-    return (
-        docs.select("doc_id", "text")
-        .mapInArrow(scan, "lo long, hi long, n_docs long, last long")
-        .groupBy("lo", "hi")
-        .agg(F.sum("n_docs").alias("n_docs"), F.max("last").alias("last"))
-        .withColumn("shard", F.pmod("hi", F.lit(n_shards)).cast("int"))
-    )
-
-
-def line_index(hashes: DataFrame) -> DataFrame:
-    """(shard, sizes, bits, prints, n_docs, last): a perfect hash of each shard's line hashes and the arrays it indexes."""
-
-    def build(table: pa.Table) -> pa.Table:
-        lo, hi, n_docs, last = (table[c].to_numpy() for c in ("lo", "hi", "n_docs", "last"))
-        keys = mix(lo.view(np.uint64), hi.view(np.uint64))
-        hashed = PerfectHash.build(keys)
-        order = np.empty(len(keys), np.int64)
-        order[hashed.index(keys)] = np.arange(len(keys))
-        return pa.table(
-            {
-                "shard": table["shard"][:1],
-                "sizes": pa.array([hashed.sizes], pa.list_(pa.int64())),
-                "bits": pa.array([hashed.dump()], pa.binary()),
-                "prints": pa.array([lo[order].tobytes()], pa.binary()),
-                "n_docs": pa.array([n_docs[order].tobytes()], pa.binary()),
-                "last": pa.array([last[order].tobytes()], pa.binary()),
-            }
-        )
-
-    return hashes.groupBy("shard").applyInArrow(
-        build, "shard int, sizes array<bigint>, bits binary, prints binary, n_docs binary, last binary"
-    )
-
-
-def line_probes(docs: DataFrame, n_shards: int, min_chars: int) -> DataFrame:
-    """(shard, docs, lo, hi): chunks of documents' line hashes, each for one shard of the index."""
-
-    def scan(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[int] = []
-        keys: list[bytes] = []
-        for batch in batches(rows):
-            for doc, data in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-                doc = -(1 << 63) if doc is None else doc
-                lines = data.lower().split(b"\n")
-                found = {xxhash.xxh3_128_digest(k) for k in (line_key(x, min_chars) for x in lines) if k is not None}
-                keys += found
-                ids += [doc] * len(found)
-            if len(keys) >= 4 * SHARD_KEYS:
-                yield chunks(ids, keys)
-                ids, keys = [], []
-        yield chunks(ids, keys)
-
-    def chunks(ids: list[int], keys: list[bytes]) -> pa.RecordBatch:
-        both, doc = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2), np.array(ids, np.int64)
-        shard = both[:, 1] % n_shards
-        order = np.argsort(shard, kind="stable")
-        present, starts = np.unique(shard[order], return_index=True)
-        parts = np.split(order, starts[1:]) if len(order) else []
-        return pa.record_batch(
-            {
-                "shard": pa.array(present, pa.int32()),
-                "docs": pa.array([doc[p].tobytes() for p in parts], pa.binary()),
-                "lo": pa.array([both[p, 0].tobytes() for p in parts], pa.binary()),
-                "hi": pa.array([both[p, 1].tobytes() for p in parts], pa.binary()),
-            }
-        )
-
-    return docs.select("doc_id", "text").mapInArrow(scan, "shard int, docs binary, lo binary, hi binary")
-
-
-def probe(probes: DataFrame, index: DataFrame, min_docs: int) -> DataFrame:
-    """(doc_id, keys): the hashes whose lines the document loses, packed; a document may have several rows."""
-
-    def look(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            for row in range(batch.num_rows):
-                x = {c: batch.column(c)[row].as_py() for c in batch.schema.names}
-                doc, lo, hi = (np.frombuffer(x[c], np.int64) for c in ("docs", "lo", "hi"))
-                at = PerfectHash.load(x["sizes"], x["bits"]).index(mix(lo.view(np.uint64), hi.view(np.uint64)))
-                prints, n_docs, last = (np.frombuffer(x[c], np.int64) for c in ("prints", "n_docs", "last"))
-                lose = (at >= 0) & (prints[at] == lo) & (n_docs[at] >= min_docs) & (last[at] != doc)
-                order = np.flatnonzero(lose)[np.argsort(doc[lose], kind="stable")]
-                ids, starts = np.unique(doc[order], return_index=True)
-                keys = np.stack([lo[order], hi[order]], axis=1)
-                parts = np.split(keys, starts[1:]) if len(ids) else []
-                yield pa.record_batch({"doc_id": ids, "keys": pa.array([p.tobytes() for p in parts], pa.binary())})
-
-    return probes.join(index, "shard").select("docs", "lo", "hi", "sizes", "bits", "prints", "n_docs", "last").mapInArrow(
-        look, "doc_id long, keys binary"
-    )
+class LineIndex:
+    """A shard's distinct line hashes: a perfect hash and the arrays that it indexes, a fingerprint, how many documents hold the
+    line (counted up to `min_docs`) and the last of them."""
+
+    def __init__(self, lo: np.ndarray, hi: np.ndarray, doc: np.ndarray, min_docs: int):
+        """From entries (line hash in two halves, document), each of which may be repeated."""
+        order = np.lexsort((doc, lo, hi))
+        lo, hi, doc = lo[order], hi[order], doc[order]
+        new = np.ones(len(lo), bool)
+        new[1:] = (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+        self.hash = PerfectHash.build(mix(lo[new], hi[new]))
+        at = self.hash.index(mix(lo, hi))
+        self.prints, self.last = np.zeros(len(new[new]), np.uint64), np.full(len(new[new]), NULL_ID, np.int64)
+        self.counts = np.zeros(len(new[new]), np.uint8 if min_docs < 256 else np.int64)
+        self.prints[at] = lo
+        fresh = new.copy()
+        fresh[1:] |= doc[1:] != doc[:-1]
+        counted = np.bincount(at[fresh], minlength=len(self.counts))
+        self.counts[:] = np.minimum(counted, min_docs)
+        np.maximum.at(self.last, at, doc)
+
+    def probe(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many documents hold each line, up to min_docs, and the last; 0 for lines that the index lacks."""
+        at = self.hash.index(mix(lo, hi))
+        known = (at >= 0) & (len(self.prints) > 0)
+        at = np.where(known, at, 0)
+        known[known] = self.prints[at[known]] == lo[known]
+        return np.where(known, self.counts[at] if len(self.counts) else 0, 0), self.last[at] if len(self.last) else np.full(len(at), NULL_ID)
+
+
+def entries(table: pa.Table, min_chars: int, min_docs: int) -> tuple[np.ndarray, ...]:
+    """A block's (lo, hi, first, doc): distinct line hashes in order of (hi, lo), where the documents of each begin, and
+    of those the `min_docs` last distinct ones, which is all that counts."""
+    keys: list[bytes] = []
+    docs: list[int] = []
+    for doc, data in zip(table["doc_id"].to_pylist(), utf8(table["text"]), strict=True):
+        found = {xxhash.xxh3_128_digest(k) for k in (line_key(x, min_chars) for x in data.lower().split(b"\n")) if k is not None}
+        keys += found
+        docs += [NULL_ID if doc is None else doc] * len(found)
+    both, doc = np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2), np.array(docs, np.int64)
+    order = np.lexsort((~doc, both[:, 0], both[:, 1]))  # ~ turns the order around
+    lo, hi, doc = both[order, 0], both[order, 1], doc[order]
+    new = np.ones(len(lo), bool)
+    new[1:] = (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+    fresh = new.copy()
+    fresh[1:] |= doc[1:] != doc[:-1]
+    lo, hi, doc, new = lo[fresh], hi[fresh], doc[fresh], new[fresh]
+    begin = np.flatnonzero(new)
+    rank = np.arange(len(new)) - np.repeat(begin, np.diff(np.append(begin, len(new))))
+    keep = rank < min_docs
+    lo, hi, doc, new = lo[keep], hi[keep], doc[keep], new[keep]
+    begin = np.flatnonzero(new)
+    return lo[begin], hi[begin], begin, doc
+
+
+def squeezed(values: np.ndarray) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(values).tobytes(), 1)
+
+
+def loose(blob: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(blob), kind)
 
 
 def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """`docs` with kept_text, n_lines and n_dropped added.
+    """`docs` with kept_text, n_lines and n_dropped added; columns of these names are replaced, others kept.
 
     A line's key is the line without ASCII white space at its ends, A-Z lower-cased. Keys of at least `min_chars`
-    code points in at least `min_docs` documents lose their lines except in the largest doc_id that holds them.
-    The index has the keys of at least `min_docs` documents; a key is 128 bits, of which the perfect hash takes all
-    and the fingerprint checks half. Null and empty texts are one empty line. Rows of one doc_id count as one
-    document each for `min_docs` and all keep the line if theirs is the largest id; null ids sort below all others.
+    code points in at least `min_docs` documents lose their lines except in the largest doc_id that holds them. Rows of one
+    doc_id are one document for `min_docs`, and all keep the line if theirs is the largest id; null ids are one document that sorts
+    below all others. Null and empty texts are one empty line; an empty table gives no rows.
+
+    Documents are dealt into blocks, line hashes of 128 bits into shards. A block sends each shard its distinct hashes
+    with the last `min_docs` documents of each, so a line that all documents share is one entry a block. A shard loads them
+    once into its index over all distinct hashes, whose arrays the blocks' hashes then probe; answers are the lines to
+    drop and who keeps them. The perfect hash takes the whole hash and the fingerprint checks half of it.
     """
-    docs = docs.drop("kept_text", "n_lines", "n_dropped")  # columns of these names are replaced
-    n_lines = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    n_shards = max(1, min(1 << 20, n_lines // (64 * SHARD_KEYS)))
-    index = line_index(line_hashes(docs, n_shards, min_chars).where(F.col("n_docs") >= min_docs))
-    lost = probe(line_probes(docs, n_shards, min_chars), index, min_docs)
-    lost = lost.groupBy("doc_id").agg(F.collect_list("keys").alias("_lost")).withColumnRenamed("doc_id", "_lost_id")
-    joined = docs.join(lost, F.coalesce(docs["doc_id"], F.lit(-(1 << 63))) == lost["_lost_id"], "left").drop("_lost_id")
-    names = docs.columns
-
-    def rewrite(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows):
-            kept, n, gone = [], [], []
-            for data, keys in zip(utf8(batch.column("text")), batch.column("_lost").to_pylist(), strict=True):
-                lines = data.split(b"\n")
-                stay = lines
-                if keys:
-                    packed = b"".join(keys)
-                    drop = {packed[i : i + 16] for i in range(0, len(packed), 16)}
-                    found = ((x, line_key(x.lower(), min_chars)) for x in lines)
-                    stay = [x for x, k in found if k is None or xxhash.xxh3_128_digest(k) not in drop]
-                kept.append(b"\n".join(stay).decode())
-                n.append(len(lines))
-                gone.append(len(lines) - len(stay))
-            columns = [batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())],
-                names=[*names, "kept_text", "n_lines", "n_dropped"],
-            )
-
+    names = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")]
+    docs = docs.select(names)
+    n = side(text_bytes(docs))
+    key = "_block"
+    while key in names:
+        key += "_"
+    blocked = with_block(docs, "doc_id", n, name=key)
+    bounds = shard_bounds(n)
+
+    def ask(table: pa.Table) -> pa.Table:
+        lo, hi, first, doc = entries(table, min_chars, min_docs)
+        cuts = [0, *np.searchsorted(hi, bounds).tolist(), len(hi)]
+        ends = np.append(first, len(doc))
+        out: dict[str, list] = {"shard": [], "lo": [], "hi": [], "n": [], "docs": []}
+        for shard, (b, e) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            if e > b:
+                values = (shard, squeezed(lo[b:e]), pack(hi[b:e]), squeezed(np.diff(ends[b : e + 1]).astype("<u4")), squeezed(doc[ends[b] : ends[e]]))
+                for column, value in zip(out.values(), values, strict=True):
+                    column.append(value)
+        block = pa.array([table[key][0].as_py()] * len(out["shard"]), pa.int32())
+        return pa.table({"from": block} | {k: pa.array(v, pa.int32() if k == "shard" else pa.binary()) for k, v in out.items()})
+
+    def answer(table: pa.Table) -> pa.Table:
+        asked = [(loose(r["lo"], "<u8"), unpack(r["hi"]), loose(r["n"], "<u4"), loose(r["docs"], "<i8")) for r in table.to_pylist()]
+        times = np.concatenate([x[2] for x in asked])
+        index = LineIndex(*(np.repeat(np.concatenate([x[k] for x in asked]), times) for k in (0, 1)), np.concatenate([x[3] for x in asked]), min_docs)
+        out: dict[str, list] = {"block": [], "lo": [], "hi": [], "last": []}
+        for block, (lo, hi, _, _) in zip(table["from"].to_pylist(), asked, strict=True):
+            counts, last = index.probe(lo, hi)
+            drop = counts >= min_docs
+            if drop.any():
+                for column, value in zip(out.values(), (block, squeezed(lo[drop]), squeezed(hi[drop]), squeezed(last[drop])), strict=True):
+                    column.append(value)
+        return pa.table({k: pa.array(v, pa.int32() if k == "block" else pa.binary()) for k, v in out.items()})
+
+    def rewrite(_: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+        last: dict[bytes, int] = {}
+        for r in answers.to_pylist():
+            both = np.stack([loose(r["lo"], "<u8"), loose(r["hi"], "<u8")], axis=1).tobytes()
+            last.update(zip((both[i : i + 16] for i in range(0, len(both), 16)), loose(r["last"], "<i8").tolist(), strict=True))
+        kept, n_lines, gone = [], [], []
+        for doc, data in zip(table["doc_id"].to_pylist(), utf8(table["text"]), strict=True):
+            doc = NULL_ID if doc is None else doc
+            lines = data.split(b"\n")
+            found = ((x, line_key(x.lower(), min_chars)) for x in lines)
+            stay = [x for x, k in found if k is None or last.get(xxhash.xxh3_128_digest(k), doc) == doc] if last else lines
+            kept.append(b"\n".join(stay).decode())
+            n_lines.append(len(lines))
+            gone.append(len(lines) - len(stay))
+        added = {"kept_text": pa.array(kept, pa.string()), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(gone, pa.int64())}
+        return pa.table([*(table[c] for c in names), *added.values()], names=[*names, *added])
+
+    answers = (
+        blocked.groupBy(key)  # with all columns, so that one exchange of the texts serves both
+        .applyInArrow(ask, "from int, shard int, lo binary, hi binary, n binary, docs binary")
+        .groupBy("shard")
+        .applyInArrow(answer, "block int, lo binary, hi binary, last binary")
+    )
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.mapInArrow(rewrite, f"{schema}, kept_text string, n_lines long, n_dropped long")
+    return (
+        blocked.groupBy(key)
+        .cogroup(answers.groupBy("block"))
+        .applyInArrow(rewrite, f"{schema}, kept_text string, n_lines long, n_dropped long")
+    )

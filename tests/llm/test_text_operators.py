@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 import zipfile
 import zlib
 from collections import Counter, defaultdict
@@ -208,6 +209,16 @@ def test_html_odd_pages(html):
     assert isinstance(htmltext.extract(html), str)
 
 
+def test_html_unmatched_ends_take_linear_time():
+    took = []
+    for n in (20_000, 80_000):
+        page = "<b>" * n + "text" + "</i>" * n
+        begin = time.process_time()
+        assert htmltext.extract(page) == "text"
+        took.append(time.process_time() - begin)
+    assert took[1] < 10 * took[0]
+
+
 def test_html_nested_and_multiple_regions():
     """A story may stand in a main and in several articles; lists of links in it that no name tells are dropped."""
     long = [f"Paragraph {i} of the story goes on for a good while, with enough words to be told from a list of links." for i in range(6)]
@@ -264,7 +275,31 @@ def test_line_dedup_keeps_null_ids_and_clashing_columns(spark, odd):
     assert len(got) == len(ODD) and {r.lost for r in got} == {1}
 
 
-CLASHES = ("words", "block", "text_hash", "occurrences", "n_words", "items", "kept", "score", "held_out", "rep", "digest", "class", "start", "matches", "shard", "of_id")
+def test_line_index_counts_documents():
+    """Arrays over all distinct lines, rare ones too: distinct documents up to the bound, and the last."""
+    rng = np.random.default_rng(2)
+    lo, hi, doc = rng.integers(0, 9, 4000).astype(np.uint64), rng.integers(0, 60, 4000).astype(np.uint64), rng.integers(-5, 400, 4000)
+    index = linededup.LineIndex(lo, hi, doc, 3)
+    held = defaultdict(set)
+    for key in zip(lo.tolist(), hi.tolist(), doc.tolist(), strict=True):
+        held[key[:2]].add(key[2])
+    keys = [(a, b) for a in range(12) for b in range(70) if a > 8 or (a, b) in held]  # the fingerprint is the first half
+    counts, last = index.probe(*(np.array(x, np.uint64) for x in zip(*keys, strict=True)))
+    for key, n, top in zip(keys, counts.tolist(), last.tolist(), strict=True):
+        assert n == min(3, len(held[key])) and (not n or top == max(held[key])), key
+    none = linededup.LineIndex(lo[:0], hi[:0], doc[:0], 3)
+    assert none.probe(lo[:2], hi[:2])[0].tolist() == [0, 0]
+
+
+def test_line_dedup_counts_ids_not_rows(spark):
+    line = "a line that is long enough to count"
+    of = lambda ids: {(r.doc_id, r.n_dropped) for r in linededup.dedup_lines(spark.createDataFrame([(i, f"{line}\nown {i}") for i in ids], "doc_id long, text string").repartition(3)).collect()}
+    assert of([1, 1, 2]) == {(1, 0), (2, 0)}
+    assert of([1, 1, 2, 3, 3]) == {(1, 1), (2, 1), (3, 0)}
+    assert of([None, None, 5, 6]) == {(None, 1), (5, 1), (6, 0)}
+
+
+CLASHES = ("words", "_block", "_lost", "holder", "block", "text_hash", "occurrences", "n_words", "items", "kept", "score", "held_out", "rep", "digest", "class", "start", "matches", "shard", "of_id")
 
 
 def test_clashing_columns(spark, sf_dir, odd):
@@ -295,8 +330,7 @@ def test_perfect_hash():
     values = np.unique(np.random.default_rng(1).integers(0, 2**63, 20_000).astype(np.uint64))
     for some in (values, values[:1], values[:0]):
         built = linededup.PerfectHash.build(some)
-        again = linededup.PerfectHash.load(built.sizes, built.dump())
-        assert sorted(again.index(some).tolist()) == list(range(len(some)))
+        assert sorted(built.index(some).tolist()) == list(range(len(some)))
 
 
 # --- op5

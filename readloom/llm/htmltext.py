@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -85,10 +86,16 @@ class LineParser(HTMLParser):
     def __post_init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self._open: list[_Open] = []
+        self._count: Counter[str] = Counter()
         self._text: list[str] = []
         self._tags = 0
         self._regions = 0
 
+    def _pop(self) -> _Open:
+        top = self._open.pop()
+        self._count[top.tag] -= 1
+        return top
+
     def _top(self) -> _Open:
         return self._open[-1] if self._open else _Open("", False, 0)
 
@@ -110,7 +117,7 @@ class LineParser(HTMLParser):
         while self._open and tag in CLOSED_BY.get(self._open[-1].tag, ()):
             if self._open[-1].tag in BLOCK:
                 self._end_line()
-            self._open.pop()
+            self._pop()
         if tag == "p":  # inline elements that were left open before a new paragraph do not join the two
             self._end_line()
         if tag in BLOCK:
@@ -129,15 +136,19 @@ class LineParser(HTMLParser):
         elif tag == "td" or tag == "th":
             self._text.append(" ")
         self._open.append(_Open(tag, hidden, region))
+        self._count[tag] += 1
 
     def handle_endtag(self, tag: str) -> None:
-        at = next((i for i in range(len(self._open) - 1, -1, -1) if self._open[i].tag == tag), -1)
         self._tags += 1
-        if at < 0:
+        if not self._count[tag]:  # an end that matches nothing, in constant time
             return
+        at = len(self._open) - 1
+        while self._open[at].tag != tag:
+            at -= 1
         if any(x.tag in BLOCK for x in self._open[at:]):
             self._end_line()
-        del self._open[at:]
+        while len(self._open) > at:
+            self._pop()
 
     def handle_data(self, data: str) -> None:
         if not self._top().hidden:

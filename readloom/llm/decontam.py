@@ -14,6 +14,8 @@ from readloom.llm.common import materialize
 WINDOW = 10
 #: Terms of a window whose postings are intersected before the words themselves are compared.
 ANCHORS = 2
+#: Tasks that the documents of one term are dealt to.
+SALT = 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word, before A-Z is lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -74,7 +76,10 @@ def rarest_terms(docs: DataFrame, windows: DataFrame, anchors: int = ANCHORS) ->
 
 def phrase_candidates(index: DataFrame, anchors: DataFrame) -> DataFrame:
     """(doc_id, text_hash, wid, start): where all anchor terms of a window stand at their offsets."""
-    lists = index.join(anchors, "term").select(
+    # documents of a frequent term are dealt to SALT tasks, each with the anchors of its term, which the items bound
+    salted = index.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALT)).cast("int"))
+    spread = anchors.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    lists = salted.join(spread, ["term", "salt"]).select(
         "doc_id", "text_hash", "wid", "needed", F.explode(F.transform("positions", lambda p: p - F.col("offset"))).alias("start")
     )
     return (

@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import batches, materialize, shared_path
+from readloom.llm.common import batches, hot_keys, materialize, shared_path
 
 #: Payloads of fewer bytes are never written as revisits.
 MIN_REVISIT = 1000
@@ -169,18 +169,24 @@ def parse_record(data: bytes) -> Record:
 
 def plan_records(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """(page_id, url, html, refers_to): refers_to is the page that holds an equal payload for a revisit, else null.
-    The pages of one payload are counted by digest and length before pages meet them."""
+    The pages of one payload are counted by digest before pages meet them. Payloads that are too short to be revisits meet nothing, and
+    pages of a payload that more than one page in a thousand has stay where they are."""
     payload = F.coalesce("html", F.lit("")).cast("binary")
     keyed = pages.select("page_id", "url", "html", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("n"))
+    long = keyed.where(F.col("n") >= min_revisit)
     equal = (
-        keyed.where(F.col("n") >= min_revisit)
-        .groupBy("digest")
+        long.groupBy("digest")
         .agg(F.max("page_id").alias("holder"), F.count("*").alias("pages"))
         .where("pages > 1")
         .select("digest", "holder")
     )
     other = F.when(~F.col("page_id").eqNullSafe(F.col("holder")), F.col("holder"))
-    return keyed.join(equal, "digest", "left").select("page_id", "url", "html", other.alias("refers_to"))
+    hot = F.broadcast(hot_keys(long, "digest", pages.count()))
+    often = long.join(hot, "digest", "left_semi").join(F.broadcast(equal.join(hot, "digest", "left_semi")), "digest", "left")
+    rare = long.join(hot, "digest", "left_anti").join(equal, "digest", "left")
+    short = keyed.where(F.col("n") < min_revisit).withColumn("holder", F.lit(None).cast(keyed.schema["page_id"].dataType))
+    columns = ["page_id", "url", "html", other.alias("refers_to")]
+    return often.select(columns).unionByName(rare.select(columns)).unionByName(short.select(columns))
 
 
 def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.operators import columns, ranges, stats
+from readloom.operators import columns, derived, pileup, ranges, stats
 from readloom.sources import bam, store, text
 
 
@@ -20,7 +20,8 @@ class ReadStore:
 
     @classmethod
     def ingest(cls, spark: SparkSession, sources: list[str], path: str, lossy_percent: float = 0, overwrite: bool = False, reference: str | None = None, codec: str = "zstd") -> ReadStore:
-        """Writes a store of alignment files, text or BAM, sorted by position."""
+        """Writes a store of alignment files, text or BAM, sorted by position. With a reference, MD, XD and NM tags that it gives
+        are left out and restored by queries; how many differ from it is in the table `mismatches`."""
         reads = header = None
         for i, source in enumerate(sources):
             if text.sniff(spark, source) == "bam":
@@ -30,7 +31,14 @@ class ReadStore:
             own, lines = own.withColumn("file_id", F.lit(i)), lines.withColumn("file_id", F.lit(i))
             reads = own if reads is None else reads.unionByName(own)
             header = lines if header is None else header.unionByName(lines)
+        tagged = None
+        if reference:
+            chunks = pileup.reference_chunks(text.resolve_reference(spark, header, reference))
+            tagged = derived.with_derived(reads, chunks, ["file_id", "row_id"])
+            reads = derived.elide_derived(tagged)
         store.write_store(reads, path, header, sources, lossy_percent=lossy_percent, codec=codec, overwrite=overwrite)
+        if tagged is not None:
+            derived.mismatch_counts(tagged, ["file_id"]).write.mode("overwrite").parquet(f"{path}/mismatches")
         return cls(spark, path, reference)
 
     def set_log_level(self, level: int) -> None:
@@ -78,7 +86,22 @@ class ReadStore:
             reads = reads.where(ranges.exclude_all(F.col("flag"), exclude))
         if no_quality:
             reads = reads.withColumn("qual", F.repeat(F.lit("@"), F.length("seq")))
-        return reads
+        return self._with_tags(reads)
+
+    def _with_tags(self, reads: DataFrame) -> DataFrame:
+        """Reads with the tags that the reference gives; an error for a store that lacks some, if no reference is open."""
+        if "elided" not in reads.columns:
+            return reads
+        if not self.reference:
+            raise ValueError("this store was written with a reference; open it with the same one")
+        chunks = pileup.reference_chunks(text.resolve_reference(self.spark, None, self.reference))
+        keys = [*(["range_no"] if "range_no" in reads.columns else []), "file_id", "row_id"]
+        made = derived.with_derived(reads.select(*keys, "chr", "pos", "cigar", "seq"), chunks, keys).select(*keys, "derived")
+        return derived.restore_derived(reads.join(made, keys))
+
+    def mismatches(self) -> DataFrame:
+        """(file_id, tag, present, mismatched) of tags that the reference gives; of stores that were written with one."""
+        return store.read_store(self.spark, self.path, "mismatches")
 
     def ordered(self, df: DataFrame, by_header: bool = False) -> DataFrame:
         """Rows in the order of contigs and positions."""
@@ -109,4 +132,4 @@ class ReadStore:
 
     def view(self, name: str) -> None:
         """Registers the reads for SQL and other languages of the session."""
-        self.reads.createOrReplaceTempView(name)
+        self._with_tags(self.reads).createOrReplaceTempView(name)

@@ -35,6 +35,7 @@ def parser() -> argparse.ArgumentParser:
     query = commands.add_parser("query", help="reads of ranges, as text")
     query.add_argument("store")
     query.add_argument("range", nargs="?", default="", help="[file,]contig[:start[-end]];...")
+    query.add_argument("-r", "--reference", help="the one that the store was written with")
     query.add_argument("-o", "--output", help="folder; standard output if not given")
     query.add_argument("-f", "--include", type=int, default=0)
     query.add_argument("-F", "--exclude", type=int, default=0)
@@ -58,7 +59,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "ingest":
         ReadStore.ingest(spark, args.inputs, args.output, args.lossy, args.force, args.reference, args.codec)
     elif args.command == "query":
-        opened = ReadStore(spark, args.store)
+        opened = ReadStore(spark, args.store, args.reference)
         found = opened.query(args.range, args.include, args.exclude, args.overlap, args.no_quality)
         if args.output:
             header = store.read_store(spark, args.store, "header") if args.header else None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Deltas from here on are escaped.
@@ -10,36 +10,6 @@ ESCAPE = 254
 BLOCK_ROWS = 1_000_000
 
 
-def delta(df: DataFrame, value: str, partition: list[str], order: list[str]) -> DataFrame:
-    """Adds delta and escape: the difference to the value before, or 255 and the value itself if the difference is negative
-    or at least ESCAPE. The first row of a partition is measured from 0."""
-    w = Window.partitionBy(*partition).orderBy(*order)
-    d = F.col(value) - F.lag(value, 1, 0).over(w)
-    wide = (d < 0) | (d >= ESCAPE)
-    return df.withColumn("delta", F.when(wide, F.lit(255)).otherwise(d).cast("int")).withColumn("escape", F.when(wide, F.col(value)))
-
-
-def delta_inverse(df: DataFrame, partition: list[str], order: list[str], out: str = "value") -> DataFrame:
-    """Inverse of delta: sums of deltas since the last escape."""
-    w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    marked = df.withColumn("_run", F.count("escape").over(w))
-    inside = Window.partitionBy(*partition, "_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return marked.withColumn(out, F.sum(F.coalesce("escape", F.col("delta").cast("long"))).over(inside)).drop("_run")
-
-
-def run_ids(df: DataFrame, value: str, order: WindowSpec, out: str = "run_id") -> DataFrame:
-    """Numbers runs of equal values in an order, from 0."""
-    changed = F.coalesce((~F.col(value).eqNullSafe(F.lag(value).over(order))) & F.lag(F.lit(1)).over(order).isNotNull(), F.lit(False))
-    return df.withColumn("_new", changed.cast("int")).withColumn(out, F.sum("_new").over(order).cast("long")).drop("_new")
-
-
-def unsorted_rows(df: DataFrame, value: str, partition: list[str], order: list[str]) -> DataFrame:
-    """(partition..., n_unsorted): rows whose value is below the one before."""
-    w = Window.partitionBy(*partition).orderBy(*order)
-    before = F.lag(value).over(w)
-    return df.select(*partition, (F.col(value) < before).alias("late")).groupBy(*partition).agg(F.count_if("late").alias("n_unsorted"))
-
-
 def assert_sorted(df: DataFrame, value: str, partition: list[str], order: list[str]) -> DataFrame:
     """`df`; reading a row that is out of order is an error."""
     w = Window.partitionBy(*partition).orderBy(*order)
@@ -48,7 +18,8 @@ def assert_sorted(df: DataFrame, value: str, partition: list[str], order: list[s
 
 
 def assign_blocks(df: DataFrame, partition: list[str], order: list[str], rows: int = BLOCK_ROWS) -> DataFrame:
-    """Adds block_id: rows of a partition, in order, `rows` to a block."""
+    """Adds block_id: rows of a partition, in order, `rows` to a block. A partition is one task's; ordered.assign_blocks is for
+    whole contigs."""
     w = Window.partitionBy(*partition).orderBy(*order)
     return df.withColumn("block_id", F.floor((F.row_number().over(w) - 1) / rows).cast("long"))
 
@@ -89,6 +60,11 @@ def sorted_dictionary(df: DataFrame, partition: list[str], value: str) -> DataFr
     return distinct.withColumn("id", (F.row_number().over(Window.partitionBy(*partition).orderBy(value)) - 1).cast("long"))
 
 
+def decode_dictionary(coded: DataFrame, dictionary: DataFrame, partition: list[str], value: str) -> DataFrame:
+    """Inverse of the dictionaries: adds `value` to rows (partition..., id)."""
+    return coded.join(dictionary.select(*partition, "id", value), [*partition, "id"], "left")
+
+
 def first_seen_dictionary(df: DataFrame, partition: list[str], value: str, order: str) -> DataFrame:
     """(partition..., value, id): distinct values numbered by their first row."""
     first = df.groupBy(*partition, value).agg(F.min(order).alias("first"))

@@ -18,6 +18,11 @@ def reference_chunks(contigs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return cut.select("chr", F.floor(F.col("start") / chunk).alias("chunk"), F.upper(F.expr(f"substring(seq, start + 1, {chunk})")).alias("bases"))
 
 
+def contig_digests(contigs: DataFrame) -> DataFrame:
+    """(chr, length, md5) of contigs (chr, seq); the digest is of the bases in upper case."""
+    return contigs.select("chr", F.length("seq").cast("long").alias("length"), F.md5(F.upper("seq")).alias("md5"))
+
+
 def with_reference(reads: DataFrame, chunks: DataFrame, keys: list[str], chunk: int = CHUNK) -> DataFrame:
     """Adds `ref`: the reference bases from a read's start to its end, N where the reference has none. A read meets the
     chunks it lies on, not single bases; rows without a span or on contig `*` have an empty ref."""

@@ -117,6 +117,19 @@ def blocks_of_range(index: DataFrame, r: Range) -> DataFrame:
     return index.where((F.col("chr") == r.chr) & (F.col("first_pos") <= r.end) & (F.col("last_end") >= r.start))
 
 
+def blocks_of_ranges(index: DataFrame, ranges: DataFrame, bin_size: int = 1 << 14) -> DataFrame:
+    """(range_no, chr, block_id): blocks of an index that can hold rows of each range of a table (see ranges_frame). Blocks and
+    ranges meet in bins of positions; a pair is kept in one bin only. An open range is cut at the index's last position."""
+    top = index.agg(F.max("last_end").alias("top"))  # one row
+    spread = lambda a, b: F.explode(F.sequence(F.floor(a / bin_size), F.floor(b / bin_size)))
+    cut = ranges.join(F.broadcast(top)).withColumn("range_end", F.least("range_end", "top")).where("range_start <= range_end")
+    left = index.withColumn("bin", spread(F.col("first_pos"), F.greatest("first_pos", "last_end")))
+    right = cut.select("range_no", "range_chr", "range_start", "range_end", spread(F.col("range_start"), F.col("range_end")).alias("bin"))
+    met = left.join(right.withColumnRenamed("bin", "of_bin"), (F.col("chr") == F.col("range_chr")) & (F.col("bin") == F.col("of_bin")))
+    meets = (F.col("first_pos") <= F.col("range_end")) & (F.col("last_end") >= F.col("range_start"))
+    return met.where(meets & (F.col("bin") == F.floor(F.greatest("first_pos", "range_start") / bin_size))).select("range_no", "chr", "block_id")
+
+
 def block_at(index: DataFrame, positions: DataFrame) -> DataFrame:
     """As-of lookup: for rows (chr, at) the last block of an index that starts at or before `at`, with block_id, of the
     index's own type, null if none. Both sides are merged in one order, so no pairs of rows are made."""

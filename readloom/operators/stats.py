@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.functions.fields import quality_offset
@@ -34,6 +34,11 @@ def quality_histogram(df: DataFrame, qual: str, by: list[str] | None = None) ->
     return each.groupBy(*(by or []), F.ascii("ch").alias("code")).agg(F.count("*").alias("n"))
 
 
+def by_frequency(histogram: DataFrame, symbol: str = "code") -> DataFrame:
+    """Adds rank: symbols from the most frequent on, ties by symbol. An alphabet is small, so one window over it is too."""
+    return histogram.withColumn("rank", (F.row_number().over(Window.orderBy(F.desc("n"), symbol)) - 1).cast("long"))
+
+
 def detect_offset(histogram: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by..., offset) from a quality histogram."""
     return histogram.groupBy(*(by or [])).agg(quality_offset(F.min("code")).alias("offset"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from readloom.functions import alignment, fields
-from readloom.operators import columns, mates, pileup, ranges, stats
+from readloom.operators import columns, derived, mates, ordered, pileup, ranges, stats
 from readloom.plans.adapters import ORDER, C, L, M, Q, R, contigs, letters, mated, qualities, reads, table
 from readloom.storage import shared_path
 from readloom.streaming import reads as streams
@@ -100,7 +100,7 @@ _I = f"{_B}, i AS (SELECT chr, block_id, count(*) AS n_rows, min(pos) AS first_p
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return columns.assign_blocks(reads(spark, sf_dir), ["chr"], ["pos", "oid", "ln"], 500)
+    return ordered.assign_blocks(reads(spark, sf_dir), ["chr"], ["pos", "oid", "ln"], 500)
 
 
 @query(f"WITH {_B} SELECT oid, ln, chr, block_id FROM b")
@@ -119,6 +119,13 @@ def q_block_prune(spark, sf_dir):
     return ranges.blocks_of_range(columns.block_index(_blocks(spark, sf_dir), ["chr"]), r).select("chr", "block_id", "n_rows")
 
 
+@query(f"""WITH {_I}, g(range_no, c, s, e) AS (VALUES (0, 'chr1', 100, 300), (1, 'chr2', 200, 400), (2, 'chr1', 250, 350), (3, 'chr3', 2000, 2147483647))
+SELECT range_no, chr, block_id FROM i JOIN g ON chr = c AND first_pos <= e AND last_end >= s""")
+def q_block_ranges(spark, sf_dir):
+    index = columns.block_index(_blocks(spark, sf_dir), ["chr"])
+    return ranges.blocks_of_ranges(index, ranges.ranges_frame(index, ranges.parse_ranges(_MULTI)), bin_size=128)
+
+
 @query(f"""WITH {_I}, a AS (SELECT DISTINCT concat('chr', o_custkey % 6) AS chr, o_custkey % 2600 AS at FROM orders)
 SELECT a.chr, a.at, (SELECT max_by(i.block_id, (i.first_pos, i.block_id)) FROM i WHERE i.chr = a.chr AND i.first_pos <= a.at) AS block_id FROM a""")
 def q_block_at(spark, sf_dir):
@@ -165,9 +172,9 @@ def q_contig_bounds(spark, sf_dir):
 SELECT oid, ln, chr_rank, row_number() OVER (PARTITION BY r.chr ORDER BY pos, oid, ln) AS place FROM r JOIN f USING (chr)""")
 def q_coordinate_sort(spark, sf_dir):
     df = reads(spark, sf_dir).withColumn("row_id", F.col("oid") * 8 + F.col("ln"))
-    ordered = columns.coordinate_order(df, columns.first_seen_dictionary(df, [], "chr", "row_id"))
-    place = F.row_number().over(Window.partitionBy("chr").orderBy("pos", "row_id")).cast("long")
-    return ordered.select("oid", "ln", "chr_rank", place.alias("place"))
+    ranked = columns.coordinate_order(df, columns.first_seen_dictionary(df, [], "chr", "row_id"))
+    placed = ordered.row_numbers(ranked, ["chr"], ["pos", "row_id"], "place")
+    return placed.select("oid", "ln", "chr_rank", (F.col("place") + 1).alias("place"))
 
 
 @query(f"WITH {R} SELECT chr, row_number() OVER (ORDER BY min(oid * 8 + ln)) - 1 AS id FROM r GROUP BY chr")
@@ -180,26 +187,33 @@ _D = f"""{R}, d AS (SELECT *, pos - lag(pos, 1, 0) OVER (PARTITION BY chr ORDER
 
 @query(f"WITH {_D} SELECT oid, ln, CAST(CASE WHEN d < 0 OR d >= 254 THEN 255 ELSE d END AS INTEGER) AS delta, CASE WHEN d < 0 OR d >= 254 THEN pos END AS escape FROM d")
 def q_pos_delta(spark, sf_dir):
-    return columns.delta(reads(spark, sf_dir), "pos", ["chr"], ORDER).select("oid", "ln", "delta", "escape")
+    return ordered.delta(reads(spark, sf_dir), "pos", ["chr"], ORDER).select("oid", "ln", "delta", "escape")
 
 
 @query(f"WITH {R} SELECT oid, ln, pos AS value FROM r")
 def q_pos_delta_inverse(spark, sf_dir):
-    coded = columns.delta(reads(spark, sf_dir), "pos", ["chr"], ORDER).withColumnRenamed("pos", "true_pos")
-    return columns.delta_inverse(coded, ["chr"], [*ORDER[:-1], "true_pos"]).select("oid", "ln", "value")
+    coded = ordered.delta(reads(spark, sf_dir), "pos", ["chr"], ORDER).withColumnRenamed("pos", "true_pos")
+    return ordered.delta_inverse(coded, ["chr"], [*ORDER[:-1], "true_pos"]).select("oid", "ln", "value")
+
+
+@query(f"""WITH {R}, p AS (SELECT DISTINCT chr, pos FROM r WHERE pos % 3 = 0), d AS (SELECT *, pos - lag(pos, 1, 0) OVER (PARTITION BY chr ORDER BY pos) AS d FROM p)
+SELECT chr, pos, CAST(least(d, 254) AS INTEGER) AS delta, CASE WHEN d >= 254 THEN d - 253 END AS escape, pos AS again FROM d""")
+def q_patch_deltas(spark, sf_dir):
+    patches = reads(spark, sf_dir).where("pos % 3 = 0").select("chr", "pos").distinct()
+    return ordered.patch_delta_inverse(ordered.patch_delta(patches, ["chr"]), ["chr"], ["pos"], "again")
 
 
 @query(f"""WITH {R}, n AS (SELECT *, oid % 16 AS part, coalesce(chr <> lag(chr) OVER (PARTITION BY oid % 16 ORDER BY oid, ln, pk, cents, pos), false) AS new FROM r)
 SELECT oid, ln, CAST(sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY part ORDER BY oid, ln, pk, cents, pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run_id FROM n""")
 def q_chr_runs(spark, sf_dir):
     df = reads(spark, sf_dir).withColumn("part", F.col("oid") % 16)
-    return columns.run_ids(df, "chr", Window.partitionBy("part").orderBy(*ORDER)).select("oid", "ln", "run_id")
+    return ordered.run_ids(df, "chr", ["part"], ORDER).select("oid", "ln", "run_id")
 
 
 @query(f"""WITH {R}, o AS (SELECT chr, pos < lag(pos) OVER (PARTITION BY chr ORDER BY oid, ln, pk, cents, pos) AS late FROM r)
 SELECT chr, count(*) FILTER (late) AS n_unsorted FROM o GROUP BY chr""")
 def q_sortedness(spark, sf_dir):
-    return columns.unsorted_rows(reads(spark, sf_dir), "pos", ["chr"], ORDER)
+    return ordered.unsorted_rows(reads(spark, sf_dir), "pos", ["chr"], ORDER)
 
 
 # --- mates
@@ -333,6 +347,42 @@ def q_nm(spark, sf_dir):
     return df.select("doc_id", alignment.nm_tag(F.col("ops"), F.col("seq"), F.reverse("seq")).alias("nm"))
 
 
+_A = f"""{L}, {C}, a AS (SELECT l.doc_id, l.chr, len(list_filter(range(1, len(l.seq) + 1), lambda i:
+  substr(l.seq, CAST(i AS INTEGER), 1) <> coalesce(nullif(substr(c.seq, CAST(l.pos - 1 + i AS INTEGER), 1), ''), 'N'))) AS nm
+  FROM l JOIN c USING (chr) WHERE l.seq <> '')"""
+
+
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts against the contig of their language, with an NM tag that is right but for every fifth."""
+    df = letters(spark, sf_dir).where("seq <> '' and chr <> '*'").withColumn("cigar", F.concat(F.length("seq").cast("string"), F.lit("M")))
+    df = derived.with_derived(df, pileup.reference_chunks(contigs(spark, sf_dir)), ["doc_id"])
+    value = F.when(F.col("doc_id") % 5 == 0, F.lit("-1")).otherwise(F.col("derived")["NM"])
+    own = F.array(F.lit("XA:Z:first"), F.concat(F.lit("NM:i:"), value), F.lit("XB:Z:last"))
+    return df.withColumn("tags", fields.parse_tags(own))
+
+
+@query(f"WITH {_A} SELECT doc_id, concat(CASE WHEN doc_id % 5 = 0 THEN 'XA,NM,XB' ELSE 'XA,XB' END) AS stored, CASE WHEN doc_id % 5 = 0 THEN -1 ELSE nm END AS nm, 'XA,NM,XB' AS again FROM a")
+def q_derived_elision(spark, sf_dir):
+    """Tags that alignment and reference give are left out of what is stored, and restored where they stood."""
+    names = lambda: F.array_join(F.transform("tags", lambda t: t["tag"]), ",")
+    df = _tagged(spark, sf_dir)
+    made = F.col("derived")
+    kept = derived.elide_derived(df.withColumn("made", made)).withColumn("stored", names()).withColumnRenamed("made", "derived")
+    back = derived.restore_derived(kept)
+    nm = F.filter("tags", lambda t: t["tag"] == "NM")[0]["value"].cast("long")
+    return back.select("doc_id", "stored", nm.alias("nm"), names().alias("again"))
+
+
+@query(f"WITH {_A} SELECT 'NM' AS tag, count(*) AS present, count(*) FILTER (doc_id % 5 = 0) AS mismatched FROM a HAVING count(*) > 0")
+def q_mismatch_counts(spark, sf_dir):
+    return derived.mismatch_counts(_tagged(spark, sf_dir))
+
+
+@query(f"WITH {L}, {C} SELECT chr, len(seq) AS length, md5(seq) AS md5 FROM c")
+def q_contig_digests(spark, sf_dir):
+    return pileup.contig_digests(contigs(spark, sf_dir))
+
+
 @query()
 def q_md(spark, sf_dir):
     """MD, XD and the re-split CIGAR of texts against their reverse, with an insertion and a deletion: a fold that the tests repeat in Python."""
@@ -438,6 +488,12 @@ def q_quality_shift(spark, sf_dir):
     return df.select("doc_id", total.alias("total"), fields.unshift_quality(F.col("v"), F.lit(33)).alias("again"))
 
 
+@query(f"""WITH {Q}, h AS (SELECT ascii(c) AS code, count(*) AS n FROM (SELECT unnest(string_split(qual, '')) AS c FROM q WHERE qual <> '' AND qual <> '*') GROUP BY ALL)
+SELECT code, n, row_number() OVER (ORDER BY n DESC, code) - 1 AS rank FROM h""")
+def q_codes_by_frequency(spark, sf_dir):
+    return stats.by_frequency(stats.quality_histogram(qualities(spark, sf_dir), "qual"))
+
+
 @query()
 def q_lossy(spark, sf_dir):
     """Qualities after the lossy table, which is a walk over 128 codes that the tests repeat step by step."""
@@ -502,6 +558,15 @@ def q_library_dictionary(spark, sf_dir):
 
 
 
+@query("SELECT p_partkey, 'LB' AS tag, p_type AS value FROM part UNION ALL SELECT p_partkey, 'PG', p_brand FROM part")
+def q_dictionary_decode(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    rows = part.selectExpr("p_partkey", "'PG' as tag", "p_brand as value").unionByName(part.selectExpr("p_partkey", "'LB' as tag", "p_type as value"))
+    dictionary = columns.sorted_dictionary(rows, ["tag"], "value")
+    coded = rows.join(dictionary, ["tag", "value"]).select("p_partkey", "tag", "id")
+    return columns.decode_dictionary(coded, dictionary, ["tag"], "value").select("p_partkey", "tag", "value")
+
+
 @query("""WITH v AS (SELECT o_orderkey AS id, o_orderkey * o_orderkey * (CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END) AS v FROM orders)
 SELECT id, CAST(CASE WHEN v BETWEEN -128 AND 127 THEN 1 WHEN v BETWEEN -32768 AND 32767 THEN 2 WHEN v BETWEEN -2147483648 AND 2147483647 THEN 4 ELSE 8 END AS INTEGER) AS signed,
 CAST(CASE WHEN abs(v) < 255 THEN 1 WHEN abs(v) < 65536 THEN 2 ELSE 4 END AS INTEGER) AS varint,

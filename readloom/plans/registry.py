@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from readloom.api import ReadStore
 from readloom.functions import alignment, fields
 from readloom.operators import columns, derived, mates, ordered, pileup, ranges, stats
 from readloom.plans.adapters import ORDER, C, L, M, Q, R, contigs, letters, mated, qualities, reads, table
+from readloom.sources import store, text
 from readloom.storage import shared_path
 from readloom.streaming import reads as streams
 
@@ -135,10 +137,15 @@ def q_block_at(spark, sf_dir):
     return ranges.block_at(last, asks)
 
 
-@query()
+@query(f"""WITH RECURSIVE {R}, n AS (SELECT *, row_number() OVER w AS k, CAST(sum(span) OVER w AS BIGINT) AS s FROM r
+  WINDOW w AS (PARTITION BY chr ORDER BY pos, oid, ln, pk, cents ROWS UNBOUNDED PRECEDING)),
+e AS MATERIALIZED (SELECT a.chr, a.k, least(a.k + 500, coalesce(b.k + 1, a.k + 500)) AS nxt FROM n a ASOF LEFT JOIN n b ON a.chr = b.chr AND a.s - a.span + 10000 <= b.s),
+h AS (SELECT DISTINCT chr, CAST(1 AS BIGINT) AS k, CAST(0 AS BIGINT) AS block_id FROM n UNION ALL SELECT h.chr, e.nxt, h.block_id + 1 FROM h JOIN e ON h.chr = e.chr AND h.k = e.k)
+SELECT n.chr, n.pos, n.oid, n.ln, n.span, h.block_id FROM n ASOF JOIN h ON n.chr = h.chr AND n.k >= h.k""")
 def q_capped_blocks(spark, sf_dir):
-    """Blocks of at most 500 rows and about 10,000 bases: a sequential fold that SQL lacks."""
-    return columns.assign_capped_blocks(reads(spark, sf_dir).select("chr", "pos", "oid", "ln", "span"), ["chr"], ["pos", "oid", "ln"], "span", 500, 10_000)
+    """Blocks of at most 500 rows that end when their spans reach 10,000."""
+    df = reads(spark, sf_dir).select("chr", "pos", "oid", "ln", "span", "pk", "cents")
+    return columns.assign_capped_blocks(df, ["chr"], ["pos", "oid", "ln", "pk", "cents"], "span", 500, 10_000).drop("pk", "cents")
 
 
 # --- statistics
@@ -383,9 +390,31 @@ def q_contig_digests(spark, sf_dir):
     return pileup.contig_digests(contigs(spark, sf_dir))
 
 
-@query()
+def _kinds(length: str, ref: int, read: int, other: str) -> str:
+    """SQL of the aligned bases of an operation: `=` where they are equal."""
+    return f"list_transform(range(0, {length}), lambda i: CASE WHEN f[i + {ref + 1}] = s[i + {read + 1}] THEN '=' ELSE {other.format(i=f'f[i + {ref + 1}]')} END)"
+
+
+def _around(other: str, insertion: str, deletion: str) -> str:
+    first, second, third = _kinds("3", 0, 0, other), _kinds("4", 3, 5, other), _kinds("len(s) - 9", 8, 9, other)
+    return f"list_concat(list_concat(list_concat({first}, {insertion}), list_concat({second}, {deletion})), {third})"
+
+
+_MD = f"""WITH {L}, a AS (SELECT doc_id, string_split(seq, '') AS s, list_reverse(string_split(seq, '')) AS f FROM l WHERE len(seq) > 12),
+e AS (SELECT doc_id, {_around("{i}", "CAST([] AS VARCHAR[])", "['^' || f[8]]")} AS e, {_around("'X'", "['2I']", "['1D']")} AS g FROM a),
+p AS (SELECT *, list_filter(range(len(e)), lambda i: e[i + 1] <> '=') AS spots,
+  list_filter(range(len(g)), lambda i: i = 0 OR g[i + 1] <> g[i] OR len(g[i + 1]) > 1) AS runs FROM e),
+d AS (SELECT *, list_transform(range(len(spots)), lambda k: spots[k + 1] - coalesce(spots[k], -1) - 1) AS gaps, len(e) - coalesce(spots[-1], -1) - 1 AS tail FROM p)
+SELECT doc_id, array_to_string(list_transform(range(len(spots)), lambda k: concat(gaps[k + 1], e[spots[k + 1] + 1])), '') || tail AS md,
+array_to_string(list_transform(range(len(spots)), lambda k: concat(CASE WHEN gaps[k + 1] > 0 THEN gaps[k + 1] END, e[spots[k + 1] + 1],
+  CASE WHEN e[spots[k + 1] + 1][1] = '^' THEN '$' END)), '') || CASE WHEN tail > 0 THEN CAST(tail AS VARCHAR) ELSE '' END AS xd,
+array_to_string(list_transform(range(len(runs)), lambda k: CASE WHEN len(g[runs[k + 1] + 1]) > 1 THEN g[runs[k + 1] + 1]
+  ELSE concat(coalesce(runs[k + 2], len(g)) - runs[k + 1], g[runs[k + 1] + 1]) END), '') AS cigar FROM d"""
+
+
+@query(_MD)
 def q_md(spark, sf_dir):
-    """MD, XD and the re-split CIGAR of texts against their reverse, with an insertion and a deletion: a fold that the tests repeat in Python."""
+    """MD, XD and the re-split CIGAR of texts against their reverse, with an insertion and a deletion."""
     n = F.length("seq")
     cigar = F.concat(F.lit("3M2I4M1D"), (n - 9).cast("string"), F.lit("M"))
     df = letters(spark, sf_dir).where("length(seq) > 12").withColumn("ops", alignment.parse_cigar(cigar)).withColumn("ref", F.reverse("seq"))
@@ -400,6 +429,20 @@ def q_two_bit_bases(spark, sf_dir):
     return df.select("doc_id", F.length("packed.bits").cast("long").alias("n_bits"), alignment.unpack_bases(F.col("packed")).alias("again"))
 
 
+@query("SELECT l_orderkey AS oid, CAST(l_linenumber AS BIGINT) AS ln, 100 - l_linenumber - CAST(l_quantity AS BIGINT) - l_linenumber % 3 - 5 AS trailing FROM lineitem")
+def q_trailing_match(spark, sf_dir):
+    trailing = alignment.trailing_match(F.lit(100), alignment.parse_cigar(F.col("cigar")))
+    return _cigars(spark, sf_dir).select("oid", "ln", trailing.alias("trailing"))
+
+
+@query("""SELECT l_orderkey AS oid, CAST(l_linenumber AS BIGINT) AS ln, substr('MIDNSHP=X', CAST(l_partkey % 9 + 1 AS INTEGER), 1) AS op, CAST(l_quantity AS BIGINT) AS len,
+substr('=ACMGRSVTWYHKDBN', CAST(l_partkey % 16 + 1 AS INTEGER), 1) AS base FROM lineitem""")
+def q_bam_codes(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as oid", "cast(l_linenumber as bigint) as ln", "cast(l_quantity as bigint) * 16 + l_partkey % 9 as word", "l_partkey % 16 as nibble")
+    op = alignment.decode_bam_cigar(F.col("word"))
+    return df.select("oid", "ln", op["op"].alias("op"), op["len"].alias("len"), alignment.decode_bam_base(F.col("nibble")).alias("base"))
+
+
 # --- names
 
 _SPLIT = r"[\x00-/:-@\[-`]"
@@ -447,6 +490,14 @@ def q_name_deltas_inverse(spark, sf_dir):
     return back.select("part", "id", F.array_join("tokens", "|").alias("tokens"))
 
 
+@query("SELECT o_orderkey, concat('SRR', CASE WHEN o_orderkey > 0 THEN '|' END, o_orderkey, '|', o_custkey) AS tokens, concat('SRR', o_orderkey, '.', o_custkey) AS name, o_orderpriority AS comment FROM orders")
+def q_accession_names(spark, sf_dir):
+    line = F.concat(F.lit("SRR"), F.col("o_orderkey").cast("string"), F.lit("."), F.col("o_custkey").cast("string"), F.lit(" "), "o_orderpriority")
+    parts = fields.name_and_comment(line)
+    df = table(spark, sf_dir, "orders").select("o_orderkey", parts["name"].alias("name"), parts["comment"].alias("comment"))
+    return df.withColumn("tokens", F.array_join(fields.tokenize_name(F.col("name"))["tokens"], "|"))
+
+
 # --- qualities
 
 _TRIM = "substr(qual, 1, CAST(least(len(qual), greatest(len(rtrim(qual, right(qual, 1))) + 1, 2)) AS INTEGER))"
@@ -494,6 +545,12 @@ def q_codes_by_frequency(spark, sf_dir):
     return stats.by_frequency(stats.quality_histogram(qualities(spark, sf_dir), "qual"))
 
 
+@query(f"WITH {_H} SELECT code, CAST(sum(n) AS BIGINT) AS n, round(pow(10.0, (33 - code) / 10.0), 9) AS error FROM h GROUP BY code")
+def q_phred_errors(spark, sf_dir):
+    counted = stats.quality_histogram(qualities(spark, sf_dir), "qual")
+    return counted.select("code", "n", F.round(fields.phred_error(F.col("code"), 33), 9).alias("error"))
+
+
 @query()
 def q_lossy(spark, sf_dir):
     """Qualities after the lossy table, which is a walk over 128 codes that the tests repeat step by step."""
@@ -611,6 +668,14 @@ def q_header_attrs(spark, sf_dir):
     return df.select("n_nationkey", "h.record_type", F.col("h.attrs")["SN"].alias("sn"), F.col("h.attrs")["LN"].alias("ln"), F.size("h.attrs").alias("n"))
 
 
+@query("""SELECT p_partkey, tag, tag IN ('BQ', 'CQ', 'E2', 'OQ', 'QT', 'Q2', 'U2') AS quality
+FROM (SELECT p_partkey, ['BQ', 'RG', 'CQ', 'E2', 'NM', 'OQ', 'QT', 'Q2', 'MD', 'U2'][p_partkey % 10 + 1] AS tag FROM part)""")
+def q_quality_tags(spark, sf_dir):
+    tags = F.array(*map(F.lit, ("BQ", "RG", "CQ", "E2", "NM", "OQ", "QT", "Q2", "MD", "U2")))
+    df = table(spark, sf_dir, "part").select("p_partkey", F.get(tags, (F.col("p_partkey") % 10).cast("int")).alias("tag"))
+    return df.withColumn("quality", fields.is_quality_tag(F.col("tag")))
+
+
 # --- bags, lines
 
 
@@ -631,13 +696,95 @@ def q_split_files(spark, sf_dir):
 @query(f"""WITH {M} SELECT oid, row, concat_ws(chr(9), rname, CAST(flag AS VARCHAR), m.chr, CAST(pos AS VARCHAR), '255', concat(span, 'M'), pchr, CAST(ploc AS VARCHAR),
 CAST(tlen AS VARCHAR), '*', '*', concat('XO:i:', oid)) AS line FROM m""")
 def q_sam_lines(spark, sf_dir):
-    from readloom.sources.text import sam_line
+    return _lines(spark, sf_dir).select("oid", "row", text.sam_line().alias("line"))
+
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mated reads with all fields of a line, in two files."""
     tags = fields.parse_tags(F.array(F.concat(F.lit("XO:i:"), F.col("oid").cast("string"))))
-    df = mated(spark, sf_dir).withColumns(
-        {"mapq": F.lit(255), "cigar": F.concat(F.col("span").cast("string"), F.lit("M")), "seq": F.lit("*"), "qual": F.lit("*"), "tags": tags}
-    )
-    return df.select("oid", "row", sam_line().alias("line"))
+    return mated(spark, sf_dir).withColumns(
+        {
+            "mapq": F.lit(255), "cigar": F.concat(F.col("span").cast("string"), F.lit("M")), "seq": F.lit("*"), "qual": F.lit("*"), "tags": tags,
+            "file_id": (F.col("oid") % 2).cast("int"), "row_id": F.col("oid") * 100 + F.col("row"),
+        }
+    )
+
+
+def _header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A contig line for each nation, in both files."""
+    raw = F.concat(F.lit("@SQ\tSN:chr"), F.col("n_nationkey").cast("string"), F.lit("\tLN:"), (F.col("n_regionkey") + 1000).cast("string"), F.lit("\tDS:"), "n_name")
+    df = table(spark, sf_dir, "nation").select(F.explode(F.array(F.lit(0), F.lit(1))).alias("file_id"), F.col("n_nationkey").cast("long").alias("line_no"), raw.alias("raw"))
+    return df.select("file_id", "line_no", fields.header_attributes(F.col("raw"))["record_type"].alias("record_type"), fields.header_attributes(F.col("raw"))["attrs"].alias("attrs"), "raw")
+
+
+def _sam_files(spark: SparkSession, sf_dir: str) -> list[str]:
+    path = shared_path(spark, "sam")
+    text.write_sam(_lines(spark, sf_dir), path, _header(spark, sf_dir))
+    return [f"{path}/file_id={i}" for i in range(2)]
+
+
+@query(f"""WITH {M} SELECT CAST(oid % 2 AS INTEGER) AS file_id, row_number() OVER (PARTITION BY oid % 2 ORDER BY oid, row) - 1 + (SELECT count(*) FROM nation) AS line_no,
+rname, flag, chr, pos, concat(span, 'M') AS cigar, pchr, ploc, CAST(tlen AS INTEGER) AS tlen, CAST(oid AS VARCHAR) AS xo FROM m""")
+def q_sam_files(spark, sf_dir):
+    """Reads written as text, two files with headers, and read back."""
+    back = text.read_sam(spark, _sam_files(spark, sf_dir))
+    return back.select("file_id", F.col("row_id").alias("line_no"), "rname", "flag", "chr", "pos", "cigar", "pchr", "ploc", "tlen", F.col("tags")[0]["value"].alias("xo"))
+
+
+@query("""SELECT CAST(f AS INTEGER) AS file_id, CAST(n_nationkey AS BIGINT) AS line_no, concat('chr', n_nationkey) AS name, CAST(n_regionkey + 1000 AS VARCHAR) AS ln, n_name AS ds
+FROM nation, (VALUES (0), (1)) v(f)""")
+def q_sam_headers(spark, sf_dir):
+    """Contig lines of written files, looked up by name."""
+    header = text.read_header(spark, _sam_files(spark, sf_dir))
+    named = text.header_registry(header, "SQ").join(header.select("file_id", "line_no", F.col("attrs")["SN"].alias("name")), ["file_id", "name"])
+    return named.select("file_id", "line_no", "name", F.col("attrs")["LN"].alias("ln"), F.col("attrs")["DS"].alias("ds"))
+
+
+def _store(spark: SparkSession, sf_dir: str) -> ReadStore:
+    path = shared_path(spark, "store")
+    store.write_store(_lines(spark, sf_dir).drop("oid", "row", "span"), path, _header(spark, sf_dir), block_rows=1000)
+    return ReadStore(spark, path)
+
+
+@query(f"WITH {M} SELECT CAST(oid % 2 AS INTEGER) AS file_id, oid * 100 + row AS row_id, rname, flag, chr, pos, pchr, ploc, tlen, span AS ref_span, pos - 1 + span AS end_excl FROM m")
+def q_store_scan(spark, sf_dir):
+    return _store(spark, sf_dir).query().select("file_id", "row_id", "rname", "flag", "chr", "pos", "pchr", "ploc", "tlen", "ref_span", "end_excl")
+
+
+@query(f"""WITH {M}, g(range_no, f, c, s, e) AS (VALUES (0, 0, 'chr2', 500, 900), (1, 1, 'chr1', 100, 300))
+SELECT range_no, oid * 100 + row AS row_id, pos, '@' AS qual FROM m JOIN g ON chr = c AND oid % 2 = f AND pos <= e AND (pos >= s OR pos - 1 + span >= s) WHERE flag & 1 = 1 AND flag & 32 <> 32""")
+def q_store_query(spark, sf_dir):
+    """Two ranges of two files of a store, by overlap and flags, without qualities."""
+    found = _store(spark, sf_dir).query("chr2:500-900;1,chr1:100-300", flag=1, exclude=32, overlap=True, no_quality=True)
+    return found.select("range_no", "row_id", "pos", "qual")
+
+
+@query(f"WITH {M} SELECT CAST(oid % 2 AS INTEGER) AS file_id, flag, count(*) AS n FROM m GROUP BY ALL")
+def q_store_flags(spark, sf_dir):
+    return _store(spark, sf_dir).flags()
+
+
+@query(f"WITH {M} SELECT CAST(oid % 2 AS INTEGER) AS file_id, m.chr, count(*) AS reads, CAST(any_value(n_regionkey) + 1000 AS BIGINT) AS length FROM m JOIN nation ON m.chr = concat('chr', n_nationkey) GROUP BY ALL")
+def q_store_contigs(spark, sf_dir):
+    return store.contig_listing(spark, _store(spark, sf_dir).path)
+
+
+@query(f"WITH {L}, {C} SELECT chr, len(seq) AS length, md5(seq) AS md5 FROM c WHERE seq <> ''")
+def q_fasta_files(spark, sf_dir):
+    """Contigs written as FASTA in lines of 60 and read back."""
+    path = shared_path(spark, "fasta")
+    wrapped = F.regexp_replace("seq", "(.{60})(?=.)", "$1\n")
+    contigs(spark, sf_dir).where("seq <> ''").select(F.concat(F.lit(">"), "chr", F.lit(" made of text\n"), F.lower(wrapped)).alias("value")).write.text(path)
+    return text.read_fasta(spark, path).select("chr", F.length("seq").cast("long").alias("length"), F.md5("seq").alias("md5"))
+
+
+@query("SELECT concat('O', o_orderkey) AS name, o_orderpriority AS comment FROM orders")
+def q_fastq_files(spark, sf_dir):
+    """Orders written as FASTQ records, their names read back."""
+    path = shared_path(spark, "fastq")
+    record = F.concat(F.lit("@O"), F.col("o_orderkey").cast("string"), F.lit(" "), "o_orderpriority", F.lit("\nACGT\n+\n@@II"))
+    table(spark, sf_dir, "orders").select(record.alias("value")).write.text(path)
+    return text.read_fastq_names(spark, path).select("name", "comment")
 
 
 # --- streams
@@ -668,3 +815,41 @@ def q_stream_flag_counts(spark, sf_dir):
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS \"end\", event_type, count(*) AS n FROM events GROUP BY ALL")
 def q_stream_windows(spark, sf_dir):
     return _drained(streams.windowed_counts(_events(spark, sf_dir), "ts", window="1 day", by=["event_type"]), "windows")
+
+
+def _appended(stream: DataFrame, name: str) -> DataFrame:
+    """Rows that a stream over what is there now appends, batch by batch, to the shared folder."""
+    path = shared_path(stream.sparkSession, name)
+    q = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
+@query("""SELECT concat('U', a.user_id) AS rname, a.event_id AS first_row, b.event_id AS second_row FROM events a JOIN events b
+ON a.user_id = b.user_id AND b.event_id > a.event_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 10 MINUTE""")
+def q_stream_mates(spark, sf_dir):
+    """Events of one user as open mates."""
+    shaped = _events(spark, sf_dir).selectExpr("concat('U', user_id) as rname", "event_id as row", "0L as pos", "0L as ploc", "0L as tlen", "cast(ts as timestamp) as t")
+    return _appended(streams.open_mates(shaped, "t"), "open-mates")
+
+
+@query("SELECT event_type AS chr, event_id AS pos FROM events")
+def q_stream_store(spark, sf_dir):
+    """Events as micro-batches into a store."""
+    path = shared_path(spark, "appended")
+    q = streams.append_to_store(_events(spark, sf_dir).selectExpr("event_type as chr", "event_id as pos"), f"{path}/rows", f"{path}/checkpoint")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return spark.read.parquet(f"{path}/rows").select("chr", "pos")
+
+
+@query("""WITH p AS (SELECT CAST(date_diff('day', TIMESTAMP '1900-01-01', l_shipdate) AS BIGINT) AS place, l_returnflag AS base FROM lineitem)
+SELECT place, base, count(*) AS n FROM p WHERE place <= (SELECT max(place) FROM p) - 50 GROUP BY ALL""")
+def q_stream_settled(spark, sf_dir):
+    """Counts at ship dates, as bases, that lie 50 days behind the last one."""
+    schema = table(spark, sf_dir, "lineitem").schema
+    lines = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf_dir)
+    shaped = lines.selectExpr("cast(datediff(l_shipdate, timestamp '1900-01-01') as bigint) as place", "l_returnflag as base")
+    return _appended(streams.settled_bases(shaped, "place", 50), "settled")

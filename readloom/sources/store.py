@@ -66,3 +66,12 @@ def contig_ranks(spark: SparkSession, path: str, by_header: bool = False) -> Dat
         lines = read_store(spark, path, "spans").select(F.col("chr").cast("string").alias("chr"), F.struct("file_id", "first_row").alias("at"))
     first = lines.groupBy("chr").agg(F.min("at").alias("at"))
     return first.select("chr", (F.row_number().over(Window.orderBy("at")) - 1).cast("long").alias("id"))  # one row a contig
+
+
+def contig_listing(spark: SparkSession, path: str) -> DataFrame:
+    """(file_id, chr, reads, length): contigs of each file that have reads, from the side tables; length is what the file's header
+    gives, null without."""
+    reads = read_store(spark, path, "blocks").groupBy("file_id", F.col("chr").cast("string").alias("chr")).agg(F.sum("n_rows").alias("reads"))
+    lines = read_store(spark, path, "header").where("record_type = 'SQ'")
+    lengths = lines.groupBy("file_id", F.col("attrs")["SN"].alias("chr")).agg(F.max(F.col("attrs")["LN"].try_cast("bigint")).alias("length"))
+    return reads.join(lengths, ["file_id", "chr"], "left")

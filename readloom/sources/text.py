@@ -21,21 +21,27 @@ def numbered_lines(spark: SparkSession, paths: list[str], glob: str | None = Non
     """(file_id, line_no, value): lines of text files, numbered from 0 in each; file_id is the place in `paths`.
 
     Lines are numbered inside each input split, and splits by the count of lines before them, so no task sees a whole
-    file. The ids within a split follow the order of reading.
+    file. The files of a folder follow one another by name. The ids within a split follow the order of reading.
     """
     out = None
     for i, path in enumerate(paths):
         lines = spark.read.text(path).select(
-            F.lit(i).alias("file_id"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value"
+            F.lit(i).alias("file_id"),
+            F.col("_metadata.file_path").alias("path"),
+            F.xxhash64("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("id"),
+            "value",
         )
         out = lines if out is None else out.unionByName(lines)
     if out is None:
         raise ValueError("no paths")
-    own = out.withColumn("n", F.row_number().over(Window.partitionBy("file_id", "block").orderBy("id")) - 1)
-    sizes = out.groupBy("file_id", "block").agg(F.count("*").alias("size"))
-    before = F.sum("size").over(Window.partitionBy("file_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("file_id", "block", F.coalesce(before, F.lit(0)).alias("start"))
-    return own.join(starts, ["file_id", "block"]).select("file_id", (F.col("start") + F.col("n")).alias("line_no"), "value")
+    split = ["file_id", "file", "block"]
+    own = out.drop("path").withColumn("n", F.row_number().over(Window.partitionBy(*split).orderBy("id")) - 1)
+    sizes = out.groupBy(*split).agg(F.count("*").alias("size"), F.min("path").alias("path"))
+    before = F.sum("size").over(Window.partitionBy("file_id").orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(*split, F.coalesce(before, F.lit(0)).alias("start"))
+    return own.join(starts, split).select("file_id", (F.col("start") + F.col("n")).alias("line_no"), "value")
 
 
 def read_sam(spark: SparkSession, paths: str | list[str]) -> DataFrame:

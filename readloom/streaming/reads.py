@@ -62,3 +62,12 @@ def append_to_store(stream: DataFrame, path: str, checkpoint: str, transform: Ca
         transform(batch).write.mode("overwrite").partitionBy("chr").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
+
+
+def settled_bases(stream: DataFrame, place: str, reach: int) -> DataFrame:
+    """(place, base, n): counts of the bases at a place of a stream of aligned bases in the order of their reads, as soon as the newest
+    place is `reach` ahead of it. With the longest read's span no later read can cover the place, so its consensus
+    and patches are final; what is not settled is the state. `place` counts from 1, over all contigs in their order."""
+    day = 86400  # time 0 is where the watermark starts
+    timed = stream.select("base", F.timestamp_seconds(F.col(place) + day).alias("at")).withWatermark("at", f"{reach} seconds")
+    return timed.groupBy("at", "base").agg(F.count("*").alias("n")).select((F.unix_seconds("at") - day).alias(place), "base", "n")

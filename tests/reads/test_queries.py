@@ -74,6 +74,16 @@ def test_append_to_store(spark, tmp_path):
     assert sorted(tuple(r) for r in got) == [("c1", 5), ("c1", 7), ("c2", 1)]
 
 
+def test_settled_bases(spark, tmp_path):
+    """A place is counted whole over micro-batches, once the newest place is far enough ahead; the rest stays state."""
+    for places in ([1, 2, 3, 3], [3, 5, 6], [20, 21]):
+        df = spark.createDataFrame([(p, "A") for p in places], "place long, base string").coalesce(1)
+        df.write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("place long, base string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = _drain(streams.settled_bases(stream, "place", 10), "settled", tmp_path)
+    assert sorted((r.place, r.n) for r in got) == [(1, 1), (2, 1), (3, 3), (5, 1), (6, 1)]
+
+
 def test_late_rows(spark, tmp_path):
     pytest.importorskip("pandas")
     for i, values in enumerate([[1, 5, 3], [4, 9]]):

@@ -306,3 +306,11 @@ def test_sorted_assertion(spark):
     df = spark.createDataFrame([(1, 5), (2, 4)], "row int, pos int")
     with pytest.raises(Exception, match="not sorted"):
         columns.assert_sorted(df.withColumn("one", F.lit(1)), "pos", ["one"], ["row"]).collect()
+
+
+def test_lines_of_a_folder_follow_file_names(spark, tmp_path):
+    (tmp_path / "b.txt").write_text("3\n4\n")
+    (tmp_path / "a.txt").write_text("0\n1\n2\n")
+    (tmp_path / "c.txt").write_text("5")
+    rows = text.numbered_lines(spark, [str(tmp_path)]).collect()
+    assert sorted((r.line_no, r.value) for r in rows) == [(i, str(i)) for i in range(6)]

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from readloom.functions.fields import header_attributes, name_and_comment, parse_tags, tag_text
+from readloom.operators import ordered
 from readloom.schema import LINE
 
 #: Bytes of a file that tell its format.
@@ -17,7 +18,7 @@ SNIFFED = 1 << 12
 MAX_FILES = 10_000
 
 
-def numbered_lines(spark: SparkSession, paths: list[str], glob: str | None = None) -> DataFrame:
+def numbered_lines(spark: SparkSession, paths: list[str], line_sep: str | None = None) -> DataFrame:
     """(file_id, line_no, value): lines of text files, numbered from 0 in each; file_id is the place in `paths`.
 
     Lines are numbered inside each input split, and splits by the count of lines before them, so no task sees a whole
@@ -25,7 +26,7 @@ def numbered_lines(spark: SparkSession, paths: list[str], glob: str | None = Non
     """
     out = None
     for i, path in enumerate(paths):
-        lines = spark.read.text(path).select(
+        lines = spark.read.text(path, lineSep=line_sep).select(
             F.lit(i).alias("file_id"),
             F.col("_metadata.file_path").alias("path"),
             F.xxhash64("_metadata.file_path").alias("file"),
@@ -100,18 +101,19 @@ def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def fasta_index(spark: SparkSession, path: str) -> DataFrame:
-    """(name, length, offset, line_bases, line_width) of a FASTA file's contigs: offset of the first base in bytes."""
-    lines = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", "\n$", ""), "\n").alias("lines"))
-    spread = lines.select(F.posexplode("lines").alias("no", "line"))
-    w = Window.partitionBy().orderBy("no")
-    placed = spread.withColumn("at", F.sum(F.octet_length("line") + 1).over(w) - F.octet_length("line") - 1)
-    placed = placed.withColumn("name", F.last(F.when(F.col("line").startswith(">"), F.regexp_extract("line", r"^>\s*(\S+)", 1)), ignorenulls=True).over(w))
-    body = placed.where(~F.col("line").startswith(">") & F.col("name").isNotNull())
+    """(name, length, offset, line_bases, line_width) of a FASTA file's contigs: offset of the first base in bytes. Lines and their
+    bytes are counted by input split, so no task sees a whole genome."""
+    lines = numbered_lines(spark, [path], "\n").withColumn("name", F.when(F.col("value").startswith(">"), F.regexp_extract("value", r"^>\s*(\S+)", 1)))
+    size = (F.octet_length("value") + 1).cast("long")
+    placed = ordered.running_sum(ordered.ranged(lines, ["file_id"], ["line_no"]), ["file_id"], size, "end")
+    placed = ordered.filled(placed.withColumnRenamed("name", "_name"), ["file_id"], "_name", "name")
+    bare = F.rtrim("value", F.lit(" \r"))
+    body = placed.where(~F.col("value").startswith(">") & F.col("name").isNotNull()).select("name", F.col("line_no").alias("no"), bare.alias("line"), size.alias("size"), (F.col("end") - size).alias("at"))
     return body.groupBy("name").agg(
-        F.sum(F.length(F.rtrim("line"))).alias("length"),
+        F.sum(F.length("line")).alias("length"),
         F.min("at").alias("offset"),
-        F.min_by(F.length(F.rtrim("line")), "no").cast("int").alias("line_bases"),
-        F.min_by(F.octet_length("line") + 1, "no").cast("int").alias("line_width"),
+        F.min_by(F.length("line"), "no").cast("int").alias("line_bases"),
+        F.min_by("size", "no").cast("int").alias("line_width"),
     )
 
 

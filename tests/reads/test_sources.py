@@ -314,3 +314,10 @@ def test_lines_of_a_folder_follow_file_names(spark, tmp_path):
     (tmp_path / "c.txt").write_text("5")
     rows = text.numbered_lines(spark, [str(tmp_path)]).collect()
     assert sorted((r.line_no, r.value) for r in rows) == [(i, str(i)) for i in range(6)]
+
+
+def test_fasta_index_of_line_ends(spark, tmp_path):
+    data = b">a x\r\nACGT\r\nAC\r\n>b\r\nTTTTTT\r\n"
+    (tmp_path / "r.fa").write_bytes(data)
+    rows = {r.name: r for r in text.fasta_index(spark, str(tmp_path / "r.fa")).collect()}
+    assert {k: (r.length, r.offset, r.line_bases, r.line_width) for k, r in rows.items()} == {"a": (6, data.index(b"ACGT"), 4, 6), "b": (6, data.index(b"TTT"), 6, 8)}

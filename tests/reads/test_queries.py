@@ -11,7 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
+from readloom.operators import stats
 from readloom.plans import registry
+from readloom.plans.adapters import Q
 from readloom.streaming import reads as streams
 
 
@@ -42,6 +44,16 @@ def test_query_without_sql_runs(spark, sf_dir, name):
     assert registry.QUERIES[name](spark, sf_dir).count() > 0
 
 
+def test_lossy_equals_walk(spark, sf_dir, duck):
+    """q_lossy has no SQL: its rows against the walk over codes that are counted here."""
+    texts = dict(duck.execute(f"WITH {Q} SELECT doc_id, qual FROM q").fetchall())
+    counts = collections.Counter(ord(c) for qual in texts.values() if qual != "*" for c in qual)
+    least = min(counts)
+    walked = stats.lossy_table(counts, 33 if least < 59 else 59 if least < 64 else 64, 30)
+    got = {r["doc_id"]: r["qual"] for r in registry.QUERIES["q_lossy"](spark, sf_dir).collect()}
+    assert got == {k: "".join(chr(walked[ord(c)]) for c in qual) for k, qual in texts.items()}
+
+
 def test_entry(spark):
     assert entry_module.entry(spark).count() > 0
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())

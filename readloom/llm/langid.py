@@ -20,13 +20,33 @@ SAMPLE_SYMBOLS = 1 << 14
 SAMPLE_TOTAL = 1 << 19
 #: Preferred length in characters of a sample document.
 SAMPLE_LENGTH = (200, 5000)
-#: Symbols: the separator, letters, and the two below; rarer letters share a symbol.
+#: Symbols: the separator, those that spell letters, one for letters not seen and one that pads.
 ALPHABET = 256
 #: A phrase does not cross the end of a stretch of so many symbols, so that stretches can be parsed side by side.
 STRETCH = 512
 UNKNOWN = "und"
 
 
+def spellings(n: int, room: int = ALPHABET - 3) -> list[tuple[int, ...]]:
+    """Symbols, from 1 to room, that spell the most frequent letter to the n-th; no two letters are spelled alike.
+
+    With more letters than symbols the most frequent have one each, and a rarer one is a number whose digits are each of an
+    own range of symbols, so that no letter is found inside another one or across two.
+    """
+    if n <= room:
+        return [(1 + i,) for i in range(n)]
+    digits, base = 2, 2
+    while room - digits * base + base**digits < n:
+        base += 1
+        if digits * base > room:
+            digits, base = digits + 1, 2
+        if digits * base > room:
+            raise ValueError(f"{room} symbols cannot spell {n} letters")
+    single = room - digits * base
+    rare = [tuple(1 + single + d * base + i // base ** (digits - 1 - d) % base for d in range(digits)) for i in range(n - single)]
+    return [(1 + i,) for i in range(single)] + rare
+
+
 class SuffixAutomaton:
     """All substrings of a sequence of symbols; state 0 is the start."""
 
@@ -81,7 +101,7 @@ class LanguageModel:
         letters = Counter(c for text in samples.values() for c in text.lower() if c.isalpha())
         ranked = sorted(letters, key=lambda c: (-letters[c], c))
         self.width = min(ALPHABET, len(ranked) + 3)
-        self.symbols = {ord(c): 1 + i % (self.width - 3) for i, c in enumerate(ranked)}
+        self.symbols = dict(zip(map(ord, ranked), spellings(len(ranked)), strict=True))
         self.languages = sorted(samples)
         table = self._codes()
         self.sizes, self.tables = [], []
@@ -92,10 +112,11 @@ class LanguageModel:
             self.tables.append(SuffixAutomaton(symbols.tolist()).table(self.width))
 
     def _codes(self) -> np.ndarray:
-        """Symbol of each code point: 0 for all that are not letters, the last but one for letters not seen."""
-        codes = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000).astype(np.int16) * (self.width - 2)
-        for code, symbol in self.symbols.items():
-            codes[code] = symbol
+        """Symbols of each code point (rows), -1 after the last: 0 for all that are not letters, the last but one for letters not seen."""
+        codes = np.full((0x110000, max(map(len, self.symbols.values()), default=1)), -1, np.int16)
+        codes[:, 0] = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000).astype(np.int16) * (self.width - 2)
+        for code, spelled in self.symbols.items():
+            codes[code, : len(spelled)] = spelled
         return codes
 
     def phrases(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -143,14 +164,19 @@ def encode(texts: list[str], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     lowered = [x.lower() for x in texts]
     sizes = np.array([len(x) for x in lowered], np.int64)
     points = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
-    symbols = codes[points]
+    symbols = codes[:, 0][points]
     keep = np.ones(len(symbols), bool)
     keep[1:] = (symbols[1:] > 0) | (symbols[:-1] > 0)
     starts = (np.cumsum(sizes) - sizes)[sizes > 0]
     keep[starts] = True
-    kept = np.concatenate([[0], np.cumsum(keep)])
     ends = np.cumsum(sizes)
-    return symbols[keep], kept[ends] - kept[ends - sizes]
+    if codes.shape[1] == 1:
+        kept = np.concatenate([[0], np.cumsum(keep)])
+        return symbols[keep], kept[ends] - kept[ends - sizes]
+    spelled = codes[points]
+    there = (spelled >= 0) & keep[:, None]
+    kept = np.concatenate([[0], np.cumsum(there.sum(axis=1))])
+    return spelled[there], kept[ends] - kept[ends - sizes]
 
 
 def training_sample(docs: DataFrame, learns: Column) -> dict[str, str]:
@@ -194,7 +220,8 @@ def identify_language(docs: DataFrame) -> DataFrame:
 
     Learns from text and lang of a bounded sample of the documents that are not held out; predicts from the whole text
     alone. Null texts and texts without a letter are `und` with score 0, and so is all if nothing is labelled. Repeated
-    rows get equal predictions; a null doc_id is not held out; columns of the added names are replaced.
+    rows get equal predictions; a null doc_id is not held out; columns of the added names are replaced. Of equally cheap
+    languages the first by name wins; a very long text is parsed whole, stretch by stretch.
     """
     docs = docs.drop("held_out", "lang_pred", "score")
     samples = training_sample(docs, ~held_out())

@@ -246,7 +246,8 @@ def test_html_query(spark, sf_dir):
 # --- op4
 
 
-def plain_line_dedup(data):
+def plain_kept_lines(data):
+    """(doc_id, lines, lines that are kept) of each row."""
     holders = defaultdict(set)
     key = lambda x: x.translate(LOWER).strip(" \t\n\x0b\x0c\r")
     for doc, text in data:
@@ -257,8 +258,12 @@ def plain_line_dedup(data):
         lines = (text or "").split("\n")
         heavy = lambda k: len(k) >= 20 and len(holders[k]) >= 3
         kept = [x for x in lines if not heavy(key(x)) or max(holders[key(x)]) == doc]
-        out.append((doc, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
-    return Counter(out)
+        out.append((doc, lines, kept))
+    return out
+
+
+def plain_line_dedup(data):
+    return Counter((doc, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()) for doc, lines, kept in plain_kept_lines(data))
 
 
 @pytest.mark.parametrize("which", ["docs", "odd", "empty"])
@@ -625,6 +630,41 @@ def test_phrases_are_greedy_matches():
             assert row[k] == sum(plain_phrases(p, clean(samples[name])) for p in parts)
 
 
+@pytest.mark.parametrize(("n", "room"), [(0, 5), (5, 5), (7, 6), (253, 253), (254, 253), (3000, 253), (15_876, 253), (20_000, 253)])
+def test_letters_are_spelled_apart(n, room):
+    got = langid.spellings(n, room)
+    assert len(got) == len(set(got)) == n and all(1 <= x <= room for s in got for x in s)
+    if n <= 3000:  # the places of a symbol: always the same digit, so none is found inside another
+        places = defaultdict(set)
+        for s in got:
+            for k, x in enumerate(s):
+                places[x].add((k, len(s)))
+        assert all(len(x) == 1 for x in places.values())
+
+
+def test_too_few_symbols():
+    with pytest.raises(ValueError, match="5 symbols cannot spell 6 letters"):
+        langid.spellings(6, 5)
+
+
+def test_many_letters_do_not_alias():
+    """With thousands of letters, phrases are those of the spelled texts, and letters of one script match no other."""
+    rng = np.random.default_rng(5)
+    han, latin = [chr(0x4E00 + i) for i in range(2500)], list("abcdefghijklmnopqrstuvwxyz")
+    drawn = lambda letters, n: "".join(letters[k] for k in rng.zipf(1.2, n) % len(letters))
+    samples = {"han": drawn(han, 6000), "latin": drawn(latin, 3000), "mixed": drawn(latin + han, 3000)}
+    model = langid.LanguageModel(samples)
+    assert model.width == langid.ALPHABET
+    spell = lambda t: "".join(chr(x) for c in t for x in model.symbols.get(ord(c), (model.width - 2,)))
+    texts = [drawn(han, 150), drawn(latin, 150), "".join(sorted(samples["han"], key=samples["han"].count)[:100])]
+    symbols, lengths = langid.encode(texts, model._codes())
+    assert lengths.tolist() == [len(spell(t)) for t in texts]
+    for row, text in zip(model.phrases(symbols, lengths).tolist(), texts, strict=True):
+        assert row == [plain_phrases(spell(text), spell(samples[k])[: langid.SAMPLE_SYMBOLS]) for k in model.languages]
+    assert model.phrases(symbols, lengths)[2, 1] == lengths[2]  # no letter of the rare ones is in the Latin sample
+    assert model.predict(texts)[0][:2] == ["han", "latin"] and model.predict([texts[2], None, "12"])[0] == ["han", "und", "und"]
+
+
 def test_language_accuracy_and_held_out(spark, docs):
     got = langid.identify_language(docs).collect()
     for r in got:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm import decontam, htmltext, langid, licenses, linededup, neardup, ngramlm, packing, quality, warc
+from readloom.llm import decontam, htmltext, langid, licenses, linededup, neardup, ngramlm, packing, quality, tokenfile, turnrepair, vectorcodes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,21 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vectorcodes.compress_vectors(table(spark, sf_dir, "embeddings"))
+    return found.rows.select("vec_id", "code", "error", "label_error", F.lit(found.sha256).alias("codebooks_sha256"))
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = turnrepair.damage(table(spark, sf_dir, "conversations"))
+    return turnrepair.repair_conversations(damaged).summary.select(turnrepair.COLUMNS)
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tokenfile.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), with_ids=False)
+    return out.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -86,6 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language_id,
         op9_packing,
         op10_near_duplicates,
+        op11_vector_codes,
+        op12_turn_repair,
+        op13_token_files,
     )
 }
 

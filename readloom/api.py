@@ -7,12 +7,19 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.operators import columns, derived, pileup, ranges, stats
+from readloom.operators import columns, derived, ranges, stats
 from readloom.sources import bam, store, text
 
 
+#: More ranges than this are joined in one scan.
+FEW_RANGES = 16
+#: As a reference: the files that the header's @SQ lines name.
+HEADER = "header"
+
+
 class ReadStore:
-    """A written store. Nothing is read before a result is asked for; there is nothing to close."""
+    """A written store. Nothing is read before a result is asked for; there is nothing to close. `reference` is a FASTA file, a folder of
+    `<contig>.fa` files that ends in `/`, or HEADER."""
 
     def __init__(self, spark: SparkSession, path: str, reference: str | None = None):
         self.spark, self.path, self.reference = spark, path, reference
@@ -33,7 +40,8 @@ class ReadStore:
             header = lines if header is None else header.unionByName(lines)
         tagged = None
         if reference:
-            chunks = pileup.reference_chunks(text.resolve_reference(spark, header, reference))
+            names = [r["name"] for r in text.header_registry(header, "SQ").select("name").distinct().collect()] if reference.endswith("/") else None
+            chunks = text.resolve_reference(spark, header, None if reference == HEADER else reference, names)
             tagged = derived.with_derived(reads, chunks, ["file_id", "row_id"])
             reads = derived.elide_derived(tagged)
         store.write_store(reads, path, header, sources, lossy_percent=lossy_percent, codec=codec, overwrite=overwrite)
@@ -70,16 +78,10 @@ class ReadStore:
         Several ranges give a read once for each it is in, in their order."""
         reads = self.reads
         if range:
-            found = ranges.parse_ranges(range, self.contigs())
-            ranges.check_ranges(found, self.contigs(), self.n_files())
-            spans = {(r["file_id"], str(r["chr"])): r["max_ref_span"] for r in store.read_store(self.spark, self.path, "spans").collect()}
-            parts = [
-                reads.where((F.col("file_id") == r.file_id) & ranges.in_range(r, overlap, spans.get((r.file_id, r.chr)))).withColumn("range_no", F.lit(i))
-                for i, r in enumerate(found)
-            ]
-            reads = parts[0]
-            for p in parts[1:]:
-                reads = reads.unionByName(p)
+            contigs = self.contigs()
+            found = ranges.parse_ranges(range, contigs)
+            ranges.check_ranges(found, contigs, self.n_files())
+            reads = self._of_many(found, overlap) if len(found) > FEW_RANGES else self._of_few(found, overlap)
         if flag:
             reads = reads.where(ranges.include(F.col("flag"), flag))
         if exclude:
@@ -88,13 +90,30 @@ class ReadStore:
             reads = reads.withColumn("qual", F.repeat(F.lit("@"), F.length("seq")))
         return self._with_tags(reads)
 
+    def _of_few(self, found: list[ranges.Range], overlap: bool) -> DataFrame:
+        """A scan for each range, of which statistics of row groups skip most."""
+        spans = {(r["file_id"], str(r["chr"])): r["max_ref_span"] for r in store.read_store(self.spark, self.path, "spans").collect()}
+        out = None
+        for i, r in enumerate(found):
+            here = (F.col("file_id") == r.file_id) & ranges.in_range(r, overlap, spans.get((r.file_id, r.chr)))
+            part = self.reads.where(here).withColumn("range_no", F.lit(i))
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    def _of_many(self, found: list[ranges.Range], overlap: bool) -> DataFrame:
+        """One scan of the ranges' files and contigs, joined with the ranges in bins."""
+        reads = self.reads.where(F.col("file_id").isin(*{r.file_id for r in found}) & F.col("chr").isin(*{r.chr for r in found}))
+        return ranges.multi_range(reads, ranges.ranges_frame(reads, found), overlap)
+
     def _with_tags(self, reads: DataFrame) -> DataFrame:
         """Reads with the tags that the reference gives; an error for a store that lacks some, if no reference is open."""
         if "elided" not in reads.columns:
             return reads
         if not self.reference:
             raise ValueError("this store was written with a reference; open it with the same one")
-        chunks = pileup.reference_chunks(text.resolve_reference(self.spark, None, self.reference))
+        names = self.contigs() if self.reference.endswith("/") else None
+        header = store.read_store(self.spark, self.path, "header")
+        chunks = text.resolve_reference(self.spark, header, None if self.reference == HEADER else self.reference, names)
         keys = [*(["range_no"] if "range_no" in reads.columns else []), "file_id", "row_id"]
         made = derived.with_derived(reads.select(*keys, "chr", "pos", "cigar", "seq"), chunks, keys).select(*keys, "derived")
         return derived.restore_derived(reads.join(made, keys))

@@ -12,10 +12,10 @@ CHUNK = 1 << 12
 
 
 def reference_chunks(contigs: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(chr, chunk, bases) of contigs (chr, seq); upper case."""
-    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.length("seq") - 1, F.lit(0)).cast("long"), F.lit(chunk).cast("long")))
-    cut = contigs.select("chr", "seq", starts.alias("start"))
-    return cut.select("chr", F.floor(F.col("start") / chunk).alias("chunk"), F.upper(F.expr(f"substring(seq, start + 1, {chunk})")).alias("bases"))
+    """(chr, chunk, bases) of contigs (chr, seq); upper case. For contigs that fit a cell; fasta_chunks reads those of files without one. A
+    contig is cut in one pass over it."""
+    cut = F.posexplode(F.regexp_extract_all(F.upper("seq"), F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0)))
+    return contigs.where("seq <> ''").select("chr", cut.alias("chunk", "bases")).withColumn("chunk", F.col("chunk").cast("long"))
 
 
 def contig_digests(contigs: DataFrame) -> DataFrame:

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from readloom.api import ReadStore
 from readloom.functions import alignment, fields
-from readloom.operators import columns, derived, mates, ordered, pileup, ranges, stats
+from readloom.operators import columns, derived, mates, ordered, pileup, ranges, stats, tiles
 from readloom.plans.adapters import ORDER, C, L, M, Q, R, contigs, letters, mated, qualities, reads, table
-from readloom.sources import store, text
+from readloom.sources import bam, fasta, sinks, store, text
 from readloom.storage import shared_path
 from readloom.streaming import reads as streams
 
@@ -83,6 +83,35 @@ def q_multi_range(spark, sf_dir):
     return ranges.multi_range(df, ranges.ranges_frame(df, ranges.parse_ranges(_MULTI)), overlap=True, bin_size=128).select(*READ, "range_no")
 
 
+_FILES = "1,chr1:100-300;chr2:200-400;0,chr1:250-350;1,chr3:2000"
+_G = "g(range_no, f, c, s, e) AS (VALUES (0, 1, 'chr1', 100, 300), (1, 0, 'chr2', 200, 400), (2, 0, 'chr1', 250, 350), (3, 1, 'chr3', 2000, 2147483647))"
+
+
+def _filed(df: DataFrame) -> DataFrame:
+    return df.withColumn("file_id", (F.col("oid") % 2).cast("int"))
+
+
+@query(f"WITH {R}, {_G} SELECT {_READ}, f AS file_id, range_no FROM r JOIN g ON chr = c AND oid % 2 = f AND pos <= e AND (pos >= s OR end_excl >= s)")
+def q_multi_range_files(spark, sf_dir):
+    """Ranges of two files over rows of both."""
+    df = _filed(reads(spark, sf_dir))
+    return ranges.multi_range(df, ranges.ranges_frame(df, ranges.parse_ranges(_FILES)), overlap=True, bin_size=128).select(*READ, "file_id", "range_no")
+
+
+@query(f"WITH {R}, {_G} SELECT {_READ}, CAST(oid % 2 AS INTEGER) AS file_id FROM r WHERE EXISTS (FROM g WHERE chr = c AND oid % 2 = f AND pos <= e AND (pos >= s OR end_excl >= s))")
+def q_any_range_files(spark, sf_dir):
+    return ranges.any_range(_filed(reads(spark, sf_dir)), ranges.parse_ranges(_FILES), overlap=True).select(*READ, "file_id")
+
+
+@query(f"""WITH {R}, {_G}, b AS (SELECT CAST(oid % 2 AS INTEGER) AS file_id, chr, (row_number() OVER (PARTITION BY oid % 2, chr ORDER BY pos, oid, ln, pk, cents) - 1) // 500 AS block_id, pos, end_excl FROM r),
+i AS (SELECT file_id, chr, block_id, min(pos) AS first_pos, max(end_excl) AS last_end FROM b GROUP BY ALL)
+SELECT range_no, file_id, chr, block_id FROM i JOIN g ON chr = c AND file_id = f AND first_pos <= e AND last_end >= s""")
+def q_block_ranges_files(spark, sf_dir):
+    blocks = ordered.assign_blocks(_filed(reads(spark, sf_dir)), ["file_id", "chr"], ["pos", "oid", "ln", "pk", "cents"], 500)
+    index = columns.block_index(blocks, ["file_id", "chr"])
+    return ranges.blocks_of_ranges(index, ranges.ranges_frame(index, ranges.parse_ranges(_FILES)), bin_size=128)
+
+
 @query(f"""WITH {R} SELECT {_READ} FROM r WHERE (chr = 'chr1' AND pos BETWEEN 100 AND 350) OR (chr = 'chr2' AND pos BETWEEN 200 AND 400)
 OR (chr = 'chr3' AND pos >= 2000)""")
 def q_any_range(spark, sf_dir):
@@ -289,19 +318,24 @@ p AS (SELECT chr, pos, CASE WHEN b IN ('A', 'C', 'G', 'T') THEN b ELSE 'N' END A
 _K = f"""{_P}, k AS (SELECT chr, pos, max_by(base, (n, -instr('.ACGTN', base))) AS base, CAST(sum(n) AS BIGINT) AS depth FROM p GROUP BY chr, pos)"""
 
 
-def _bases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    aligned = letters(spark, sf_dir).where("seq <> ''").withColumn("cigar", F.concat(F.length("seq").cast("string"), F.lit("M")))
-    return pileup.pileup(pileup.aligned_bases(pileup.with_spans(aligned)))
+def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return letters(spark, sf_dir).where("seq <> ''").withColumn("cigar", F.concat(F.length("seq").cast("string"), F.lit("M")))
 
 
 @query(f"WITH {_P} SELECT * FROM p")
 def q_pileup(spark, sf_dir):
-    return _bases(spark, sf_dir)
+    return tiles.pileup_rows(tiles.tile_counts(_aligned(spark, sf_dir)))
+
+
+@query(f"WITH {_P} SELECT * FROM p")
+def q_pileup_rows(spark, sf_dir):
+    """The same by a row a base, without Python."""
+    return pileup.pileup(pileup.aligned_bases(pileup.with_spans(_aligned(spark, sf_dir))))
 
 
 @query(f"WITH {_K} SELECT * FROM k")
 def q_consensus(spark, sf_dir):
-    return pileup.consensus(_bases(spark, sf_dir))
+    return tiles.consensus_rows(tiles.tile_counts(_aligned(spark, sf_dir)))
 
 
 @query(f"""WITH {_K}, {C}, x AS (SELECT k.chr, k.pos, CASE WHEN k.pos <= len(c.seq) THEN substr(c.seq, CAST(k.pos AS INTEGER), 1) ELSE 'N' END AS ref, k.base AS alt
@@ -311,7 +345,7 @@ def q_patches(spark, sf_dir):
 
 
 def _patches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pileup.patches(pileup.consensus(_bases(spark, sf_dir)), pileup.reference_chunks(contigs(spark, sf_dir)))
+    return tiles.patch_rows(tiles.tile_counts(_aligned(spark, sf_dir)), pileup.reference_chunks(contigs(spark, sf_dir)))
 
 
 @query(f"""WITH {_K}, {C}, a AS (SELECT DISTINCT chr, doc_id * 7 % 3000 + 1 AS pos FROM l)
@@ -688,9 +722,14 @@ def q_bag_union(spark, sf_dir):
     return stats.flag_histogram(_two_files(spark, sf_dir), ["file_id"])
 
 
-@query(f"WITH {R} SELECT {_READ} FROM r WHERE flag >= 16")
+@query(f"""WITH {M} SELECT CAST(oid % 2 AS INTEGER) AS file_id, row_number() OVER (PARTITION BY oid % 2 ORDER BY oid, row) - 1 + (SELECT count(*) FROM nation) AS line_no,
+rname, flag, chr, pos, CAST(oid AS VARCHAR) AS xo FROM m""")
 def q_split_files(spark, sf_dir):
-    return _two_files(spark, sf_dir).where("file_id = 1").select(*READ)
+    """Mixed reads of two files, written by the sink with a commit as the files they came from, header first, and read back."""
+    path = shared_path(spark, "split")
+    sinks.write_files(_lines(spark, sf_dir).repartition(8), path, _header(spark, sf_dir), names={0: "even.sam", 1: "odd.sam"}, single=True)
+    back = text.read_sam(spark, [f"{path}/even.sam", f"{path}/odd.sam"])
+    return back.select("file_id", F.col("row_id").alias("line_no"), "rname", "flag", "chr", "pos", F.col("tags")[0]["value"].alias("xo"))
 
 
 @query(f"""WITH {M} SELECT oid, row, concat_ws(chr(9), rname, CAST(flag AS VARCHAR), m.chr, CAST(pos AS VARCHAR), '255', concat(span, 'M'), pchr, CAST(ploc AS VARCHAR),
@@ -740,6 +779,36 @@ def q_sam_headers(spark, sf_dir):
     return named.select("file_id", "line_no", "name", F.col("attrs")["LN"].alias("ln"), F.col("attrs")["DS"].alias("ds"))
 
 
+_BAM = "CAST(oid % 2 AS INTEGER) AS file_id, rname, flag, chr, pos, concat(span, 'M') AS cigar, pchr, ploc, CAST(tlen AS INTEGER) AS tlen, CAST(oid AS VARCHAR) AS xo"
+BAM = ["file_id", "rname", "flag", "chr", "pos", "cigar", "pchr", "ploc", "tlen", "tags[0].value as xo"]
+
+
+def _bam_files(spark: SparkSession, sf_dir: str) -> list[str]:
+    path = shared_path(spark, "bam")
+    sinks.write_files(_lines(spark, sf_dir), path, _header(spark, sf_dir), "bam", order=["chr", "pos", "row_id"], single=True)
+    return [f"{path}/{i}.bam" for i in range(2)]
+
+
+@query(f"WITH {M} SELECT {_BAM} FROM m")
+def q_bam_files(spark, sf_dir):
+    """Reads written as two files of compressed blocks and read back, a task for each stretch of 64 KiB."""
+    return bam.read_bam(spark, _bam_files(spark, sf_dir), 1 << 16).selectExpr(*BAM)
+
+
+@query(f"WITH {M} SELECT {_BAM.replace("CAST(oid % 2 AS INTEGER)", "0")} FROM m WHERE oid % 2 = 1 AND chr = 'chr2' AND pos <= 900 AND (pos >= 500 OR pos - 1 + span >= 500)")
+def q_bam_range(spark, sf_dir):
+    """Reads of a range of an indexed file, from the blocks that can hold them."""
+    path = _bam_files(spark, sf_dir)[1]
+    bam.index_bam(spark, path, 1 << 16)
+    return bam.read_bam_range(spark, path, ranges.Range("chr2", 500, 900), overlap=True, split_bytes=1 << 16).selectExpr(*BAM)
+
+
+@query("SELECT CAST(f AS INTEGER) AS file_id, CAST(n_nationkey AS INTEGER) AS chr_no, concat('chr', n_nationkey) AS chr, CAST(n_regionkey + 1000 AS BIGINT) AS length FROM nation, (VALUES (0), (1)) v(f)")
+def q_bam_contigs(spark, sf_dir):
+    """Contig dictionaries of written files."""
+    return bam.read_bam_header(spark, _bam_files(spark, sf_dir))[1]
+
+
 def _store(spark: SparkSession, sf_dir: str) -> ReadStore:
     path = shared_path(spark, "store")
     store.write_store(_lines(spark, sf_dir).drop("oid", "row", "span"), path, _header(spark, sf_dir), block_rows=1000)
@@ -771,11 +840,11 @@ def q_store_contigs(spark, sf_dir):
 
 @query(f"WITH {L}, {C} SELECT chr, len(seq) AS length, md5(seq) AS md5 FROM c WHERE seq <> ''")
 def q_fasta_files(spark, sf_dir):
-    """Contigs written as FASTA in lines of 60 and read back."""
+    """Contigs written as FASTA in lines of 60, read back in chunks by ranges of bytes."""
     path = shared_path(spark, "fasta")
     wrapped = F.regexp_replace("seq", "(.{60})(?=.)", "$1\n")
     contigs(spark, sf_dir).where("seq <> ''").select(F.concat(F.lit(">"), "chr", F.lit(" made of text\n"), F.lower(wrapped)).alias("value")).write.text(path)
-    return text.read_fasta(spark, path).select("chr", F.length("seq").cast("long").alias("length"), F.md5("seq").alias("md5"))
+    return fasta.chunk_digests(fasta.fasta_chunks(spark, path, split_bytes=1000))
 
 
 @query("SELECT concat('O', o_orderkey) AS name, o_orderpriority AS comment FROM orders")

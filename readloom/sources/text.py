@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from readloom.functions.fields import header_attributes, name_and_comment, parse_tags, tag_text
 from readloom.operators import ordered
 from readloom.schema import LINE
+from readloom.sources.fasta import fasta_chunks
 
 #: Bytes of a file that tell its format.
 SNIFFED = 1 << 12
@@ -122,26 +123,29 @@ def read_fasta_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def resolve_reference(spark: SparkSession, header: DataFrame | None = None, path: str | None = None, contigs: list[str] | None = None) -> DataFrame | None:
-    """(chr, seq) of the reference: a FASTA file or, for a path that ends in `/`, `<contig>.fa` files in it; else the URLs
-    that @SQ lines give; None if there is neither, and all bases are N."""
+    """(chr, chunk, bases) of the reference: a FASTA file or, for a path that ends in `/`, `<contig>.fa` files in it; else the URLs
+    that @SQ lines give; None if there is neither, and all bases are N. Of a folder, contigs without a file have no bases."""
     if path and path.endswith("/"):
         if contigs is None:
             raise ValueError("a folder of contigs needs their names")
-        found = [read_fasta(spark, f"{path}{c}.fa") for c in contigs]
+        found = [f"{path}{c}.fa" for c in contigs if c != "*"]
+        found = [p for p in found if exists(spark, p)]
     elif path:
-        found = [read_fasta(spark, path)]
+        found = [path]
     elif header is not None:
         urls = header_registry(header, "SQ").select(F.col("attrs")["UR"].alias("u")).where("u is not null").distinct().limit(MAX_FILES + 1)
-        names = [r["u"] for r in urls.collect()]
-        if len(names) > MAX_FILES:
+        found = sorted(r["u"] for r in urls.collect())
+        if len(found) > MAX_FILES:
             raise ValueError(f"the header names more than {MAX_FILES} reference files; give one file or a folder")
-        found = [read_fasta(spark, names)] if names else []
     else:
         found = []
-    out = None
-    for f in found:
-        out = f if out is None else out.unionByName(f)
-    return out
+    return fasta_chunks(spark, found) if found else None
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """A file is there, in any file system of the session."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
 def read_fastq_names(spark: SparkSession, paths: str | list[str]) -> DataFrame:

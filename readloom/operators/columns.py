@@ -24,29 +24,6 @@ def assign_blocks(df: DataFrame, partition: list[str], order: list[str], rows: i
     return df.withColumn("block_id", F.floor((F.row_number().over(w) - 1) / rows).cast("long"))
 
 
-def assign_capped_blocks(df: DataFrame, partition: list[str], order: list[str], size: str, rows: int, cap: int) -> DataFrame:
-    """Adds block_id: a block ends at `rows` rows or when its sizes reach `cap`. A sequential fold, one group at a time,
-    that carries two numbers from batch to batch."""
-    import pandas as pd
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", block_id long"
-    keys = df.select(*partition).columns
-
-    def fold(frames):
-        state: dict[tuple, tuple[int, int, int]] = {}
-        for frame in frames:
-            ids = []
-            for key, n in zip(frame[keys].itertuples(index=False, name=None), frame[size], strict=True):
-                block, count, total = state.get(key, (0, 0, 0)) if key in state else (0, 0, 0)
-                if count >= rows or total >= cap:
-                    block, count, total = block + 1, 0, 0
-                state = {key: (block, count + 1, total + int(n))}
-                ids.append(block)
-            yield frame.assign(block_id=pd.Series(ids, index=frame.index, dtype="int64"))
-
-    return df.repartition(*partition).sortWithinPartitions(*partition, *order).mapInPandas(fold, schema)
-
-
 def block_index(df: DataFrame, partition: list[str]) -> DataFrame:
     """One row a block: rows, first and last start, largest end."""
     return df.groupBy(*partition, "block_id").agg(

@@ -53,8 +53,13 @@ def pair_mates(reads: DataFrame, partition: list[str]) -> DataFrame:
     start = F.struct(empty.alias("out"), F.col("reads")[0].alias("first"))
     folded = F.aggregate(F.slice("reads", 2, F.size("reads") - 1), start, step, lambda acc: acc["out"])
     pairs = names.select(*partition, F.explode(folded).alias("p")).select(*partition, "p.row", "p.mate", "p.off")
+    return both_sides(pairs, partition)
+
+
+def both_sides(pairs: DataFrame, partition: list[str]) -> DataFrame:
+    """(partition..., row, mate_state, mate_row, off) of both reads of each pair (partition..., row, mate, off); a candidate that several
+    reads matched keeps the last of them."""
     back = pairs.select(*partition, "row", F.lit("look_back").alias("mate_state"), F.col("mate").alias("mate_row"), "off")
-    # a candidate that several reads matched keeps the last of them
     ahead = pairs.groupBy(*partition, "mate").agg(F.max_by(F.struct("row", "off"), "row").alias("p"))
     ahead = ahead.select(*partition, F.col("mate").alias("row"), F.lit("look_ahead").alias("mate_state"), F.col("p.row").alias("mate_row"), F.col("p.off").alias("off"))
     return back.unionByName(ahead)

@@ -6,6 +6,12 @@ one small row for each task and contig, which is carried on between the tasks an
 
 from __future__ import annotations
 
+import functools
+import operator
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -84,6 +90,120 @@ def assign_blocks(df: DataFrame, partition: list[str], order: list[str], rows: i
     return row_numbers(df, partition, order, "block_id").withColumn("block_id", F.floor(F.col("block_id") / rows).cast("long"))
 
 
+def _last_reached(pointers: np.ndarray, end: int) -> np.ndarray:
+    """Where the chain of pointers from each place leaves the places below `end`. Pointers are doubled, so steps grow with the logarithm of a
+    chain's length."""
+    out = pointers.copy()
+    while len(out) and out.min() < end:
+        inside = out < end
+        out[inside] = out[out[inside]]
+    return out
+
+
+def _reached(pointers: np.ndarray, first: int, end: int) -> np.ndarray:
+    """Places below `end` on the chain of pointers from `first`, by doubling."""
+    on, step = np.zeros(end, bool), np.append(np.minimum(pointers, end), end)
+    on[first] = True
+    while True:
+        more = step[np.flatnonzero(on)]
+        more = more[more < end]
+        if on[more].all():
+            if (step >= end).all():
+                return on
+        on[more] = True
+        step = step[step]
+
+
+def _stretches(rows: DataFrame, partition: list[str], columns: list[str], schema: str, of) -> DataFrame:
+    """`of(key row, columns)` for the rows of each task and contig, sorted by number: pa.RecordBatch of `schema`."""
+    kept = [PART, *partition, *columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(1 + len(partition))), strict=True))
+            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if held and keys[a] != key:
+                    yield of(held[0], _columns(held, len(kept) - len(columns)))
+                    held = []
+                key = keys[a]
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield of(held[0], _columns(held, len(kept) - len(columns)))
+
+    dealt = rows.repartition(PART, *partition).sortWithinPartitions(PART, *partition, columns[0])
+    return dealt.select(*kept).mapInArrow(run, schema)
+
+
+def _columns(held: list[pa.RecordBatch], first: int) -> list[np.ndarray]:
+    table = pa.Table.from_batches(held)
+    return [table.column(k).to_numpy() for k in range(first, table.num_columns)]
+
+
+def assign_capped_blocks(df: DataFrame, partition: list[str], order: list[str], size: str, rows: int, cap: int) -> DataFrame:
+    """Adds block_id: rows of a contig, in order; a block ends at `rows` rows or when its sizes, which are not negative, reach `cap`.
+
+    Where a block ends depends on where it begins, so each row points to the row that would begin the next block after it: the nearest of
+    `rows` further and the first at which the running sum has grown by `cap`, found by merging sums and what they are asked for in one
+    order. A task follows the pointers inside its own stretch of rows, for all its rows at once. What is left is a chain over the tasks, from each
+    row at which one of them can be entered to the next; that is followed by doubling too, in rounds as many as the logarithm of the
+    tasks. So no task holds a contig and no loop runs over rows.
+    """
+    keys = df.select(*partition).schema
+    placed = ranged(df.withColumn("_size", F.coalesce(F.col(size), F.lit(0)).cast("long")), partition, order)
+    placed = running_sum(running_sum(placed, partition, F.lit(1).cast("long"), "_k"), partition, F.col("_size"), "_sum")
+    placed = materialize(placed, "capped-rows")
+    narrow = placed.select(PART, *partition, "_k", "_sum", "_size")
+    asked = narrow.select(PART, *partition, "_k", (F.col("_sum") - F.col("_size") + cap).alias("_at"), F.lit(1).alias("_asks"), F.lit(None).cast("long").alias("_row"))
+    held = narrow.select(PART, *partition, "_k", F.col("_sum").alias("_at"), F.lit(0).alias("_asks"), F.col("_k").alias("_row"))
+    met = asked.unionByName(held).withColumnRenamed(PART, "_of").withColumn("_down", -F.col("_at")).withColumn("_last", -F.col("_k"))
+    met = filled(ranged(met, partition, ["_down", "_asks", "_last"]), partition, "_row", "_full").where("_asks = 1")
+    following = F.least(F.col("_k") + rows, F.coalesce(F.col("_full") + 1, F.col("_k") + rows)).alias("_next")
+    pointers = materialize(met.select(F.col("_of").alias(PART), *partition, "_k", following), "capped-pointers")
+
+    names = [f.name for f in keys.fields]
+    of_key = lambda first, n: [first.column(1 + i).slice(0, 1).take(pa.array(np.zeros(n, np.int32))) for i in range(len(names))]
+    shown = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keys.fields)
+
+    def exits(first: pa.RecordBatch, columns: list[np.ndarray]) -> pa.RecordBatch:
+        k, after = columns
+        out = _last_reached(after - k[0], len(k)) + k[0]
+        return pa.record_batch([*of_key(first, len(k)), pa.array(k), pa.array(out)], [*names, "_k", "_exit"])
+
+    def begins(first: pa.RecordBatch, columns: list[np.ndarray]) -> pa.RecordBatch:
+        k, after, entered = columns
+        at = np.flatnonzero(entered)
+        found = k[_reached(after - k[0], int(at[0]), len(k))] if len(at) else k[:0]
+        return pa.record_batch([*of_key(first, len(found)), pa.array(found)], [*names, "_k"])
+
+    edges = materialize(_stretches(pointers, partition, ["_k", "_next"], f"{shown}, _k long, _exit long", exits), "capped-exits")
+    same = lambda a, b, *on: functools.reduce(operator.and_, [F.col(f"{a}.{p}").eqNullSafe(F.col(f"{b}.{p}")) for p in partition] + [F.col(f"{a}.{x}") == F.col(f"{b}.{y}") for x, y in on])
+    entered = edges.select(*partition, F.col("_exit").alias("_k")).distinct()
+    reach = edges.where("_k = 1").select(*partition, "_k")
+    # only rows at which a task can be entered are nodes of the chain
+    nodes = entered.unionByName(reach).distinct()
+    jumps = materialize(edges.alias("e").join(nodes.alias("n"), same("e", "n", ("_k", "_k")), "left_semi"), "capped-jumps")
+    reach, n = materialize(reach, "capped-entries"), -1
+    while (now := reach.count()) != n:  # doubles what is reached
+        n = now
+        further = reach.alias("r").join(jumps.alias("j"), same("r", "j", ("_k", "_k"))).select(*(F.col(f"r.{p}") for p in partition), F.col("j._exit").alias("_k"))
+        reach = materialize(reach.unionByName(further).distinct(), "capped-entries")
+        jumps = materialize(
+            jumps.alias("a").join(jumps.alias("b"), same("a", "b", ("_exit", "_k"))).select(*(F.col(f"a.{p}") for p in partition), F.col("a._k").alias("_k"), F.col("b._exit").alias("_exit")), "capped-jumps"
+        )
+    marked = pointers.alias("p").join(reach.withColumn("_on", F.lit(1)).alias("r"), same("p", "r", ("_k", "_k")), "left")
+    marked = marked.select(F.col(f"p.{PART}").alias(PART), *(F.col(f"p.{p}") for p in partition), F.col("p._k").alias("_k"), F.col("p._next").alias("_next"), F.coalesce("_on", F.lit(0)).alias("_on"))
+    starts = _stretches(marked, partition, ["_k", "_next", "_on"], f"{shown}, _k long", begins)
+    told = placed.alias("p").join(starts.withColumn("_new", F.lit(1)).alias("s"), same("p", "s", ("_k", "_k")), "left")
+    told = told.select("p.*", F.coalesce("_new", F.lit(0)).alias("_new"))
+    numbered = running_sum(told, partition, F.col("_new").cast("long"), "block_id").withColumn("block_id", F.col("block_id") - 1)
+    return _plain(numbered.drop("_k", "_sum", "_size", "_new"))
+
+
 def delta(df: DataFrame, value: str, partition: list[str], order: list[str]) -> DataFrame:
     """Adds delta and escape: the difference to the value before, or 255 and the value itself if the difference is negative
     or at least ESCAPE. The first row of a contig is measured from 0."""

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from readloom.operators.pileup import CHUNK
 
@@ -23,7 +24,7 @@ for _i, _c in enumerate(LANES):
 _CIGAR = re.compile(r"(\d*)([MIDNSHP=X])")
 
 
-def _pack(counts: np.ndarray) -> bytes:
+def pack(counts: np.ndarray) -> bytes:
     """Counts of a tile, compressed: equal bytes of all counts together, since most are zero."""
     raw = np.ascontiguousarray(counts.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
     return pa.Codec("zstd").compress(raw, asbytes=True)
@@ -71,21 +72,22 @@ def placed_bases(starts: np.ndarray, ends: np.ndarray, data: np.ndarray, reads:
     return np.repeat(np.array(rows, np.int64), n), np.repeat(np.array(refs, np.int64), n) + within, lane
 
 
-def tile_counts(reads: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(chr, chunk, counts) of reads (chr, pos, cigar, seq): for each base under M, = and X, and each deleted position, one in its lane.
-    Skipped regions are passed over; insertions and clips cover no position; reads on contig `*`, without a place, a cigar or bases
-    cover none. A tile of which a task has many reads is one row of that task, whatever the depth; a task that meets more than
-    MOST_TILES tiles sends those it has, and goes on."""
+def partial_counts(reads: DataFrame, chunk: int = CHUNK, carry: str | None = None) -> DataFrame:
+    """(chr, chunk, counts): what each task counts; see tile_counts. With `carry`, also carried, a whole number that all reads of a contig
+    have in that column."""
     width = len(LANES)
+    names = ["chr", "chunk", "counts", *(["carried"] if carry else [])]
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tiles: dict[tuple[str, int], np.ndarray] = {}
+        carried: dict[str, int | None] = {}
 
         def sent() -> pa.RecordBatch:
             keys = list(tiles)
-            packed = [_pack(tiles[k]) for k in keys]
+            packed = [pack(tiles[k]) for k in keys]
             tiles.clear()
-            return pa.record_batch([pa.array([c for c, _ in keys], pa.string()), pa.array([t for _, t in keys], pa.int64()), pa.array(packed, pa.binary())], ["chr", "chunk", "counts"])
+            columns = [pa.array([c for c, _ in keys], pa.string()), pa.array([t for _, t in keys], pa.int64()), pa.array(packed, pa.binary())]
+            return pa.record_batch([*columns, pa.array([carried.get(c) for c, _ in keys], pa.int64())][: 4 if carry else 3], names)
 
         for batch in batches:
             seq = batch.column(3).cast(pa.binary()).cast(pa.large_binary())
@@ -93,6 +95,8 @@ def tile_counts(reads: DataFrame, chunk: int = CHUNK) -> DataFrame:
             data = np.frombuffer(seq.buffers()[2] or b"", np.uint8)
             sizes = bounds[1:] - bounds[:-1]
             contigs, where = np.unique(np.array(batch.column(0).to_pylist(), object).astype(str), return_inverse=True)
+            if carry:
+                carried |= dict(zip(batch.column(0).to_pylist(), batch.column(4).to_pylist(), strict=True))
             each = list(zip(range(len(seq)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
             group = np.cumsum(sizes) // MOST_BASES
             for g in np.unique(group):
@@ -113,15 +117,24 @@ def tile_counts(reads: DataFrame, chunk: int = CHUNK) -> DataFrame:
         if tiles:
             yield sent()
 
+    usable = reads.where("chr <> '*' and pos >= 1 and cigar <> '*' and seq <> '*' and seq <> ''")
+    taken = usable.select("chr", "pos", "cigar", "seq", *([F.col(carry).cast("long")] if carry else []))
+    return taken.mapInArrow(fill, SCHEMA + (", carried long" if carry else ""))
+
+
+def tile_counts(reads: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(chr, chunk, counts) of reads (chr, pos, cigar, seq): for each base under M, = and X, and each deleted position, one in its lane.
+    Skipped regions are passed over; insertions and clips cover no position; reads on contig `*`, without a place, a cigar or bases
+    cover none. A tile of which a task has many reads is one row of that task, whatever the depth; a task that meets more than
+    MOST_TILES tiles sends those it has, and goes on."""
+
     def added(table: pa.Table) -> pa.Table:
-        total = np.zeros((chunk, width), np.int64)
+        total = np.zeros((chunk, len(LANES)), np.int64)
         for blob in table["counts"]:
             total += unpack(blob.as_py(), chunk)
-        return pa.table({"chr": table["chr"].slice(0, 1), "chunk": table["chunk"].slice(0, 1), "counts": pa.array([_pack(total.reshape(-1))], pa.binary())})
+        return pa.table({"chr": table["chr"].slice(0, 1), "chunk": table["chunk"].slice(0, 1), "counts": pa.array([pack(total.reshape(-1))], pa.binary())})
 
-    usable = reads.where("chr <> '*' and pos >= 1 and cigar <> '*' and seq <> '*' and seq <> ''")
-    filled = usable.select("chr", "pos", "cigar", "seq").mapInArrow(fill, SCHEMA)
-    return filled.groupBy("chr", "chunk").applyInArrow(added, SCHEMA)
+    return partial_counts(reads, chunk).groupBy("chr", "chunk").applyInArrow(added, SCHEMA)
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,11 +10,12 @@ from pyspark.sql import functions as F
 
 from readloom.api import ReadStore
 from readloom.functions import alignment, fields
-from readloom.operators import columns, derived, mates, ordered, pileup, ranges, stats, tiles
+from readloom.operators import buckets, columns, derived, mates, ordered, pileup, ranges, stats, tiles
 from readloom.plans.adapters import ORDER, C, L, M, Q, R, contigs, letters, mated, qualities, reads, table
-from readloom.sources import bam, fasta, sinks, store, text
+from readloom.sources import bam, fasta, sinks, store, tail, text
 from readloom.storage import shared_path
 from readloom.streaming import reads as streams
+from readloom.streaming import stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -174,7 +176,7 @@ SELECT n.chr, n.pos, n.oid, n.ln, n.span, h.block_id FROM n ASOF JOIN h ON n.chr
 def q_capped_blocks(spark, sf_dir):
     """Blocks of at most 500 rows that end when their spans reach 10,000."""
     df = reads(spark, sf_dir).select("chr", "pos", "oid", "ln", "span", "pk", "cents")
-    return columns.assign_capped_blocks(df, ["chr"], ["pos", "oid", "ln", "pk", "cents"], "span", 500, 10_000).drop("pk", "cents")
+    return ordered.assign_capped_blocks(df, ["chr"], ["pos", "oid", "ln", "pk", "cents"], "span", 500, 10_000).drop("pk", "cents")
 
 
 # --- statistics
@@ -922,3 +924,65 @@ def q_stream_settled(spark, sf_dir):
     lines = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf_dir)
     shaped = lines.selectExpr("cast(datediff(l_shipdate, timestamp '1900-01-01') as bigint) as place", "l_returnflag as base")
     return _appended(streams.settled_bases(shaped, "place", 50), "settled")
+
+
+def _in_batches(df: DataFrame, number: str, n: int, name: str) -> DataFrame:
+    """A stream that gives the rows in n micro-batches, by a column that tells which."""
+    path = shared_path(df.sparkSession, name)
+    for i in range(n):
+        df.where(F.col(number) == i).coalesce(1).write.mode("append").parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query(ORACLE_SQL["q_mate_pairs"])
+def q_stream_pending_mates(spark, sf_dir):
+    """The mate fold over a stream whose names come in three micro-batches."""
+    df = mated(spark, sf_dir).withColumns({"t": F.timestamp_seconds(F.col("row") * 60 + 86_400), "batch": F.least(F.floor((F.col("row") - 1) / 2), F.lit(2))})
+    pairs = stateful.pending_mates(_in_batches(df, "batch", 3, "mates-in"), ["oid"], "t", "10 days")
+    return mates.both_sides(_appended(pairs, "pending-mates"), ["oid"])
+
+
+@query(f"SELECT * FROM ({ORACLE_SQL['q_patches']}) WHERE chr < (SELECT max(lang) FROM documents)")
+def q_stream_patches(spark, sf_dir):
+    """Patches of a stream of reads in coordinate order, in four micro-batches, as their tiles settle: all contigs but the last."""
+    names = sorted(r["chr"] for r in contigs(spark, sf_dir).select("chr").collect())
+    rank = F.array_position(F.array(*map(F.lit, names)), F.col("chr")) - 1
+    place = _aligned(spark, sf_dir).where("chr <> '*'").withColumn("place", rank * 10_000_000 + F.col("pos"))
+    number = F.ntile(4).over(Window.orderBy("place", "doc_id")) - 1  # what makes the stream, not a part of the operator
+    settled = stateful.settled_tiles(_in_batches(place.withColumn("batch", number), "batch", 4, "reads-in"), "place")
+    return tiles.patch_rows(_appended(settled, "settled-tiles"), pileup.reference_chunks(contigs(spark, sf_dir))).where(F.col("chr") < names[-1])
+
+
+@query(f"""WITH {M} SELECT concat(CAST(oid % 2 AS INTEGER), '.sam') AS file, rname, flag, chr, pos, pchr, ploc, CAST(tlen AS INTEGER) AS tlen, CAST(oid AS VARCHAR) AS xo FROM m""")
+def q_stream_sam_files(spark, sf_dir):
+    """A stream of the lines of written files, by ranges of their bytes."""
+    path = shared_path(spark, "tailed")
+    sinks.write_files(_lines(spark, sf_dir), path, _header(spark, sf_dir), single=True)
+    stream = tail.tail_sam(spark, path, split_bytes=1 << 18).selectExpr("substring_index(path, '/', -1) as file", "rname", "flag", "chr", "pos", "pchr", "ploc", "tlen", "tags[0].value as xo")
+    out = shared_path(spark, "tailed-rows")
+    q = stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+
+
+@query(ORACLE_SQL["q_reference_fetch"])
+def q_reference_fetch_bucketed(spark, sf_dir):
+    """The same from tables in buckets of the same places; long texts take the other way."""
+    df = letters(spark, sf_dir).withColumn("end_excl", F.col("pos") - 1 + F.length("seq"))
+    chunks = pileup.reference_chunks(contigs(spark, sf_dir))
+    name = f"readloom_{uuid.uuid4().hex}"
+    bases, rows = buckets.save_reference(chunks, f"{name}_bases", 8), buckets.save_reads(df, f"{name}_reads", 8)
+    return buckets.with_bucketed_reference(rows, bases, ["doc_id"], chunks).select("doc_id", "ref")
+
+
+@query(ORACLE_SQL["q_patched_reference"])
+def q_patched_reference_chunks(spark, sf_dir):
+    """The same from chunks with their patches in place; a place beyond them keeps its patch."""
+    asks = letters(spark, sf_dir).select("chr", (F.col("doc_id") * 7 % 3000 + 1).alias("pos")).distinct()
+    patches, chunks = _patches(spark, sf_dir), pileup.reference_chunks(contigs(spark, sf_dir))
+    based = pileup.reference_base(asks, buckets.patched_chunks(chunks, patches)).withColumnRenamed("ref", "base")
+    beyond = patches.where("ref = 'N'").select("chr", "pos", "alt")
+    return based.join(beyond, ["chr", "pos"], "left").select("chr", "pos", F.coalesce("alt", "base").alias("base"))

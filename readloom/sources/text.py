@@ -49,14 +49,18 @@ def numbered_lines(spark: SparkSession, paths: list[str], line_sep: str | None =
 def read_sam(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Reads of alignment text files, in schema READS; row_id is the line number. Numbers that are none become null,
     missing fields too; a last line without a line end counts."""
-    lines = numbered_lines(spark, [paths] if isinstance(paths, str) else paths)
+    return reads_of_lines(numbered_lines(spark, [paths] if isinstance(paths, str) else paths))
+
+
+def reads_of_lines(lines: DataFrame, *more: str) -> DataFrame:
+    """Reads, in schema READS with more columns in front, of lines (file_id, line_no, value, more...); headers and empty lines are left out."""
     rows = lines.where(~F.col("value").startswith("@") & (F.col("value") != ""))
     part = F.split(F.rtrim(F.col("value"), F.lit("\r\n")), "\t")
     field = lambda i: F.get(part, F.lit(i))
     tags = F.filter(F.slice(part, 12, F.greatest(F.size(part), F.lit(1))), lambda t: t != "")
     kinds = {"flag": "int", "pos": "bigint", "mapq": "int", "ploc": "bigint", "tlen": "int"}
     columns = [field(i).try_cast(kinds[n]).alias(n) if n in kinds else field(i).alias(n) for i, n in enumerate(LINE)]
-    return rows.select("file_id", F.col("line_no").alias("row_id"), *columns, parse_tags(tags).alias("tags"))
+    return rows.select(*more, "file_id", F.col("line_no").alias("row_id"), *columns, parse_tags(tags).alias("tags"))
 
 
 def read_header(spark: SparkSession, paths: str | list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from readloom.api import ReadStore
-from readloom.operators import ordered
+from readloom.operators import ordered, ranges
 from readloom.sources import text
 
 
@@ -79,3 +79,42 @@ def test_store_with_a_reference(spark, tmp_path):
     with pytest.raises(ValueError, match="with a reference"):
         ReadStore(spark, path).query("c1")
     assert opened.query("c1").select(F.col("rname")).count() == 2
+
+
+@pytest.mark.parametrize(("n", "most"), [(4, 10), (3, 1000), (1000, 25), (1, 1)])
+def test_capped_blocks_over_many_tasks(spark, rows, n, most):
+    """One contig over many tasks; blocks that end by rows, by sizes, and that are as long as several tasks."""
+    data, df = rows
+    sized = df.withColumn("size", F.when(F.col("i") % 11 == 0, 0).otherwise((F.col("v") * 7) % 9))
+    want = {}
+    for c, own in groupby(data, key=lambda r: r[0]):
+        block = count = total = 0
+        for _, i, v, _ in own:
+            if count >= n or total >= most:
+                block, count, total = block + 1, 0, 0
+            want[c, i] = block
+            count, total = count + 1, total + (0 if i % 11 == 0 else v * 7 % 9)
+    out = ordered.assign_capped_blocks(sized, ["chr"], ["i"], "size", n, most)
+    assert {(r.chr, r.i): r.block_id for r in out.collect()} == want
+    assert set(out.columns) == {*sized.columns, "block_id"}
+
+
+def test_block_lookup_over_many_tasks(spark, rows):
+    index = spark.createDataFrame([("a", 10, 1), ("a", 20, 2), ("b", 5, 7)], "chr string, first_pos long, block_id int")
+    asks = spark.createDataFrame([(c, p) for c in "abc" for p in range(1, 30)], "chr string, at long").repartition(6)
+    got = {(r.chr, r.at): r.block_id for r in ranges.block_at(index, asks).collect()}
+    want = {"a": lambda p: 2 if p >= 20 else 1 if p >= 10 else None, "b": lambda p: 7 if p >= 5 else None, "c": lambda p: None}
+    assert got == {(c, p): want[c](p) for c in "abc" for p in range(1, 30)}
+
+
+def test_ranges_of_files(spark):
+    df = spark.createDataFrame([(f, "c1", p, p + 4) for f in (0, 1) for p in range(1, 20)], "file_id int, chr string, pos long, end_excl long")
+    asked = ranges.parse_ranges("1,c1:1-9;0,c1:15-16")
+    got = ranges.multi_range(df, ranges.ranges_frame(df, asked), overlap=True, bin_size=4)
+    assert sorted((r.range_no, r.file_id, r.pos) for r in got.collect()) == sorted([(0, 1, p) for p in range(1, 10)] + [(1, 0, p) for p in range(11, 17)])
+    assert {(r.file_id, r.pos) for r in ranges.any_range(df, asked).collect()} == {(1, p) for p in range(1, 10)} | {(0, 15), (0, 16)}
+    bare = df.where("file_id = 0").drop("file_id")
+    with pytest.raises(ValueError):
+        ranges.any_range(bare, asked)
+    with pytest.raises(Exception, match="no file_id"):
+        ranges.multi_range(bare, ranges.ranges_frame(bare, asked)).collect()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from readloom import cli
 from readloom.api import ReadStore
-from readloom.operators import columns, mates, pileup, ranges
+from readloom.operators import columns, mates, ordered, pileup, ranges
 from readloom.sources import bam, store, text
 from tests.reads import fold
 
@@ -292,7 +292,7 @@ def test_flag_masks(spark):
 def test_capped_blocks(spark):
     rows = [(c, i, n) for c in "ab" for i, n in enumerate([5, 5, 1, 9, 2, 2, 2, 2, 50, 1])]
     df = spark.createDataFrame(rows, "chr string, pos int, size int").repartition(3)
-    got = {(r.chr, r.pos): r.block_id for r in columns.assign_capped_blocks(df, ["chr"], ["pos"], "size", 4, 10).collect()}
+    got = {(r.chr, r.pos): r.block_id for r in ordered.assign_capped_blocks(df, ["chr"], ["pos"], "size", 4, 10).collect()}
     for c in "ab":
         block = count = total = 0
         for i, n in enumerate([5, 5, 1, 9, 2, 2, 2, 2, 50, 1]):

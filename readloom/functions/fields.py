@@ -225,3 +225,19 @@ def header_attributes(line: Column) -> Column:
 def closed_overlap(a: Column, b: Column, x: Column, y: Column) -> Column:
     """Closed intervals [a, b] and [x, y] share a point."""
     return F.least(b, y) >= F.greatest(a, x)
+
+
+def float_text(value: Column) -> Column:
+    """A float as `%g` of C writes it: six digits, no zeros at their end, an exponent of at least two digits below -4 and from 6 on."""
+    x = value.cast("double")
+    shown = F.format_string("%.5e", F.abs(x))
+    digits = F.rtrim(F.replace(F.substring_index(shown, "e", 1), F.lit("."), F.lit("")), F.lit("0"))
+    power = F.substring_index(shown, "e", -1).try_cast("int")
+    points = lambda d, n: F.concat(F.substring(d, F.lit(1), n), F.when(F.length(d) > n, F.concat(F.lit("."), F.substring(d, n + 1, F.length(d)))).otherwise(F.lit("")))
+    far = F.concat(points(digits, F.lit(1)), F.lit("e"), F.substring_index(shown, "e", -1))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    large = points(F.rpad(digits, F.greatest(F.length(digits), power + 1), F.lit("0")), power + 1)
+    plain = F.when(x == 0, "0").when((power < -4) | (power >= 6), far).when(power < 0, small).otherwise(large)
+    sign = F.when((x < 0) | (x.cast("string") == "-0.0"), "-").otherwise("")
+    inf = F.lit(float("inf"))
+    return F.when(F.isnan(x), "nan").when(F.abs(x) == inf, F.concat(sign, F.lit("inf"))).when(x.isNotNull(), F.concat(sign, plain))

@@ -89,21 +89,3 @@ def quality_contexts(df: DataFrame, key: str, codes: str) -> DataFrame:
     place = F.shiftleft(F.least(F.col("i") + 14, F.lit(127)).bitwiseAND(120), 13)
     context = bits + F.shiftleft((F.col("b") == F.col("c")).cast("int"), 12) + steps + place
     return each.select(key, "i", F.when(F.col("i") == 0, 0).otherwise(context).alias("context"), "q")
-
-
-def name_deltas(df: DataFrame, tokens: str, partition: list[str], order: list[str]) -> DataFrame:
-    """(partition..., order..., slot, token): the tokens of a name that differ from the last one in their slot."""
-    keys = [*partition, *order]
-    slots = df.select(*keys, F.posexplode(tokens).alias("slot", "token"))
-    w = Window.partitionBy(*partition, "slot").orderBy(*order)
-    return slots.withColumn("_before", F.lag("token").over(w)).where(~F.col("token").eqNullSafe(F.col("_before"))).drop("_before")
-
-
-def name_deltas_inverse(rows: DataFrame, changed: DataFrame, partition: list[str], order: list[str], out: str = "tokens") -> DataFrame:
-    """Inverse of name_deltas. `rows` has (partition..., order..., n_tokens)."""
-    keys = [*partition, *order]
-    slots = rows.select(*keys, F.explode(F.sequence(F.lit(0), F.col("n_tokens") - 1)).alias("slot"))
-    w = Window.partitionBy(*partition, "slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    filled = slots.join(changed, [*keys, "slot"], "left").withColumn("token", F.last("token", ignorenulls=True).over(w))
-    listed = filled.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("slot", "token"))).alias("_s"))
-    return listed.select(*keys, F.transform("_s", lambda s: s["token"]).alias(out))

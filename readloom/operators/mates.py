@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A read of the exact fold: its row in the block and the fields that the match looks at.
 FIELDS = ("row", "chr", "pos", "span", "pchr", "ploc", "tlen")
 
+#: Names of more reads than this are not gathered.
+FEW = 256
+
 
 def matches(first: dict[str, Column], second: dict[str, Column]) -> Column:
     """The second read's mate fields, and those of the first, follow from the pair: opposite tlen, each at the other's mate
@@ -31,15 +38,23 @@ def neighbour_pairs(reads: DataFrame, partition: list[str]) -> DataFrame:
     return reads.withColumn("mate_row", F.when(matches(before, {f: F.col(f) for f in FIELDS}), before["row"]))
 
 
-def pair_mates(reads: DataFrame, partition: list[str]) -> DataFrame:
+def pair_mates(reads: DataFrame, partition: list[str], few: int = FEW) -> DataFrame:
     """(partition..., row, mate_state, mate_row, off) of all reads with a match.
 
     A name's reads are taken in order against one candidate: a read that matches it is its `look_back` mate and the
-    candidate, which stays, is `look_ahead`; one that does not becomes the candidate. The fold runs over the sorted reads
-    of a name, as one aggregate, without Python.
+    candidate, which stays, is `look_ahead`; one that does not becomes the candidate. For names of at most `few` reads the fold runs
+    over their sorted reads, as one aggregate, without Python. Reads of a frequent name, such as `*`, pass in order through a task that holds
+    a batch of them and the candidate, and no array of them is made.
     """
-    row = F.struct(*FIELDS)
-    names = reads.groupBy(*partition, "rname").agg(F.array_sort(F.collect_list(row)).alias("reads")).where(F.size("reads") > 1)
+    own = reads.select(*partition, "rname", *FIELDS)
+    size = F.count("*").over(Window.partitionBy(*partition, "rname"))
+    sized = own.withColumn("_size", size)  # a window keeps to its rows on disk where a name has many
+    return both_sides(_folded(sized.where(F.col("_size").between(2, few)), partition).unionByName(_streamed(sized.where(F.col("_size") > few), partition)), partition)
+
+
+def _folded(reads: DataFrame, partition: list[str]) -> DataFrame:
+    """(partition..., row, mate, off) of names of few reads."""
+    names = reads.groupBy(*partition, "rname").agg(F.array_sort(F.collect_list(F.struct(*FIELDS))).alias("reads"))
     fields = lambda r: {f: r[f] for f in FIELDS}
     empty = F.array().cast("array<struct<row:bigint,mate:bigint,off:bigint>>")
 
@@ -52,8 +67,69 @@ def pair_mates(reads: DataFrame, partition: list[str]) -> DataFrame:
 
     start = F.struct(empty.alias("out"), F.col("reads")[0].alias("first"))
     folded = F.aggregate(F.slice("reads", 2, F.size("reads") - 1), start, step, lambda acc: acc["out"])
-    pairs = names.select(*partition, F.explode(folded).alias("p")).select(*partition, "p.row", "p.mate", "p.off")
-    return both_sides(pairs, partition)
+    return names.select(*partition, F.explode(folded).alias("p")).select(*partition, "p.row", "p.mate", "p.off")
+
+
+def _runs(columns: dict[str, np.ndarray], first: dict[str, object] | None) -> tuple[list[np.ndarray], list[object], dict[str, object]]:
+    """Stretches of reads of one name that match a candidate, the candidates, and the last of them. A candidate is compared with stretches that
+    double until one has a read that does not match."""
+    at, n, found, whose = 0, len(columns["row"]), [], []
+    while at < n:
+        if first is not None:
+            width = 2
+            while at < n:
+                own = slice(at, min(n, at + width))
+                bad = np.flatnonzero(~_match(first, {k: v[own] for k, v in columns.items()}))
+                stop = at + (int(bad[0]) if len(bad) else own.stop - at)
+                if stop > at:
+                    found.append(np.arange(at, stop))
+                    whose.append(first)
+                at, width = stop, 2 * width
+                if len(bad):
+                    break
+        if at < n:
+            first = {k: v[at] for k, v in columns.items()}
+            at += 1
+    return found, whose, first
+
+
+def _match(first: dict[str, object], second: dict[str, np.ndarray]) -> np.ndarray:
+    """What matches() tells of one read and many; numbers that are missing are NaN and match nothing."""
+    off = second["pos"] + first["span"] - first["pos"] - first["tlen"]
+    same = first["pchr"] is not None and (first["pchr"] == "=" or first["pchr"] == first["chr"])
+    return (second["tlen"] == -first["tlen"]) & (second["pos"] == first["ploc"]) & (second["ploc"] == first["pos"]) & same & (first["tlen"] >= 0) & (off >= 0) & (off <= 1)
+
+
+def _streamed(reads: DataFrame, partition: list[str]) -> DataFrame:
+    """The same of names of many reads, which pass in order."""
+    kinds = dict(reads.dtypes)
+    keys = [*partition, "rname"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, first = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = list(zip(*(batch.column(k).to_pylist() for k in range(len(keys))), strict=True))
+            columns = {}
+            for k, f in enumerate(FIELDS):
+                c = batch.column(len(keys) + k)
+                columns[f] = np.array(c.to_pylist(), object) if f in ("chr", "pchr") else c.to_numpy(zero_copy_only=False).astype(np.float64 if c.null_count else np.int64)
+            cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                found, whose, first = _runs({f: v[a:b] for f, v in columns.items()}, first if names[a] == key else None)
+                key = names[a]
+                if not found:
+                    continue
+                at = np.concatenate(found) + a
+                mate = np.repeat(np.array([w["row"] for w in whose], np.int64), [len(x) for x in found])
+                base = np.repeat(np.array([w["span"] - w["pos"] - w["tlen"] for w in whose], np.int64), [len(x) for x in found])
+                own = [batch.column(k).take(pa.array(at)) for k in range(len(partition))]
+                yield pa.record_batch([*own, pa.array(columns["row"][at].astype(np.int64)), pa.array(mate), pa.array((columns["pos"][at] + base).astype(np.int64))], [*partition, "row", "mate", "off"])
+
+    dealt = reads.repartition(*keys).sortWithinPartitions(*keys, "row").select(*keys, *FIELDS)
+    shown = "".join(f"`{p}` {kinds[p]}, " for p in partition)
+    return dealt.mapInArrow(run, shown + "row long, mate long, off long")
 
 
 def both_sides(pairs: DataFrame, partition: list[str]) -> DataFrame:

@@ -20,6 +20,8 @@ from readloom.storage import materialize
 
 #: Columns of a ranged frame: the task of a row, and its place over all.
 PART, AT = "_part", "_at"
+#: Rows, one for each task and contig, that are broadcast.
+MOST_CARRIED = 1_000_000
 
 
 def ranged(df: DataFrame, partition: list[str], order: list[str]) -> DataFrame:
@@ -48,7 +50,8 @@ def _joined(rows: DataFrame, carried: DataFrame, partition: list[str]) -> DataFr
     same = F.lit(True)
     for k in keys:
         same = same & (rows[k].eqNullSafe(right[f"_of_{k}"]) if k != PART else rows[k] == right[f"_of_{k}"])
-    return rows.join(F.broadcast(right), same).drop(*(f"_of_{k}" for k in keys))  # a row for each task and contig
+    right = F.broadcast(right) if right.count() <= MOST_CARRIED else right
+    return rows.join(right, same).drop(*(f"_of_{k}" for k in keys))  # a row for each task and contig
 
 
 def row_before(rows: DataFrame, partition: list[str], value: str, out: str) -> DataFrame:
@@ -80,9 +83,12 @@ def _plain(rows: DataFrame) -> DataFrame:
 
 
 def row_numbers(df: DataFrame, partition: list[str], order: list[str], out: str = "row_no") -> DataFrame:
-    """Adds the number of a row in its contig, from 0, in an order."""
-    numbered = running_sum(ranged(df, partition, order), partition, F.lit(1).cast("long"), out)
-    return _plain(numbered.withColumn(out, F.col(out) - 1))
+    """Adds the number of a row in its contig, from 0, in an order. A row's place in its task is in AT already, so rows cross one exchange."""
+    rows = ranged(df, partition, order)
+    each = rows.groupBy(PART, *partition).agg(F.min(AT).alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy(*partition).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    carried = each.select(PART, *partition, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_before"))
+    return _plain(_joined(rows, carried, partition).withColumn(out, F.col(AT) + F.col("_before")).drop("_before"))
 
 
 def assign_blocks(df: DataFrame, partition: list[str], order: list[str], rows: int = BLOCK_ROWS) -> DataFrame:
@@ -249,3 +255,23 @@ def run_ids(df: DataFrame, value: str, partition: list[str], order: list[str], o
     rows = row_before(rows, partition, "_shown", "_last")
     new = F.col("_last").isNotNull() & ~F.col("_shown").eqNullSafe(F.col("_last"))
     return _plain(running_sum(rows, partition, new.cast("long"), out)).drop("_shown", "_last")
+
+
+def name_deltas(df: DataFrame, tokens: str, partition: list[str], order: list[str], skip: Column | None = None) -> DataFrame:
+    """(partition..., order..., slot, token): the tokens of a name that differ from the last one in their slot. Rows that `skip` chooses, such as
+    those whose name their mate tells, are left out and not looked back at. A slot is dealt over tasks like a contig."""
+    keys, slot = [*partition, *order], [*partition, "slot"]
+    kept = df if skip is None else df.where(~F.coalesce(skip, F.lit(False)))
+    slots = ranged(kept.select(*keys, F.posexplode(tokens).alias("slot", "token")), slot, order)
+    before = row_before(slots, slot, "token", "_before")
+    return before.where(~F.col("token").eqNullSafe(F.col("_before"))).select(*keys, "slot", "token")
+
+
+def name_deltas_inverse(rows: DataFrame, changed: DataFrame, partition: list[str], order: list[str], out: str = "tokens") -> DataFrame:
+    """Inverse of name_deltas. `rows` has (partition..., order..., n_tokens) of the rows that were not skipped."""
+    keys, slot = [*partition, *order], [*partition, "slot"]
+    slots = rows.select(*keys, F.explode(F.sequence(F.lit(0), F.col("n_tokens") - 1)).alias("slot"))
+    met = slots.join(changed.select(*keys, "slot", F.col("token").alias("_token")), [*keys, "slot"], "left")
+    told = filled(ranged(met, slot, order), slot, "_token", "token")
+    listed = told.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("slot", "token"))).alias("_s"))
+    return listed.select(*keys, F.transform("_s", lambda s: s["token"]).alias(out))

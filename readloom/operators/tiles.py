@@ -16,7 +16,7 @@ from readloom.operators.pileup import CHUNK
 #: Lanes of a position, and operations that give it a base.
 LANES, DELETED, ALIGNED = ".ACGTN", "D", "M=X"
 #: Tiles that a task keeps before it sends them, and bases that it places at a time.
-MOST_TILES, MOST_BASES = 512, 4 << 20
+MOST_TILES, MOST_BASES = 256, 1 << 19
 SCHEMA = "chr string, chunk long, counts binary"
 _LANE = np.full(256, LANES.index("N"), np.uint8)
 for _i, _c in enumerate(LANES):

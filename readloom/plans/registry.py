@@ -515,14 +515,14 @@ def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_T}, d AS (SELECT *, lag(token) OVER (PARTITION BY part, slot ORDER BY id) AS before FROM t)
 SELECT part, id, slot, token FROM d WHERE token IS DISTINCT FROM before""")
 def q_name_deltas(spark, sf_dir):
-    return columns.name_deltas(_tokens(spark, sf_dir), "tokens", ["part"], ["id"]).withColumn("slot", F.col("slot").cast("long"))
+    return ordered.name_deltas(_tokens(spark, sf_dir), "tokens", ["part"], ["id"]).withColumn("slot", F.col("slot").cast("long"))
 
 
 @query(f"WITH {_T} SELECT part, id, string_agg(token, '|' ORDER BY slot) AS tokens FROM t GROUP BY part, id")
 def q_name_deltas_inverse(spark, sf_dir):
     df = _tokens(spark, sf_dir)
-    changed = columns.name_deltas(df, "tokens", ["part"], ["id"])
-    back = columns.name_deltas_inverse(df.select("part", "id", F.size("tokens").alias("n_tokens")), changed, ["part"], ["id"])
+    changed = ordered.name_deltas(df, "tokens", ["part"], ["id"])
+    back = ordered.name_deltas_inverse(df.select("part", "id", F.size("tokens").alias("n_tokens")), changed, ["part"], ["id"])
     return back.select("part", "id", F.array_join("tokens", "|").alias("tokens"))
 
 
@@ -986,3 +986,25 @@ def q_patched_reference_chunks(spark, sf_dir):
     based = pileup.reference_base(asks, buckets.patched_chunks(chunks, patches)).withColumnRenamed("ref", "base")
     beyond = patches.where("ref = 'N'").select("chr", "pos", "alt")
     return based.join(beyond, ["chr", "pos"], "left").select("chr", "pos", F.coalesce("alt", "base").alias("base"))
+
+
+@query("SELECT event_id, printf('%g', value * power(10, event_id % 17 - 8)) AS shown FROM events")
+def q_float_text(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", fields.float_text(F.col("value") * F.pow(F.lit(10.0), F.col("event_id") % 17 - 8)).alias("shown"))
+
+
+@query(f"""WITH {_T}, k AS (SELECT * FROM t WHERE id % 3 <> 0), d AS (SELECT *, lag(token) OVER (PARTITION BY part, slot ORDER BY id) AS before FROM k)
+SELECT part, id, slot, token FROM d WHERE token IS DISTINCT FROM before""")
+def q_name_deltas_skipped(spark, sf_dir):
+    """Names of every third row are told by a mate: they are left out, and not looked back at."""
+    out = ordered.name_deltas(_tokens(spark, sf_dir), "tokens", ["part"], ["id"], F.col("id") % 3 == 0)
+    return out.withColumn("slot", F.col("slot").cast("long"))
+
+
+@query("SELECT c_custkey, upper(regexp_replace(c_mktsegment || c_name, '[^A-Za-z]', '', 'g')) AS seq FROM customer")
+def q_sequence_rebuild(spark, sf_dir):
+    """Reads against their reverse as reference: operations are split where bases differ, the bases that differ stored, and reads made again."""
+    df = table(spark, sf_dir, "customer").selectExpr("c_custkey", "upper(regexp_replace(c_mktsegment || c_name, '[^A-Za-z]', '')) as seq")
+    df = df.withColumn("ops", alignment.parse_cigar(F.concat(F.length("seq").cast("string"), F.lit("M"))))
+    cut = df.withColumn("cut", alignment.parse_cigar(alignment.split_matches(F.col("ops"), F.col("seq"), F.reverse("seq"))))
+    return cut.select("c_custkey", alignment.rebuild_sequence(F.col("cut"), alignment.stored_bases(F.col("cut"), F.col("seq")), F.reverse("seq")).alias("seq"))

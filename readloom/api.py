@@ -26,7 +26,7 @@ class ReadStore:
         self.reads = store.read_store(spark, path)
 
     @classmethod
-    def ingest(cls, spark: SparkSession, sources: list[str], path: str, lossy_percent: float = 0, overwrite: bool = False, reference: str | None = None, codec: str = "zstd") -> ReadStore:
+    def ingest(cls, spark: SparkSession, sources: list[str], path: str, lossy_percent: float = 0, overwrite: bool = False, reference: str | None = None, codec: str = "zstd", lossy_scope: str = "all") -> ReadStore:
         """Writes a store of alignment files, text or BAM, sorted by position. With a reference, MD, XD and NM tags that it gives
         are left out and restored by queries; how many differ from it is in the table `mismatches`."""
         reads = header = None
@@ -44,11 +44,23 @@ class ReadStore:
             chunks = text.resolve_reference(spark, header, None if reference == HEADER else reference, names)
             tagged = derived.with_derived(reads, chunks, ["file_id", "row_id"])
             reads = derived.elide_derived(tagged)
-        store.write_store(reads, path, header, sources, lossy_percent=lossy_percent, codec=codec, overwrite=overwrite)
+        store.write_store(reads, path, header, sources, lossy_percent=lossy_percent, lossy_scope=lossy_scope, codec=codec, overwrite=overwrite)
         if tagged is not None:
             derived.mismatch_counts(tagged, ["file_id"]).write.mode("overwrite").parquet(f"{path}/mismatches")
         return cls(spark, path, reference)
 
+    def differences(self, sources: list[str]) -> DataFrame:
+        """(file_id, line, missing): lines of the source files that the store does not give back, and lines that it gives and they do not
+        have, as often as that is so. Empty if the store is what was ingested, up to the order of lines."""
+        given = None
+        for i, source in enumerate(sources):
+            own = bam.read_bam(self.spark, source) if text.sniff(self.spark, source) == "bam" else text.read_sam(self.spark, source)
+            own = own.select(F.lit(i).alias("file_id"), text.sam_line().alias("line"))
+            given = own if given is None else given.unionByName(own)
+        held = self._with_tags(self.reads).select("file_id", text.sam_line().alias("line"))
+        lost, added = given.exceptAll(held), held.exceptAll(given)
+        return lost.withColumn("missing", F.lit(True)).unionByName(added.withColumn("missing", F.lit(False)))
+
     def set_log_level(self, level: int) -> None:
         self.spark.sparkContext.setLogLevel(("ERROR", "WARN", "INFO")[level])
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.functions.fields import quality_offset
+from readloom.operators.columns import BLOCK_ROWS
 
 
 def flag_histogram(reads: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -86,15 +87,30 @@ def apply_lossy(qual: Column, table: dict[int, int]) -> Column:
     return F.translate(qual, "".join(map(chr, changed)), "".join(map(chr, changed.values()))) if changed else qual
 
 
-def quantise(df: DataFrame, qual: str, percent: float) -> DataFrame:
-    """`df` with lossy qualities. The histogram that reaches the driver has at most 128 rows."""
-    rows = quality_histogram(df, qual).where("code < 128").collect()
-    counts = {r["code"]: r["n"] for r in rows}
-    if not counts:
-        return df
-    least = min(counts)
-    offset = 33 if least < 59 else 59 if least < 64 else 64
-    return df.withColumn(qual, apply_lossy(F.col(qual), lossy_table(counts, offset, percent)))
+def first_block(df: DataFrame, rows: int) -> DataFrame:
+    """The first `rows` rows of each file, by row_id."""
+    from readloom.operators import ordered
+
+    return ordered.row_numbers(df, ["file_id"], ["row_id"], "_row").where(F.col("_row") < rows).drop("_row")
+
+
+def quantise(df: DataFrame, qual: str, percent: float, scope: str = "all", rows: int = BLOCK_ROWS) -> DataFrame:
+    """`df` with lossy qualities, by one table for each file if there is a file_id. A table comes from all of a file's rows, or with the scope
+    `first_block` from its first `rows`. Histograms that reach the driver have at most 128 rows a file."""
+    if scope not in ("all", "first_block"):
+        raise ValueError(f"no scope {scope!r}")
+    by = ["file_id"] if "file_id" in df.columns else []
+    seen = first_block(df.select(*by, "row_id", qual), rows) if scope == "first_block" else df
+    counts: dict[int, dict[int, int]] = {}
+    for r in quality_histogram(seen, qual, by).where("code < 128").collect():
+        counts.setdefault(r["file_id"] if by else 0, {})[r["code"]] = r["n"]
+    out = F.col(qual)
+    for file_id, own in counts.items():
+        least = min(own)
+        offset = 33 if least < 59 else 59 if least < 64 else 64
+        changed = apply_lossy(F.col(qual), lossy_table(own, offset, percent))
+        out = F.when(F.col("file_id") == file_id, changed).otherwise(out) if by else changed
+    return df.withColumn(qual, out)
 
 
 def column_sizes(path: str, spark) -> DataFrame:

@@ -17,6 +17,7 @@ def write_store(
     names: list[str] | None = None,
     block_rows: int = columns.BLOCK_ROWS,
     lossy_percent: float = 0,
+    lossy_scope: str = "all",
     codec: str = "zstd",
     overwrite: bool = False,
 ) -> None:
@@ -28,7 +29,7 @@ def write_store(
     """
     mode = "overwrite" if overwrite else "error"
     spark = reads.sparkSession
-    full = with_spans(stats.quantise(reads, "qual", lossy_percent) if lossy_percent else reads)
+    full = with_spans(stats.quantise(reads, "qual", lossy_percent, lossy_scope, block_rows) if lossy_percent else reads)
     order = ["file_id", "chr", "pos", "row_id"]
     placed = full.repartitionByRange(*order).withColumn("part", F.spark_partition_id()).sortWithinPartitions(*order)
     placed = columns.assign_blocks(placed, ["file_id", "chr", "part"], ["pos", "row_id"], block_rows)

@@ -180,3 +180,10 @@ def test_lossy_table_by_hand():
     wide = stats.lossy_table(counts, 33, 15)
     assert (wide[70], wide[71], wide[72], wide[69]) == (71, 71, 71, 69)
     assert stats.lossy_table(counts, 33, 15)[35] == 33
+
+
+def test_float_text(spark):
+    values = [0.0, -0.0, 1.0, -1.5, 123456.0, 1234567.0, 1e5, 1e6, 0.0001, 0.00001, 1e-10, 2.5e300, 100.0, 3.14159265, float("inf"), float("-inf"), None]
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", X.float_text(F.col("v")).alias("t")).collect()
+    assert {r.i: r.t for r in got} == {i: None if v is None else f"{v:g}" for i, v in enumerate(values)}
+    assert spark.range(1).select(X.float_text(F.lit(float("nan"))).alias("t")).first().t == "nan"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from readloom import cli
 from readloom.api import ReadStore
-from readloom.operators import columns, mates, ordered, pileup, ranges
+from readloom.operators import columns, mates, ordered, pileup, ranges, stats
 from readloom.sources import bam, store, text
 from tests.reads import fold
 
@@ -321,3 +321,21 @@ def test_fasta_index_of_line_ends(spark, tmp_path):
     (tmp_path / "r.fa").write_bytes(data)
     rows = {r.name: r for r in text.fasta_index(spark, str(tmp_path / "r.fa")).collect()}
     assert {k: (r.length, r.offset, r.line_bases, r.line_width) for k, r in rows.items()} == {"a": (6, data.index(b"ACGT"), 4, 6), "b": (6, data.index(b"TTT"), 6, 8)}
+
+
+def test_selftest_and_scope(spark, sam, bam_file, tmp_path, monkeypatch, capsys):
+    monkeypatch.setattr(cli, "session", lambda *a, **k: spark)
+    assert cli.main(["selftest", sam, bam_file, "-o", str(tmp_path / "s")]) == 0
+    assert "equal" in capsys.readouterr().out
+    other = tmp_path / "b.sam"
+    other.write_text("\n".join([*HEADER, LINES[0], LINES[0]]) + "\n")
+    found = ReadStore(spark, str(tmp_path / "s")).differences([str(other), bam_file]).collect()
+    assert sorted((r.missing, r.line) for r in found) == sorted([(True, LINES[0]), *((False, x) for x in LINES[1:])])
+    rows = [(f, i, q) for f in (0, 1) for i, q in enumerate(["5" * 20, "5" * 20, "I" * 9 + "H"] * 2)]
+    df = spark.createDataFrame(rows, "file_id int, row_id long, qual string")
+    for scope, n in (("all", 6), ("first_block", 2)):
+        table = stats.lossy_table({r["code"]: r["n"] for r in stats.quality_histogram(df.where(F.col("row_id") < n), "qual").collect()}, 33, 20)
+        want = {(f, i): q.translate(table) for f, i, q in rows}
+        assert {(r.file_id, r.row_id): r.qual for r in stats.quantise(df, "qual", 20, scope, 2).collect()} == want
+    with pytest.raises(ValueError):
+        stats.quantise(df, "qual", 20, "some")

@@ -145,3 +145,17 @@ def test_bucketed_reference_has_no_exchange(spark):
     assert {c: "".join(b for _, b in sorted(x)) for c, x in made.items()} == {"c1": "".join(one), "c2": "ACA"}
     for n in names:
         spark.sql(f"DROP TABLE {n}")
+
+
+def test_frequent_names_pass_in_order(spark):
+    """Names of many reads by the stream, of which some are one run of matches, equal the fold over their sorted reads."""
+    rng = random.Random(4)
+    rows = [("*", i, "*", 0, 0, "*", 0, 0) for i in range(300)]
+    for i in range(300, 900):
+        second = rng.random() < 0.6
+        pos, ploc, tlen = (20, 10, -15) if second else (10, 20, 15)
+        rows.append((rng.choice(["hot", "hot", "b"]), i, "c1", rng.choice([pos, pos, pos, None]), 5, rng.choice(["=", "c1", "c1", None]), ploc, tlen))
+    df = spark.createDataFrame(rows, "rname string, row long, chr string, pos long, span long, pchr string, ploc long, tlen long").withColumn("block", F.lit(3)).repartition(5)
+    want = {tuple(r) for r in mates.pair_mates(df, ["block"], 1 << 20).collect()}
+    assert {tuple(r) for r in mates.pair_mates(df, ["block"], 2).collect()} == want
+    assert {tuple(r) for r in mates.pair_mates(df, ["block"], 350).collect()} == want and len(want) > 300

@@ -35,6 +35,10 @@ HINTS = frozenset(
 #: Those that count inside of a hyphenated name too, and first parts of names that only speak of them.
 HINT_PARTS = HINTS - frozenset("banner login modal notification related respond skip widget widgets".split())
 ABOUT = frozenset("has is no with without".split())
+#: Pages can wrap all they have in such elements, and in ones whose names only contain a hint.
+WRAPPERS = frozenset(["form"])
+#: Pages can wrap all they have in such elements, and in ones whose names only contain a hint.
+WRAPPERS = frozenset(["form"])
 #: Elements that are closed when one of these starts inside them.
 CLOSED_BY = {"p": BLOCK, "li": frozenset(["li"]), "option": frozenset(["option"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"])}
 #: Width of the Gaussian, in lines, and the share of the deviation that a line must reach.
@@ -43,6 +47,10 @@ THRESHOLD = 0.5
 #: On pages with article or main: factor of the ratios outside of them, and of the threshold inside, which is never above
 #: DENSE characters a tag, however long some lines are.
 OUTSIDE, INSIDE, DENSE = 0.1, 0.25, 5.0
+#: A page whose doubtful elements hold more than so many times the characters of all others is read with them.
+DOUBT = 20
+#: A page whose doubtful elements hold more than so many times the characters of all others is read with them.
+DOUBT = 20
 #: So many lines of few characters a tag, one after another, can still be short paragraphs of a region.
 SHORT = 2
 
@@ -59,29 +67,36 @@ class _Open:
     tag: str
     hidden: bool
     region: int
+    doubt: bool = False  # hidden, but only for what a wrapper of the whole page can have too
 
 
-def _hinted(attrs: list[tuple[str, str | None]]) -> bool:
+def _hinted(attrs: list[tuple[str, str | None]]) -> tuple[bool, bool]:
+    """Whether attributes say that an element is no content, and whether only a part of a name does."""
+    doubt = False
     for name, value in attrs:
         if name in ("hidden", "inert") or (name == "aria-hidden" and value == "true"):
-            return True
+            return True, False
         if not value:
             continue
         if name == "role" and value.strip().lower() in ROLES:
-            return True
+            return True, False
         if name in ("class", "id"):
             words = value.lower().split()
+            if not HINTS.isdisjoint(words):
+                return True, False
             parts = [p for p in (re.split(r"[-_]+", w) for w in words) if p[0] not in ABOUT]
-            if not HINTS.isdisjoint(words) or not HINT_PARTS.isdisjoint(x for p in parts for x in p):
-                return True
-    return False
+            doubt = doubt or not HINT_PARTS.isdisjoint(x for p in parts for x in p)
+    return doubt, doubt
 
 
 @dataclass
 class LineParser(HTMLParser):
-    """Collects the lines of a page; text in elements that are never content is left out, their tags count."""
+    """Collects the lines of a page; text in elements that are never content is left out, their tags count. Doubtful elements, which are hidden
+    unless `lenient`, are WRAPPERS and those whose names only contain a hint; `doubtful` counts their characters."""
 
+    lenient: bool = False
     lines: list[Line] = field(default_factory=list)
+    doubtful: int = 0
 
     def __post_init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -125,17 +140,25 @@ class LineParser(HTMLParser):
         top = self._top()
         self._tags += 1
         outside = tag == "header" and not top.region
-        hidden = top.hidden or tag in NOT_CONTENT or outside or (tag not in ("html", "body", "article", "main") and _hinted(attrs))
-        hidden = hidden or (tag == "article" and _hinted([a for a in attrs if a[0] in ("class", "id", "role")]))
+        told, part = False, False
+        if tag == "article":
+            told, part = _hinted([a for a in attrs if a[0] in ("class", "id", "role")])
+        elif tag not in ("html", "body", "main"):
+            told, part = _hinted(attrs)
+        never = outside or (tag in NOT_CONTENT and tag not in WRAPPERS) or (told and not part)
+        doubt = not never and (part or tag in WRAPPERS) and not self.lenient
+        if top.hidden:
+            doubt = top.doubt and not never
+        hidden = top.hidden or never or doubt
         if tag == "main":  # a page's one main part is shown, whatever the names around it
-            hidden = False
+            hidden = doubt = False
         region = top.region
         if tag in ("article", "main") and not hidden:
             self._regions += 1
             region = self._regions
         elif tag == "td" or tag == "th":
             self._text.append(" ")
-        self._open.append(_Open(tag, hidden, region))
+        self._open.append(_Open(tag, hidden, region, doubt))
         self._count[tag] += 1
 
     def handle_endtag(self, tag: str) -> None:
@@ -151,8 +174,11 @@ class LineParser(HTMLParser):
             self._pop()
 
     def handle_data(self, data: str) -> None:
-        if not self._top().hidden:
+        top = self._top()
+        if not top.hidden:
             self._text.append(data)
+        elif top.doubt:
+            self.doubtful += sum(map(len, data.split()))
 
     def finish(self) -> list[Line]:
         self.close()
@@ -161,11 +187,17 @@ class LineParser(HTMLParser):
 
 
 def parse_lines(html: str, step: int = 1 << 16) -> list[Line]:
-    """The lines of a page; the parser gets the page piece by piece."""
-    parser = LineParser()
-    for i in range(0, len(html), step):
-        parser.feed(html[i : i + step])
-    return parser.finish()
+    """The lines of a page; the parser gets the page piece by piece. Where doubtful elements hold nearly all of the text, and no article or main has
+    any outside of them, they are taken for wrappers of the page, which is read again with them."""
+    for lenient in (False, True):
+        parser = LineParser(lenient)
+        for i in range(0, len(html), step):
+            parser.feed(html[i : i + step])
+        lines = parser.finish()
+        shown = sum(len(x.text) for x in lines)
+        if DOUBT * shown >= parser.doubtful or any(x.region and x.text for x in lines):
+            break
+    return lines
 
 
 def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -230,7 +262,8 @@ def extract(html: str | None) -> str:
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) for each row of `pages`; other columns are left out, repeated rows stay."""
+    """(page_id, url, text, n_chars) for each row of `pages`; other columns are left out, repeated rows stay, and so do null ids and urls. Null
+    and empty html has an empty text, very long html is parsed piece by piece, lines of equal ratio fare alike, and an empty table gives no rows."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows, 200):

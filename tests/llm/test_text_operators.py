@@ -896,3 +896,35 @@ def test_components_of_a_long_chain(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r.node: r.label for r in neardup.connected(pairs).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {101: 100}
+
+
+@pytest.mark.parametrize("wrapper", ["<form id=aspnetForm>{}</form>", "<div class='page-with-sidebar'>{}</div>", "<div class='social-science'>{}</div>", "<form><div id=main-widgets>{}</div></form>"])
+def test_wrappers_of_whole_pages(wrapper):
+    """What wraps all of a page is not what its name says; what is in it still is."""
+    story = "".join(f"<p>Paragraph {i} of a story that goes on for a good while, in plain words.</p>" for i in range(6))
+    inner = f"<nav><a>Home</a></nav><div class=comments><p>First comment, which is long enough to look like a paragraph.</p></div><h1>Title</h1>{story}<form class=login>Name</form>"
+    text = htmltext.extract(f"<html><body><a href=#c>Skip</a>{wrapper.format(inner)}<footer>Imprint</footer></body></html>")
+    assert all(f"Paragraph {i} of" in text for i in range(6)) and "Home" not in text and "comment" not in text and "Imprint" not in text
+
+
+def test_doubtful_parts_beside_a_story_stay_hidden():
+    side = "".join(f"<p>Related story number {i}, with a teaser that is rather long.</p>" for i in range(9))
+    text = htmltext.extract(f"<body><p>A short but real story, of one paragraph.</p><div class='sidebar-box'>{side}</div></body>")
+    assert text == "A short but real story, of one paragraph."
+    assert htmltext.extract(f"<body><article><p>Real.</p></article><div class='sidebar-box'>{side}</div></body>") == "Real."
+
+
+@pytest.mark.parametrize("wrapper", ["<form id=aspnetForm>{}</form>", "<div class='page-with-sidebar'>{}</div>", "<div class='social-science'>{}</div>", "<form><div id=main-widgets>{}</div></form>"])
+def test_wrappers_of_whole_pages(wrapper):
+    """What wraps all of a page is not what its name says; what is in it still is."""
+    story = "".join(f"<p>Paragraph {i} of a story that goes on for a good while, in plain words.</p>" for i in range(6))
+    inner = f"<nav><a>Home</a></nav><div class=comments><p>First comment, which is long enough to look like a paragraph.</p></div><h1>Title</h1>{story}<form class=login>Name</form>"
+    text = htmltext.extract(f"<html><body><a href=#c>Skip</a>{wrapper.format(inner)}<footer>Imprint</footer></body></html>")
+    assert all(f"Paragraph {i} of" in text for i in range(6)) and "Home" not in text and "comment" not in text and "Imprint" not in text
+
+
+def test_doubtful_parts_beside_a_story_stay_hidden():
+    side = "".join(f"<p>Related story number {i}, with a teaser that is rather long.</p>" for i in range(9))
+    text = htmltext.extract(f"<body><p>A short but real story, of one paragraph.</p><div class='sidebar-box'>{side}</div></body>")
+    assert text == "A short but real story, of one paragraph."
+    assert htmltext.extract(f"<body><article><p>Real.</p></article><div class='sidebar-box'>{side}</div></body>") == "Real."

@@ -48,6 +48,13 @@ def first_seen_dictionary(df: DataFrame, partition: list[str], value: str, order
     return first.withColumn("id", (F.row_number().over(Window.partitionBy(*partition).orderBy("first")) - 1).cast("long")).drop("first")
 
 
+def tag_keys(reads: DataFrame, partition: list[str], order: str) -> DataFrame:
+    """(partition..., key, id): tags with their types, `NM:i`, numbered by the first read that has them and their place in it."""
+    each = reads.select(*partition, F.col(order).alias("_at"), F.explode("tags").alias("t"))
+    keyed = each.select(*partition, F.concat_ws(":", "t.tag", "t.type").alias("key"), F.struct("_at", "t.pos").alias("_at"))
+    return first_seen_dictionary(keyed, partition, "key", "_at")
+
+
 def coordinate_order(df: DataFrame, rank: DataFrame) -> DataFrame:
     """Rows in the order of (contig rank, pos, row_id), `*` last. `rank` is (chr, id), one row a contig."""
     ranked = df.join(rank.select("chr", F.col("id").alias("chr_rank")), "chr", "left")

@@ -1008,3 +1008,14 @@ def q_sequence_rebuild(spark, sf_dir):
     df = df.withColumn("ops", alignment.parse_cigar(F.concat(F.length("seq").cast("string"), F.lit("M"))))
     cut = df.withColumn("cut", alignment.parse_cigar(alignment.split_matches(F.col("ops"), F.col("seq"), F.reverse("seq"))))
     return cut.select("c_custkey", alignment.rebuild_sequence(F.col("cut"), alignment.stored_bases(F.col("cut"), F.col("seq")), F.reverse("seq")).alias("seq"))
+
+
+@query(f"""WITH {M}, k AS (SELECT chr, 'XO:i' AS key, (oid * 100 + row) * 4 AS place FROM m
+UNION ALL SELECT chr, 'XA:A', (oid * 100 + row) * 4 + 1 FROM m WHERE row % 2 = 0 UNION ALL SELECT chr, 'XF:f', (oid * 100 + row) * 4 + 2 FROM m WHERE row % 3 = 0)
+SELECT chr, key, row_number() OVER (PARTITION BY chr ORDER BY min(place)) - 1 AS id FROM k GROUP BY chr, key""")
+def q_tag_keys(spark, sf_dir):
+    """Tags of reads with one to three, numbered by where a contig first has them."""
+    more = [F.when(F.col("row") % 2 == 0, "XA:A:!"), F.when(F.col("row") % 3 == 0, "XF:f:0.5")]
+    named = F.array_compact(F.array(F.concat(F.lit("XO:i:"), F.col("oid").cast("string")), *more))
+    df = mated(spark, sf_dir).select("chr", (F.col("oid") * 100 + F.col("row")).alias("at"), fields.parse_tags(named).alias("tags"))
+    return columns.tag_keys(df, ["chr"], "at")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 
@@ -181,5 +182,14 @@ def remove_extension(path: str) -> str:
     return re.sub(r"\.[^./]*$", "", path)
 
 
+def full_path(path: str) -> str:
+    """An absolute path; what names a file system is one already."""
+    return path if "://" in path else os.path.abspath(path)
+
+
+def is_s3(path: str) -> bool:
+    return bool(re.match(r"s3[an]?://|https?://([^/]+\.)?s3[.-][^/]*/", path))
+
+
 def is_web(path: str) -> bool:
     return bool(re.match(r"(https?|ftp|s3a?)://", path))

@@ -339,3 +339,10 @@ def test_selftest_and_scope(spark, sam, bam_file, tmp_path, monkeypatch, capsys)
         assert {(r.file_id, r.row_id): r.qual for r in stats.quantise(df, "qual", 20, scope, 2).collect()} == want
     with pytest.raises(ValueError):
         stats.quantise(df, "qual", 20, "some")
+
+
+def test_paths(tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    assert text.full_path("a.sam") == str(tmp_path / "a.sam") and text.full_path("s3a://b/c") == "s3a://b/c"
+    assert [text.is_s3(x) for x in ("s3://b/c", "s3a://b/c", "https://b.s3.amazonaws.com/c", "https://s3-eu-west-1.amazonaws.com/b/c", "https://x.org/s3.txt", "a")] == [True] * 4 + [False] * 2
+    assert [text.is_web(x) for x in ("http://a/b", "a/http://b")] == [True, False] and text.remove_extension("a.b/c.sam") == "a.b/c"

@@ -331,3 +331,19 @@ def test_token_query(spark, sf_dir):
 
 def test_no_documents(spark):
     assert tokenfile.encode_documents(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_empty_tables(spark, tmp_path):
+    """Operators and the pipeline over tables without rows: no rows, and the columns that they have else."""
+    for name, schema in {
+        "documents": "doc_id long, text string, lang string, source string, n_chars long",
+        "labels": "doc_id long, quality int, toxic int",
+        "pages": "page_id long, url string, html string",
+        "benchmark": "item_id long, text string",
+        "embeddings": "vec_id long, embedding array<float>, label int",
+        "conversations": "conv_id long, turn long, role string, text string",
+    }.items():
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for name, query in queries.QUERIES.items():
+        found = query(spark, str(tmp_path))
+        assert found.collect() == [] and len(found.columns) >= 3, name

@@ -926,20 +926,22 @@ def q_stream_settled(spark, sf_dir):
     return _appended(streams.settled_bases(shaped, "place", 50), "settled")
 
 
-def _in_batches(df: DataFrame, number: str, n: int, name: str) -> DataFrame:
-    """A stream that gives the rows in n micro-batches, by a column that tells which."""
+def _over_batches(df: DataFrame, number: str, n: int, make: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """What a stream appends whose rows come in n micro-batches, by a column that tells which: the stream is stopped and started again in between."""
     path = shared_path(df.sparkSession, name)
     for i in range(n):
-        df.where(F.col(number) == i).coalesce(1).write.mode("append").parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        df.where(F.col(number) == i).write.mode("append").parquet(f"{path}/in")
+        stream = make(df.sparkSession.readStream.schema(df.schema).parquet(f"{path}/in"))
+        stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
 @query(ORACLE_SQL["q_mate_pairs"])
 def q_stream_pending_mates(spark, sf_dir):
     """The mate fold over a stream whose names come in three micro-batches."""
     df = mated(spark, sf_dir).withColumns({"t": F.timestamp_seconds(F.col("row") * 60 + 86_400), "batch": F.least(F.floor((F.col("row") - 1) / 2), F.lit(2))})
-    pairs = stateful.pending_mates(_in_batches(df, "batch", 3, "mates-in"), ["oid"], "t", "10 days")
-    return mates.both_sides(_appended(pairs, "pending-mates"), ["oid"])
+    pairs = _over_batches(df, "batch", 3, lambda stream: stateful.pending_mates(stream, ["oid"], "t", "10 days"), "pending-mates")
+    return mates.both_sides(pairs, ["oid"])
 
 
 @query(f"SELECT * FROM ({ORACLE_SQL['q_patches']}) WHERE chr < (SELECT max(lang) FROM documents)")
@@ -947,10 +949,11 @@ def q_stream_patches(spark, sf_dir):
     """Patches of a stream of reads in coordinate order, in four micro-batches, as their tiles settle: all contigs but the last."""
     names = sorted(r["chr"] for r in contigs(spark, sf_dir).select("chr").collect())
     rank = F.array_position(F.array(*map(F.lit, names)), F.col("chr")) - 1
-    place = _aligned(spark, sf_dir).where("chr <> '*'").withColumn("place", rank * 10_000_000 + F.col("pos"))
-    number = F.ntile(4).over(Window.orderBy("place", "doc_id")) - 1  # what makes the stream, not a part of the operator
-    settled = stateful.settled_tiles(_in_batches(place.withColumn("batch", number), "batch", 4, "reads-in"), "place")
-    return tiles.patch_rows(_appended(settled, "settled-tiles"), pileup.reference_chunks(contigs(spark, sf_dir))).where(F.col("chr") < names[-1])
+    placed = _aligned(spark, sf_dir).where("chr <> '*'").withColumn("place", rank * 10_000_000 + F.col("pos"))
+    bounds = placed.agg(F.percentile_approx("place", [0.25, 0.5, 0.75]).alias("p")).first()["p"]
+    number = sum(((F.col("place") > b).cast("int") for b in bounds), F.lit(0))
+    settled = _over_batches(placed.withColumn("batch", number), "batch", 4, lambda stream: stateful.settled_tiles(stream, "place"), "settled-tiles")
+    return tiles.patch_rows(settled, pileup.reference_chunks(contigs(spark, sf_dir))).where(F.col("chr") < names[-1])
 
 
 @query(f"""WITH {M} SELECT concat(CAST(oid % 2 AS INTEGER), '.sam') AS file, rname, flag, chr, pos, pchr, ploc, CAST(tlen AS INTEGER) AS tlen, CAST(oid AS VARCHAR) AS xo FROM m""")

@@ -17,6 +17,8 @@ from readloom.operators.pileup import CHUNK
 LANES, DELETED, ALIGNED = ".ACGTN", "D", "M=X"
 #: Tiles that a task keeps before it sends them, and bases that it places at a time.
 MOST_TILES, MOST_BASES = 256, 1 << 19
+#: Counters that may be laid out for each base that is counted in them.
+DENSE = 4
 SCHEMA = "chr string, chunk long, counts binary"
 _LANE = np.full(256, LANES.index("N"), np.uint8)
 for _i, _c in enumerate(LANES):
@@ -104,16 +106,22 @@ def partial_counts(reads: DataFrame, chunk: int = CHUNK, carry: str | None = Non
                 row, pos, lane = placed_bases(bounds[:-1], bounds[1:], data, each[first:last])
                 tile = pos // chunk
                 pair, at = _pairs(where[row], tile)
-                place, n = np.unique((at * chunk + pos % chunk) * width + lane, return_counts=True)
-                cuts = np.searchsorted(place, np.arange(len(pair) + 1) * chunk * width)
-                for k, (c, t) in enumerate(pair):
+                place = (at * chunk + pos % chunk) * width + lane
+                size = chunk * width
+                if len(pair) * size <= DENSE * len(place):  # counted in place, without a sort
+                    each_tile = np.bincount(place, minlength=len(pair) * size).reshape(len(pair), size)
+                    parts = [(slice(None), row) for row in each_tile]
+                else:
+                    place, n = np.unique(place, return_counts=True)
+                    cuts = np.searchsorted(place, np.arange(len(pair) + 1) * size)
+                    parts = [(place[a:b] - k * size, n[a:b]) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+                for (c, t), (where_to, counted) in zip(pair, parts, strict=True):
                     key = contigs[c], int(t)
                     if key not in tiles:
                         if len(tiles) == MOST_TILES:
                             yield sent()
-                        tiles[key] = np.zeros(chunk * width, np.int64)
-                    own = slice(cuts[k], cuts[k + 1])
-                    tiles[key][place[own] - k * chunk * width] += n[own]
+                        tiles[key] = np.zeros(size, np.int64)
+                    tiles[key][where_to] += counted
         if tiles:
             yield sent()
 
@@ -141,7 +149,12 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pairs of numbers, and which one each is."""
     low = int(b.min()) if len(b) else 0
     width = (int(b.max()) if len(b) else 0) - low + 1
-    keys, at = np.unique(a * width + (b - low), return_inverse=True)
+    keys = a * width + (b - low)
+    if len(keys) and (int(a.max()) + 1) * width <= DENSE * len(keys):
+        there = np.bincount(keys) > 0
+        keys, at = np.flatnonzero(there), (np.cumsum(there) - 1)[keys]
+    else:
+        keys, at = np.unique(keys, return_inverse=True)
     return np.stack([keys // width, keys % width + low], 1), at
 
 

@@ -248,4 +248,5 @@ def test_tiles_equal_rows(spark):
     for (c, p, b), n in want.items():
         best.setdefault((c, p), []).append((-n, ".ACGTN".index(b), b, n))
     assert consensus == {k: (min(v)[2], sum(x[3] for x in v)) for k, v in best.items()}
+    assert {(r.chr, r.pos, r.base): r.n for r in tiles.pileup_rows(tiles.tile_counts(df)).collect()} == want  # few bases of large tiles
     assert tiles.pileup_rows(tiles.tile_counts(df.limit(0))).collect() == []

@@ -16,6 +16,8 @@ WINDOW = 10
 ANCHORS = 2
 #: Tasks that the documents of one term are dealt to.
 SALT = 16
+#: Terms are broadcast if they take at most so many bytes, with TERM_BYTES for each beside its text.
+BROADCAST_BYTES, TERM_BYTES = 16 << 20, 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word, before A-Z is lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -51,10 +53,25 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
+def document_salt() -> Column:
+    """The task, of the SALT of a term, that a document is dealt to."""
+    return F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALT)).cast("int")
+
+
+def each_salt() -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))
+
+
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, doc_id, text_hash, positions): the positional postings of `terms` (one column, term) in `docs`."""
+    """(term, doc_id, text_hash, positions): the positional postings of `terms` (one column, term; written, as it is read
+    twice) in `docs`. Terms whose bytes are counted and few are broadcast; else a term's documents are dealt to SALT tasks."""
     tokens = docs.select(*row_key(), F.posexplode(raw_words(F.col("text"))).alias("pos", "word"))
-    found = tokens.select("doc_id", "text_hash", "pos", fold(F.col("word")).alias("term")).join(terms, "term")
+    tokens = tokens.select("doc_id", "text_hash", "pos", fold(F.col("word")).alias("term"))
+    size = terms.agg(F.coalesce(F.sum(F.octet_length("term") + TERM_BYTES), F.lit(0)).alias("n")).first()["n"]
+    if size <= BROADCAST_BYTES:
+        found = tokens.join(F.broadcast(terms), "term")
+    else:
+        found = tokens.withColumn("salt", document_salt()).join(terms.withColumn("salt", each_salt()), ["term", "salt"])
     return found.groupBy("term", "doc_id", "text_hash").agg(F.collect_set("pos").alias("positions"))
 
 
@@ -63,7 +80,8 @@ def rarest_terms(docs: DataFrame, windows: DataFrame, anchors: int = ANCHORS) ->
     A window with a term that the corpus lacks occurs nowhere and has no row."""
     terms = windows.select("wid", F.posexplode("words").alias("offset", "word")).withColumn("term", fold(F.col("word")))
     words = docs.select(F.explode(raw_words(F.col("text"))).alias("word")).select(fold(F.col("word")).alias("term"))
-    counts = words.join(terms.select("term").distinct(), "term").groupBy("term").agg(F.count("*").alias("n"))
+    # counted before the join, so that a frequent word is one row a task
+    counts = words.groupBy("term").agg(F.count("*").alias("n")).join(terms.select("term").distinct(), "term", "left_semi")
     ranked = (
         terms.join(counts, "term", "left")
         .withColumn("at", F.row_number().over(Window.partitionBy("wid").orderBy(F.col("n").asc_nulls_first(), "offset")))
@@ -77,8 +95,8 @@ def rarest_terms(docs: DataFrame, windows: DataFrame, anchors: int = ANCHORS) ->
 def phrase_candidates(index: DataFrame, anchors: DataFrame) -> DataFrame:
     """(doc_id, text_hash, wid, start): where all anchor terms of a window stand at their offsets."""
     # documents of a frequent term are dealt to SALT tasks, each with the anchors of its term, which the items bound
-    salted = index.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALT)).cast("int"))
-    spread = anchors.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    salted = index.withColumn("salt", document_salt())
+    spread = anchors.withColumn("salt", each_salt())
     lists = salted.join(spread, ["term", "salt"]).select(
         "doc_id", "text_hash", "wid", "needed", F.explode(F.transform("positions", lambda p: p - F.col("offset"))).alias("start")
     )
@@ -95,7 +113,7 @@ def phrase_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, anch
     """`docs` with n_words and occurrences, array<struct<start, len, items>>: each place where a window occurs."""
     windows = materialize(item_windows(items, window), "windows")
     chosen = materialize(rarest_terms(docs, windows, anchors), "anchors")
-    index = materialize(postings(docs, chosen.select("term").distinct()), "postings")
+    index = materialize(postings(docs, materialize(chosen.select("term").distinct(), "terms")), "postings")
     places = phrase_candidates(index, chosen).join(windows, "wid")
     places = places.groupBy(F.col("doc_id").alias("_of_id"), F.col("text_hash").alias("_of_hash")).agg(
         F.collect_list(F.struct("start", "words", "items")).alias("_places")
@@ -152,13 +170,20 @@ def proximity_matches(docs: DataFrame, queries: DataFrame, slop: int) -> DataFra
     """(doc_id, query_id, start, end): for rows (query_id, text) of `queries`, where all words of the query stand in
     order, each within `slop` words after the one before; one row for each place of the query's first word."""
     terms = queries.select("query_id", F.posexplode(raw_words(F.col("text"))).alias("at", "word"))
-    terms = materialize(terms.select("query_id", "at", fold(F.col("word")).alias("term")), "terms")
-    index = materialize(postings(docs, terms.select("term").distinct()), "postings")
+    terms = terms.select("query_id", "at", fold(F.col("word")).alias("term"))
+    index = materialize(postings(docs, materialize(terms.select("term").distinct(), "terms")), "postings")
+    # a query's documents are those of its rarest term; only there are the lists of its other terms looked up
+    held = index.groupBy("term").agg(F.count("*").alias("n"))
+    asked = terms.join(held, "term").groupBy("query_id").agg(F.min_by("term", F.struct("n", "at")).alias("term"), F.count("*").alias("found"))
+    whole = terms.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("at", "term"))).alias("wanted"))
+    asked = asked.join(whole, "query_id").where(F.col("found") == F.size("wanted")).select("query_id", "term", "wanted")
+    seeds = index.withColumn("salt", document_salt()).join(asked.withColumn("salt", each_salt()), ["term", "salt"])
+    seeds = seeds.select("query_id", F.size("wanted").alias("n"), F.col("doc_id").alias("_of_id"), F.col("text_hash").alias("_of_hash"), F.explode("wanted").alias("w"))
+    same = (index["term"] == F.col("w.term")) & index["doc_id"].eqNullSafe(F.col("_of_id")) & (index["text_hash"] == F.col("_of_hash"))
     lists = (
-        index.join(terms, "term")
-        .groupBy("query_id", "doc_id", "text_hash")
-        .agg(F.array_sort(F.collect_list(F.struct("at", "positions"))).alias("lists"))
-        .join(terms.groupBy("query_id").agg(F.count("*").alias("n")), "query_id")
+        seeds.join(index, same)
+        .groupBy("query_id", "n", "doc_id", "text_hash")
+        .agg(F.array_sort(F.collect_list(F.struct(F.col("w.at").alias("at"), "positions"))).alias("lists"))
         .where(F.size("lists") == F.col("n"))
     )
 

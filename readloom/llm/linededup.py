@@ -63,9 +63,11 @@ class PerfectHash:
             offset += size
         return out
 
+
 class LineIndex:
     """A shard's distinct line hashes: a perfect hash and the arrays that it indexes, a fingerprint, how many documents hold the
-    line (counted up to `min_docs`) and the last of them."""
+    line (counted up to `min_docs`) and the last of them. Lines whose mixed 64-bit values are equal, though their hashes
+    differ, are in a dictionary instead."""
 
     def __init__(self, lo: np.ndarray, hi: np.ndarray, doc: np.ndarray, min_docs: int):
         """From entries (line hash in two halves, document), each of which may be repeated."""
@@ -73,24 +75,37 @@ class LineIndex:
         lo, hi, doc = lo[order], hi[order], doc[order]
         new = np.ones(len(lo), bool)
         new[1:] = (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
-        self.hash = PerfectHash.build(mix(lo[new], hi[new]))
-        at = self.hash.index(mix(lo, hi))
-        self.prints, self.last = np.zeros(len(new[new]), np.uint64), np.full(len(new[new]), NULL_ID, np.int64)
-        self.counts = np.zeros(len(new[new]), np.uint8 if min_docs < 256 else np.int64)
-        self.prints[at] = lo
         fresh = new.copy()
         fresh[1:] |= doc[1:] != doc[:-1]
-        counted = np.bincount(at[fresh], minlength=len(self.counts))
-        self.counts[:] = np.minimum(counted, min_docs)
-        np.maximum.at(self.last, at, doc)
+        values = mix(lo, hi)
+        ranked = np.sort(values[new])
+        self.shared = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
+        self.apart: dict[tuple[int, int], tuple[int, int]] = {}
+        alone = ~np.isin(values, self.shared)
+        for i in np.flatnonzero(~alone).tolist():
+            key = int(lo[i]), int(hi[i])
+            self.apart[key] = min(min_docs, self.apart.get(key, (0, 0))[0] + int(fresh[i])), int(doc[i])
+        self.hash = PerfectHash.build(values[new & alone])
+        size = np.count_nonzero(new & alone)
+        self.prints, self.last = np.zeros(size, np.uint64), np.full(size, NULL_ID, np.int64)
+        self.counts = np.zeros(size, np.uint8 if min_docs < 256 else np.int64)
+        at = self.hash.index(values[alone])
+        self.prints[at] = lo[alone]
+        self.counts[:] = np.minimum(np.bincount(at[fresh[alone]], minlength=size), min_docs)
+        np.maximum.at(self.last, at, doc[alone])
 
     def probe(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How many documents hold each line, up to min_docs, and the last; 0 for lines that the index lacks."""
-        at = self.hash.index(mix(lo, hi))
+        values = mix(lo, hi)
+        at = self.hash.index(values)
         known = (at >= 0) & (len(self.prints) > 0)
         at = np.where(known, at, 0)
         known[known] = self.prints[at[known]] == lo[known]
-        return np.where(known, self.counts[at] if len(self.counts) else 0, 0), self.last[at] if len(self.last) else np.full(len(at), NULL_ID)
+        counts = np.where(known, self.counts[at] if len(self.counts) else 0, 0)
+        last = self.last[at] if len(self.last) else np.full(len(at), NULL_ID)
+        for i in np.flatnonzero(np.isin(values, self.shared)).tolist():
+            counts[i], last[i] = self.apart.get((int(lo[i]), int(hi[i])), (0, NULL_ID))
+        return counts, last
 
 
 def entries(table: pa.Table, min_chars: int, min_docs: int) -> tuple[np.ndarray, ...]:

@@ -385,6 +385,58 @@ def test_proximity(spark):
     assert sorted(rows(decontam.proximity_matches(df, ask, 0))) == [(1, 7, 6, 8)]
 
 
+def plain_proximity(data, asked, slop):
+    out = set()
+    for doc, text in data:
+        words = [w.translate(LOWER) for w in re.findall(decontam.WORD, text or "")]
+        for query, wanted in asked:
+            terms = [w.translate(LOWER) for w in re.findall(decontam.WORD, wanted or "")]
+            for start in (i for i, w in enumerate(words) if terms and w == terms[0]):
+                end = start
+                for term in terms[1:]:
+                    end = next((i for i in range(end + 1, min(len(words), end + slop + 2)) if words[i] == term), None)
+                    if end is None:
+                        break
+                if end is not None:
+                    out.add((doc, query, start, end))
+    return out
+
+
+@pytest.mark.parametrize("limit", [decontam.BROADCAST_BYTES, -1])
+def test_proximity_equals_walk(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", limit)
+    words = ["the", "The", "of", "rare", "cat", "sat"]
+    rng = np.random.default_rng(5)
+    data = [(i, " ".join(rng.choice(words, 30, p=[0.4, 0.2, 0.2, 0.02, 0.1, 0.08]))) for i in range(60)]
+    data += [(None, "the cat sat"), (61, None), (62, ""), (5, data[5][1])]
+    asked = [(1, "the of"), (2, "cat rare"), (3, "the the cat"), (4, "absent the"), (5, None), (6, "sat")]
+    df, ask = spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(asked, "query_id long, text string")
+    got = rows(decontam.proximity_matches(df, ask, 3))
+    assert len(got) == len(set(got)) and set(got) == plain_proximity(data, asked, 3)
+
+
+def test_decontamination_without_broadcast(spark, sf_dir, odd, monkeypatch):
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").unionByName(
+        spark.createDataFrame([(-1, "don't 42"), (-2, "a b c d e f g h a b c")], "item_id long, text string").selectExpr("cast(item_id as string) as item_id", "text")
+    )
+    whole = rows(decontam.decontaminate(odd, items))
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", -1)
+    assert Counter(map(str, whole)) == Counter(map(str, rows(decontam.decontaminate(odd, items))))
+
+
+def test_lines_of_equal_mixed_hashes():
+    """Two lines whose 128-bit hashes differ, but not the 64-bit values that the perfect hash takes."""
+    k, top = 0x9E3779B97F4A7C15, 1 << 64
+    lo = np.array([3, 9, 3, 9, 9, 70], np.uint64)
+    hi = np.array([5, (3 * k + 5 - 9 * k) % top, 5, 0, 0, 1], np.uint64)
+    hi[[3, 4]] = hi[1]
+    doc = np.array([1, 1, 2, 4, 4, 8], np.int64)
+    index = linededup.LineIndex(lo, hi, doc, 3)
+    counts, last = index.probe(np.append(lo[[0, 1, 5]], np.uint64(4)), np.append(hi[[0, 1, 5]], np.uint64(4)))
+    assert counts.tolist() == [2, 2, 1, 0] and last[:3].tolist() == [2, 4, 8]
+
+
+
 # --- op6
 
 HTML = "<p>" + "x" * 1200

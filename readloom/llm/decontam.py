@@ -53,25 +53,33 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
+def salt_of(*names: str) -> Column:
+    """The task, of the SALT of a term, that a row is dealt to."""
+    return F.pmod(F.xxhash64(*names), F.lit(SALT)).cast("int")
+
+
 def document_salt() -> Column:
-    """The task, of the SALT of a term, that a document is dealt to."""
-    return F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALT)).cast("int")
+    return salt_of("doc_id", "text_hash")
 
 
 def each_salt() -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))
 
 
+def meet_terms(rows: DataFrame, terms: DataFrame, salt: Column, how: str = "inner") -> DataFrame:
+    """`rows` joined by term with `terms`, a written table that has each term once. Terms whose bytes are counted and few are
+    broadcast; else the rows of one term are dealt to SALT tasks by `salt`."""
+    size = terms.agg(F.coalesce(F.sum(F.octet_length("term") + TERM_BYTES), F.lit(0)).alias("n")).first()["n"]
+    if size <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(terms), "term", how)
+    return rows.withColumn("salt", salt).join(terms.withColumn("salt", each_salt()), ["term", "salt"], how).drop("salt")
+
+
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, doc_id, text_hash, positions): the positional postings of `terms` (one column, term; written, as it is read
-    twice) in `docs`. Terms whose bytes are counted and few are broadcast; else a term's documents are dealt to SALT tasks."""
+    """(term, doc_id, text_hash, positions): the positional postings of `terms` (one column, term; written) in `docs`."""
     tokens = docs.select(*row_key(), F.posexplode(raw_words(F.col("text"))).alias("pos", "word"))
     tokens = tokens.select("doc_id", "text_hash", "pos", fold(F.col("word")).alias("term"))
-    size = terms.agg(F.coalesce(F.sum(F.octet_length("term") + TERM_BYTES), F.lit(0)).alias("n")).first()["n"]
-    if size <= BROADCAST_BYTES:
-        found = tokens.join(F.broadcast(terms), "term")
-    else:
-        found = tokens.withColumn("salt", document_salt()).join(terms.withColumn("salt", each_salt()), ["term", "salt"])
+    found = meet_terms(tokens, terms, document_salt())
     return found.groupBy("term", "doc_id", "text_hash").agg(F.collect_set("pos").alias("positions"))
 
 
@@ -82,8 +90,9 @@ def rarest_terms(docs: DataFrame, windows: DataFrame, anchors: int = ANCHORS) ->
     words = docs.select(F.explode(raw_words(F.col("text"))).alias("word")).select(fold(F.col("word")).alias("term"))
     # counted before the join, so that a frequent word is one row a task
     counts = words.groupBy("term").agg(F.count("*").alias("n")).join(terms.select("term").distinct(), "term", "left_semi")
+    counts = materialize(counts, "counts")
     ranked = (
-        terms.join(counts, "term", "left")
+        meet_terms(terms, counts, salt_of("wid"), "left")
         .withColumn("at", F.row_number().over(Window.partitionBy("wid").orderBy(F.col("n").asc_nulls_first(), "offset")))
         .withColumn("least", F.min(F.coalesce("n", F.lit(0))).over(Window.partitionBy("wid")))
     )

@@ -88,8 +88,8 @@ def rarest_terms(docs: DataFrame, windows: DataFrame, anchors: int = ANCHORS) ->
     A window with a term that the corpus lacks occurs nowhere and has no row."""
     terms = windows.select("wid", F.posexplode("words").alias("offset", "word")).withColumn("term", fold(F.col("word")))
     words = docs.select(F.explode(raw_words(F.col("text"))).alias("word")).select(fold(F.col("word")).alias("term"))
-    # counted before the join, so that a frequent word is one row a task
-    counts = words.groupBy("term").agg(F.count("*").alias("n")).join(terms.select("term").distinct(), "term", "left_semi")
+    # counted before the join, so that a frequent word is one row a task; a semi join would be pushed below the counting
+    counts = words.groupBy("term").agg(F.count("*").alias("n")).join(terms.select("term").distinct(), "term")
     counts = materialize(counts, "counts")
     ranked = (
         meet_terms(terms, counts, salt_of("wid"), "left")

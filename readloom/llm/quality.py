@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,14 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import TokenHashes, batches, mix, utf8
+from readloom.llm.common import TokenHashes, batches, materialize, mix, utf8
 
 #: Counting buckets, as a power of two.
 BITS = 16
-#: At most so many trusted documents (those of the smallest hashed ids) teach the target and the threshold.
-MAX_TRUSTED = 20_000
 #: Share of the trusted documents set aside for the threshold that may fall below it.
 LOSS = 0.002
+#: Bins into which the values are counted that may hold a percentile.
+PERCENTILE_BINS = 4096
 WINDOW = 8
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -67,18 +68,44 @@ def bucket_counts(docs: DataFrame, bits: int = BITS) -> DataFrame:
     return docs.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
-def trusted_sample(labels: DataFrame, limit: int = MAX_TRUSTED) -> DataFrame:
-    """(doc_id, calibrates): trusted labels, at most `limit`, taken by hashed id; every second one sets the threshold."""
+def trusted_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, calibrates): all trusted labels; by a hash of the id, half teach the target and half set the threshold."""
     return (
         labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null")
         .select("doc_id")
         .distinct()
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(limit)
         .withColumn("calibrates", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 1)
     )
 
 
+#: The former name; nothing is sampled.
+trusted_sample = trusted_labels
+
+
+def percentile(values: DataFrame, column: str, share: float, bins: int = PERCENTILE_BINS) -> float | None:
+    """The exact percentile of a written column, as F.percentile gives it, without one task that holds all distinct values: values
+    are counted in bins, then those of the bin with the wanted ranks in finer ones, until it has one value or ends between the ranks."""
+    value = F.col(column)
+    own = values.where(value.isNotNull()).select(column)
+    n, low, high = own.agg(F.count("*"), F.min(value), F.max(value)).first()
+    if not n:
+        return None
+    rank, below = share * (n - 1), 0
+    lower, upper = math.floor(rank), math.ceil(rank)
+    while low < high:
+        place = F.least(F.floor((value - low) / (high - low) * bins), F.lit(bins - 1))
+        inside = own.where((value >= low) & (value <= high)).groupBy(place.alias("bin"))
+        counted = sorted(inside.agg(F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high")).collect())
+        ends = below + np.cumsum([r["n"] for r in counted])
+        first, last = (int(np.searchsorted(ends, k, side="right")) for k in (lower, upper))
+        if first != last:  # the ranks are neighbours: the last of a bin and the first of the next
+            low, high = counted[first]["high"], counted[last]["low"]
+            return (upper - rank) * low + (rank - lower) * high
+        below = int(ends[first]) - counted[first]["n"]
+        low, high = counted[first]["low"], counted[first]["high"]
+    return low
+
+
 def log_ratios(target: DataFrame, raw: DataFrame, bits: int = BITS) -> np.ndarray:
     """log p_target - log p_raw of each bucket; both multinomials with one added to each count.
     Two arrays of 2**bits numbers are all that reaches the driver."""
@@ -91,21 +118,20 @@ def log_ratios(target: DataFrame, raw: DataFrame, bits: int = BITS) -> np.ndarra
     return out[0] - out[1]
 
 
-def quality_rules(
-    docs: DataFrame, labels: DataFrame, *, bits: int = BITS, max_trusted: int = MAX_TRUSTED, loss: float = LOSS
-) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, *, bits: int = BITS, loss: float = LOSS) -> DataFrame:
     """doc_id, the base counts, base_failed, llr, threshold and kept for each row of `docs`.
 
     llr is the mean log-likelihood ratio of a text's hashed word unigrams and bigrams between trusted documents
-    and the whole corpus. Half of a bounded sample of the trusted labels is the target; the `loss` quantile of
-    the other half is the threshold. A text with no words has llr 0. Null texts have no words; repeated rows are
+    and the whole corpus. Half of all trusted labels is the target; the `loss` quantile of the other half is
+    the threshold. A text with no words has llr 0. Null texts have no words; repeated rows are
     scored alike; with no trusted labels every text that passes the base rules is kept.
     """
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text")
-    sample = F.broadcast(trusted_sample(labels, max_trusted))  # at most max_trusted ids
-    trusted = texts.join(sample, "doc_id").select("text", "calibrates")
-    ratios = log_ratios(bucket_counts(trusted.where("not calibrates"), bits), bucket_counts(texts, bits), bits)
+    # always joined by a shuffle, so that the work grows evenly: the ids grow with the corpus, and no task holds them all
+    trusted = materialize(trusted_labels(labels), "quality-trusted").hint("merge")
+    target = texts.join(trusted.where("not calibrates"), "doc_id")
+    ratios = log_ratios(bucket_counts(target, bits), bucket_counts(texts, bits), bits)
     table = spark.sparkContext.broadcast(ratios)  # 2**bits numbers
 
     def score(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,12 +151,12 @@ def quality_rules(
             )
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, llr double"
-    at = trusted.where("calibrates").selectExpr("0L as doc_id", "text").mapInArrow(score, schema)
-    threshold = at.where("n_words >= 20").agg(F.percentile("llr", loss).alias("at")).first()["at"]
+    scored = materialize(texts.mapInArrow(score, schema), "quality-scores")
+    held = scored.where("n_words >= 20").join(trusted.where("calibrates"), "doc_id").select("llr")
+    threshold = percentile(materialize(held, "quality-held"), "llr", loss)
     failed = F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words")
     return (
-        texts.mapInArrow(score, schema)
-        .withColumn("base_failed", failed)
+        scored.withColumn("base_failed", failed)
         .withColumn("threshold", F.lit(threshold).cast("double"))
         .withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.coalesce("threshold", F.lit(float("-inf")))))
     )

@@ -117,6 +117,30 @@ def test_quality_ratio_is_that_of_plain_counts(spark):
         assert got[i] == pytest.approx((target - raw)[f].mean())
 
 
+def test_quality_learns_from_all_trusted_labels(spark):
+    n = 20_050
+    df = spark.range(n).selectExpr("id as doc_id", "concat(repeat('same words ', 12), 'own', id) as text")
+    labels = spark.range(n).selectExpr("id as doc_id", "1L as quality", "0L as toxic")
+    trusted = quality.trusted_labels(labels)
+    assert trusted.count() == n
+    teach = trusted.where("not calibrates").count()
+    tokens = quality.TokenHashes()
+    common = [quality.buckets(tokens.of(b"same words".split() * 12))]
+    got = {r.bucket: r.n for r in quality.bucket_counts(df.join(trusted.where("not calibrates"), "doc_id")).collect()}
+    assert all(got[b] >= 11 * teach for b in common[0].tolist())
+    out = quality.quality_rules(df, labels).join(trusted.where("calibrates"), "doc_id").select("llr", "threshold").toPandas()
+    assert len(out) == n - teach and out["threshold"].nunique() == 1
+    assert out["threshold"][0] == pytest.approx(np.quantile(out["llr"], quality.LOSS), abs=1e-12)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.002, 0.37, 0.5, 1.0])
+def test_percentile_is_exact(spark, share):
+    rng = np.random.default_rng(2)
+    for values in ([], [3.5], [2.0] * 50, [-1.0, 4.0], np.round(rng.normal(size=700), 2).tolist(), (rng.normal(size=501) ** 9).tolist()):
+        df = spark.createDataFrame([(v,) for v in [*values, None]], "v double")
+        assert quality.percentile(df, "v", share, 8) == df.agg(F.percentile("v", share)).first()[0]
+
+
 # --- op2
 
 

@@ -872,6 +872,46 @@ def test_windows_are_filled_with_neighbours(spark):
     assert results[0] == results[1]
 
 
+def test_common_terms_find_neighbours(spark, monkeypatch):
+    """Plain BM25 over all runs of three ids, of ids that every document has: nothing is too common to be asked for."""
+    rng = np.random.default_rng(3)
+    docs = [(rng.zipf(1.3, int(rng.integers(4, 120))) % 9 + 2).tolist() + [1] for _ in range(50)]
+    window, n = 128, len(docs)
+    grams = [Counter(zip(x, x[1:], x[2:])) for x in docs]
+    df, mean = Counter(g for x in grams for g in x), sum(map(len, docs)) / n
+    frame = spark.createDataFrame([(i, i, len(x), bytearray(packing.as_blob(np.array(x), True))) for i, x in enumerate(docs)], "row long, tie long, n long, ids binary")
+    corpus = packing.corpus_of(frame, window)
+    seeds = [i for i, x in enumerate(docs) if corpus.is_seed(np.array([i]), np.array([len(x)]))[0]]
+    monkeypatch.setattr(packing, "BLOCK_IDS", 300)
+    monkeypatch.setattr(packing, "MOST_PAIRS", 500)
+    got = defaultdict(dict)
+    for r in packing.Index(corpus, window).neighbours(frame.repartition(3)).collect():
+        got[r.seed][r.doc] = r.score * packing.STEP
+    assert len(seeds) > 10 and max(df.values()) > n / 2
+    for s in seeds:
+        want = {}
+        for i in set(range(n)) - set(seeds):
+            gains = [np.log(1 + (n - df[g] + 0.5) / (df[g] + 0.5)) * grams[i][g] * 2.2 / (grams[i][g] + 1.2 * (0.25 + 0.75 * len(docs[i]) / mean)) for g in grams[s] if grams[i][g]]
+            if gains:
+                want[i] = sum(gains)
+        assert sorted(got[s].values(), reverse=True) == pytest.approx(sorted(want.values(), reverse=True)[:24], rel=2e-3)
+        assert all(v == pytest.approx(want[i], rel=2e-3) for i, v in got[s].items())
+
+
+def test_a_window_asks_again(spark):
+    """A window takes more documents that are near its seed than one answer has."""
+    vocabulary = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).get_vocab()
+    words = sorted(t[:-4] for t in vocabulary if t.endswith("</w>") and t[:-4].isascii() and t[:-4].isalpha() and t.islower() and len(t) > 8)
+    whole = [words[:404], words[1000:1405]]
+    data = [(i, " ".join(x)) for i, x in enumerate(whole)]
+    data += [(100 * i + 100 + k, " ".join(x[14 * k : 14 * k + 3])) for i, x in enumerate(whole) for k in range(27)]
+    by = defaultdict(set)
+    for r in packing.pack_documents(spark.createDataFrame(data, "doc_id long, text string"), window=512, with_ids=False).collect():
+        by[r.doc_id].add(r.sequence_id)
+    for i in range(2):
+        assert sum(bool(by[100 * i + 100 + k] & by[i]) for k in range(27)) >= 26
+
+
 def test_seeds_of_equally_long_documents(spark):
     rests = np.zeros(64, np.int64)
     rests[40], rests[50] = 10_000, 10

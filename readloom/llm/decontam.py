@@ -19,12 +19,14 @@ SALT = 16
 #: Terms are broadcast if they take at most so many bytes, with TERM_BYTES for each beside its text.
 BROADCAST_BYTES, TERM_BYTES = 16 << 20, 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A word, before A-Z is lower-cased.
+#: A word, before A-Z is lower-cased, and what stands between words.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def raw_words(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
+    # a split takes a fifth of the time of extracting each match
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), BETWEEN, -1), "")
 
 
 def ascii_lower(words: Column) -> Column:
@@ -87,10 +89,10 @@ def rarest_terms(docs: DataFrame, windows: DataFrame, anchors: int = ANCHORS) ->
     """(term, wid, offset, needed): of each window the `anchors` terms that the corpus holds least often.
     A window with a term that the corpus lacks occurs nowhere and has no row."""
     terms = windows.select("wid", F.posexplode("words").alias("offset", "word")).withColumn("term", fold(F.col("word")))
-    words = docs.select(F.explode(raw_words(F.col("text"))).alias("word")).select(fold(F.col("word")).alias("term"))
-    # counted before the join, so that a frequent word is one row a task; a semi join would be pushed below the counting
-    counts = words.groupBy("term").agg(F.count("*").alias("n")).join(terms.select("term").distinct(), "term")
-    counts = materialize(counts, "counts")
+    asked = materialize(terms.select("term").distinct(), "asked-terms")
+    # words meet the terms by a counted broadcast or salted, so that no word gathers in a task, and only the terms' words are counted
+    words = docs.select(*row_key(), F.explode(raw_words(F.col("text"))).alias("word")).select("doc_id", "text_hash", fold(F.col("word")).alias("term"))
+    counts = materialize(meet_terms(words, asked, document_salt()).groupBy("term").agg(F.count("*").alias("n")), "counts")
     ranked = (
         meet_terms(terms, counts, salt_of("wid"), "left")
         .withColumn("at", F.row_number().over(Window.partitionBy("wid").orderBy(F.col("n").asc_nulls_first(), "offset")))

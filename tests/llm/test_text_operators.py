@@ -426,6 +426,13 @@ def plain_proximity(data, asked, slop):
     return out
 
 
+def test_words_are_cut_by_a_split(spark):
+    texts = ["", "  ", "a", " \u00e91!\u03c3\U0001f600 b\n", "\x7f\x01Ab-c\u00a0d", "--x--", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select(decontam.raw_words(F.col("text")).alias("w"))
+    assert [r.w for r in df.collect()] == [re.findall(decontam.WORD, t or "") for t in texts]
+    assert "regexp_extract_all" not in df._jdf.queryExecution().toString()
+
+
 @pytest.mark.parametrize("limit", [decontam.BROADCAST_BYTES, -1])
 def test_proximity_equals_walk(spark, monkeypatch, limit):
     monkeypatch.setattr(decontam, "BROADCAST_BYTES", limit)

@@ -905,6 +905,24 @@ def test_common_terms_find_neighbours(spark, monkeypatch):
         assert all(v == pytest.approx(want[i], rel=2e-3) for i, v in got[s].items())
 
 
+@pytest.mark.parametrize("sent", [1, 1 << 20])
+def test_frequencies_of_terms_are_summed_before_they_are_sent(spark, monkeypatch, sent):
+    """Terms of more than one document and how many have them, whatever is counted and sent at a time; no text is shuffled for it."""
+    rng = np.random.default_rng(4)
+    docs = [(rng.zipf(1.3, int(rng.integers(0, 90))) % 30 + 2).tolist() + [1] for _ in range(80)]
+    frame = spark.createDataFrame([(i, i, len(x), bytearray(packing.as_blob(np.array(x), True))) for i, x in enumerate(docs)], "row long, tie long, n long, ids binary")
+    monkeypatch.setattr(packing, "COUNTED_IDS", 200)
+    monkeypatch.setattr(packing, "SENT_TERMS", sent)
+    monkeypatch.setattr(packing, "side", lambda n: 5)
+    index = packing.Index(packing.corpus_of(frame, 128), 128)
+    got = {}
+    for r in packing.stored(index.frequencies(frame.repartition(3))):
+        got |= dict(zip(common.unpack(r["hashes"]).tolist(), common.unpack_counts(r["counts"]).tolist(), strict=True))
+    want = Counter(h for x in docs for h in packing.terms([np.array(x, np.uint32)], index.bits)[0].tolist())
+    assert got == {h: n for h, n in want.items() if n > 1} and len(got) > 100
+    assert len(want) == len({g for x in docs for g in zip(x, x[1:], x[2:])})
+
+
 def test_a_window_asks_again(spark):
     """A window takes more documents that are near its seed than one answer has."""
     vocabulary = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).get_vocab()

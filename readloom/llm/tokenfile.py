@@ -20,8 +20,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import batches, materialize, shared_path, utf8
-from readloom.llm.packing import encoder, laid_out
+from readloom.llm.common import batches, materialize, shared_path
+from readloom.llm.packing import TEXT_BYTES, by_bytes, encoder, laid_out
 
 # Fixed values of the framing: the reversed polynomial of CRC-32C, and what is added to a checksum when it is masked.
 POLYNOMIAL, MASK = 0x82F63B78, 0xA282EAD8
@@ -31,7 +31,7 @@ HEAD = struct.Struct("<BBxxIq")
 LENGTH, CHECK = struct.Struct("<QI"), struct.Struct("<I")
 #: An index entry: the record's offset, the size of its data and its number of ids.
 ENTRY = np.dtype([("offset", "<u8"), ("size", "<u8"), ("ids", "<u8")])
-#: A new file is begun after so many bytes. Documents that are encoded, and bytes that are read, at a time.
+#: A new file is begun after so many bytes. Documents that are looked up, and bytes that are read, at a time.
 FILE_BYTES, DOCS, READ_BYTES = 64 << 20, 256, 8 << 20
 #: Bytes whose checksum is taken by position, before such pieces are combined.
 PIECE = 64
@@ -197,14 +197,14 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.jso
         store.create_dir(top)
         shared = encoder(path)
         width = 2 if shared.small else 4
-        todo = (b for b in batches(rows, DOCS) if b.num_rows)
+        todo = by_bytes(rows, 1, min(file_bytes, TEXT_BYTES))
         batch, number = next(todo, None), 0
         while batch is not None:
             name, offset, entries = f"{top}/{uuid.uuid4().hex}.records", 0, []
             first = [batch.column(k)[0].as_py() for k in (0, 2, 3)]
             with store.open_output_stream(name) as sink:
                 while batch is not None and offset < file_bytes:
-                    ids = shared.encode(utf8(batch.column(1)))
+                    ids = shared.encode(batch.column(1))
                     parts = [sequence(d, x, width) for d, x in zip(batch.column(0).to_pylist(), ids, strict=True)]
                     for record, part, x in zip(framed(parts), parts, ids, strict=True):
                         sink.write(record)

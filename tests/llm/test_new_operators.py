@@ -11,11 +11,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from readloom.llm import queries, tokenfile, turnrepair, vectorcodes
+from readloom.llm import packing, queries, tokenfile, turnrepair, vectorcodes
 from readloom.llm.common import shared_path
 
 VECTORS = "vec_id long, embedding array<double>, label int"
@@ -329,6 +330,22 @@ def test_token_query(spark, sf_dir):
     assert sorted(tuple(r) for r in queries.op13_token_files(spark, sf_dir).collect()) == want
 
 
+def test_ids_of_odd_texts():
+    """The encoder gives the tokenizer's ids, whatever the letters, case, punctuation and white space, and however they are dealt."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, shared = Tokenizer.from_file(path), packing.encoder(path)
+    signs = [*"abcXYZ'.,!?-_ \t\n\x0b\r\x1c\x85\u00a0\u2003\u0130\u03a3\u03c3\u03c2\u00e9\u00c4\u00df\u1e9e\u01c5J\u030c\u0301中文\u1100\u1161१5\u00b2\x00\u212b\u0345#\"\\|", "'s", "</w>", "<|endoftext|>", "the ", "Word, ", "ΑΣ "]
+    rng = np.random.default_rng(0)
+    texts = ["".join(rng.choice(signs, int(rng.integers(0, 50)))) for _ in range(2000)] + ["", None]
+    want = [[*tokenizer.encode(x or "", add_special_tokens=False).ids, 1] for x in texts]
+    assert [x.tolist() for x in shared.encode(pa.array(texts, pa.string()))] == want
+    assert shared.encode(pa.array([], pa.string())) == []
+    rows = pa.record_batch({"n": range(len(texts)), "text": texts})
+    for limit in (1, 3000):
+        dealt = list(packing.by_bytes(iter([rows.slice(0, 7), rows.slice(7)]), 1, limit))
+        assert len(dealt) > 1 and pa.Table.from_batches(dealt).equals(pa.Table.from_batches([rows]))
+
+
 def test_no_documents(spark):
     assert tokenfile.encode_documents(spark.createDataFrame([], DOCS)).collect() == []
 

@@ -923,6 +923,28 @@ def test_frequencies_of_terms_are_summed_before_they_are_sent(spark, monkeypatch
     assert len(want) == len({g for x in docs for g in zip(x, x[1:], x[2:])})
 
 
+def test_answers_do_not_depend_on_how_scores_are_added(monkeypatch):
+    """Terms as rows of a matrix or pair by pair, in steps of any size, over documents in any order: the same documents and scores."""
+    rng = np.random.default_rng(12)
+    docs = [(rng.zipf(1.3, int(rng.integers(3, 150))) % 30 + 2 + 40 * (i % 2)).astype(np.uint32) for i in range(260)]
+    hashes, _, _ = packing.terms(docs, 40)
+    begin, df = packing.runs(hashes)
+    corpus = packing.Corpus(len(docs), sum(map(len, docs)), 0, 0.0)
+    answers = []
+    for share, pairs, cells, order in ((0, 1 << 13, 1 << 19, np.arange(200)), (2, 1 << 13, 1 << 19, np.arange(200)), (1 / 50, 40, 900, 60 + packing.by_likeness(docs[60:]) - 60)):
+        monkeypatch.setattr(packing, "DENSE_SHARE", share)
+        monkeypatch.setattr(packing, "MOST_PAIRS", pairs)
+        monkeypatch.setattr(packing, "MOST_CELLS", cells)
+        group = packing.Group(np.arange(60), docs[:60], corpus, 40, iter([(hashes[begin][df > 1], df[df > 1])]))
+        for part in np.split(order + 60, 4):
+            group.meet(packing.Block(packing.Block.of([docs[k] for k in part], part.tolist(), 40), corpus))
+        answers.append(sorted(zip(*group.nearest().to_pydict().values(), strict=True)))
+    assert answers[0] == answers[1] == answers[2] and len(answers[0]) > 1000
+    near = packing.by_likeness(docs) % 2  # two kinds of documents, which have no id in common
+    assert sorted(packing.by_likeness(docs).tolist()) == list(range(260)) and (near[1:] != near[:-1]).sum() < 5
+    assert packing.by_likeness([]).tolist() == []
+
+
 def test_a_window_asks_again(spark):
     """A window takes more documents that are near its seed than one answer has."""
     vocabulary = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).get_vocab()

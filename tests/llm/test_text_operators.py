@@ -959,6 +959,33 @@ def test_a_window_asks_again(spark):
         assert sum(bool(by[100 * i + 100 + k] & by[i]) for k in range(27)) >= 26
 
 
+def test_seeds_ask_in_waves(spark, monkeypatch):
+    """A seed asks in one wave, among the documents that no window has taken before; all ids are packed gapless."""
+    rng = np.random.default_rng(21)
+    words = np.array([f"{a}{b}" for a in ("ka", "lo", "mi", "ne") for b in ("ra", "sa", "to")])
+    data = [(i, " ".join(rng.choice(words, int(rng.integers(1, 90))))) for i in range(150)]
+    monkeypatch.setattr(packing, "WAVE_IDS", 2000)
+    asks, nearest = [], packing.Index.nearest
+
+    def noted(self, docs, seeds, frequencies, rows):
+        asks.append((self.n_waves, {r.row for r in seeds.collect()}, {r.row for r in spark.read.parquet(rows).collect()}))
+        return nearest(self, docs, seeds, frequencies, rows)
+
+    monkeypatch.setattr(packing.Index, "nearest", noted)
+    got = packing.pack_documents(spark.createDataFrame(data, "doc_id long, text string").repartition(4), window=256, with_ids=False).collect()
+    waves = asks[0][0]
+    assert waves > 1 and len(asks) >= waves and all(b[2] < a[2] for a, b in zip(asks, asks[1:]))
+    assert len(set.union(*(x[1] for x in asks))) > max(len(x[1]) for x in asks) and not any(x[1] & x[2] for x in asks)
+    total, filled = Counter(), defaultdict(list)
+    for r in got:
+        total[r.doc_id] += r.length
+        filled[r.sequence_id].append((r.offset, r.length))
+    assert total == {r.doc_id: r.doc_tokens for r in got} and len(total) == len(data)
+    for parts in filled.values():
+        assert [offset for offset, _ in sorted(parts)] == np.cumsum([0, *(n for _, n in sorted(parts))])[:-1].tolist()
+    assert sum(sum(n for _, n in parts) < 256 for parts in filled.values()) <= 1
+
+
 def test_seeds_of_equally_long_documents(spark):
     rests = np.zeros(64, np.int64)
     rests[40], rests[50] = 10_000, 10

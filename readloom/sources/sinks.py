@@ -6,7 +6,6 @@ place, the rest goes with the hidden folder. An attempt that fails or is repeate
 
 from __future__ import annotations
 
-import itertools
 import json
 import struct
 import uuid
@@ -22,16 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from readloom.schema import LINE
-from readloom.sources.bam import BASES, BINS, NUMBERS, OPS
+from readloom.sources.records import encode_reads
 
-#: Bytes of content in a compressed block of BAM.
-BLOCK_BYTES = 0xFF00
+#: Bytes of content in a compressed block of BAM, and those that are copied at a time where parts become a file.
+BLOCK_BYTES, COPY_BYTES = 0xFF00, 8 << 20
 # Fixed value of the format: the empty block at a file's end.
 END_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 HIDDEN = "_writing"
-_CODES = {base: f"{i:x}" for i, base in enumerate(BASES)}
-_CODES = str.maketrans({chr(c): _CODES.get(chr(c).upper(), "f") for c in range(128)})
-
 
 def _located(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
@@ -47,63 +43,6 @@ def compressed_block(data: bytes, level: int = 6) -> bytes:
     return head + body + struct.pack("<II", zlib.crc32(data), len(data))
 
 
-def smallest_bin(begin: int, end: int) -> int:
-    """Number of the smallest bin that holds positions begin to end (from 0, end not included)."""
-    return next(first + (begin >> bits) for first, bits in reversed(BINS) if begin >> bits == max(begin, end - 1) >> bits)
-
-
-def encode_tag(tag: str, kind: str, value: str) -> bytes:
-    """A tag's bytes; integers take the smallest type that holds them."""
-    name = tag.encode()
-    if kind == "i":
-        n = int(value)
-        code = next((c for c in "cCsSiI" if _fits(n, c)), None)
-        if code is None:
-            raise ValueError(f"{tag}:{value} is no integer of 32 bits")
-        return name + code.encode() + struct.pack("<" + NUMBERS[code], n)
-    if kind == "f":
-        return name + b"f" + struct.pack("<f", float(value))
-    if kind == "B":
-        item, *values = value.split(",")
-        made = [float(v) if item == "f" else int(v) for v in values]
-        return name + b"B" + item.encode() + struct.pack(f"<I{len(made)}{NUMBERS[item]}", len(made), *made)
-    return name + kind.encode() + value.encode() + (b"" if kind == "A" else b"\0")
-
-
-def _fits(n: int, code: str) -> bool:
-    bits = 8 * struct.calcsize(NUMBERS[code])
-    return 0 <= n < 1 << bits if code.isupper() else -(1 << bits - 1) <= n < 1 << bits - 1
-
-
-def encode_read(r: dict, number: dict[str, int]) -> bytes:
-    """A read's record; `number` has the places of the contigs in the header. Missing values are those of a line with `*` and 0."""
-    cigar, seq, qual = (None if r[k] in (None, "*") else r[k] for k in ("cigar", "seq", "qual"))
-    ops, n = [], ""
-    for c in cigar or "":
-        if c.isdigit():
-            n += c
-        else:
-            ops.append((int(n or 0), OPS.index(c)))
-            n = ""
-    ref = number[r["chr"]] if r["chr"] not in (None, "*") else -1
-    mate = ref if r["pchr"] == "=" else number[r["pchr"]] if r["pchr"] not in (None, "*") else -1
-    begin = (r["pos"] or 0) - 1
-    end = begin + sum(k for k, o in ops if OPS[o] in "M=XDN")
-    bases = (seq or "").translate(_CODES)
-    name = (r["rname"] or "*").encode() + b"\0"
-    bin_no = smallest_bin(begin, max(end, begin + 1)) if begin >= 0 else 4680
-    parts = [
-        struct.pack("<iiBBHHHiiii", ref, begin, len(name), r["mapq"] or 0, bin_no, len(ops), r["flag"] or 0, len(bases), mate, (r["ploc"] or 0) - 1, r["tlen"] or 0),
-        name,
-        struct.pack(f"<{len(ops)}I", *(k << 4 | o for k, o in ops)),
-        bytes.fromhex(bases + "0" * (len(bases) % 2)),
-        b"\xff" * len(bases) if qual is None else bytes(c - 33 for c in qual.encode("latin-1")),
-        *(encode_tag(t["tag"], t["type"], t["value"]) for t in r["tags"] or ()),
-    ]
-    data = b"".join(parts)
-    return struct.pack("<i", len(data)) + data
-
-
 def dictionary(header: str) -> tuple[bytes, dict[str, int]]:
     """The head of a BAM file, and contigs by number, of header text with @SQ lines."""
     fields = [dict(x.split(":", 1) for x in line.split("\t")[1:] if ":" in x) for line in header.splitlines() if line.startswith("@SQ\t")]
@@ -116,39 +55,49 @@ def dictionary(header: str) -> tuple[bytes, dict[str, int]]:
 
 
 class _Text:
-    """Lines behind the header's."""
+    """Lines; `head` and `tail` are what stands before and behind those of all parts of a file."""
 
     def __init__(self, sink: pa.NativeFile, header: str):
-        self.sink = sink
-        sink.write(header.encode())
+        self.sink, self.header = sink, header
+
+    def head(self) -> None:
+        self.sink.write(self.header.encode())
 
-    def add(self, row: dict) -> None:
-        self.sink.write(f"{row['value']}\n".encode())
+    def add(self, rows: pa.RecordBatch) -> None:
+        self.sink.write("".join(f"{v}\n" for v in rows.column("value").to_pylist()).encode())
 
     def end(self) -> None:
         pass
 
+    tail = end
+
 
 class _Bam:
-    """Compressed blocks of the header and of records."""
+    """Compressed blocks of records; those of the header and the empty one at the end are `head` and `tail`."""
 
     def __init__(self, sink: pa.NativeFile, header: str):
-        self.sink = sink
-        head, self.number = dictionary(header)
-        self.held = bytearray(head)
-        self._flush(1)  # records begin with a block of their own
+        self.sink, self.held = sink, b""
+        self.top, self.number = dictionary(header)
 
     def _flush(self, least: int = BLOCK_BYTES) -> None:
-        while len(self.held) >= least:
-            self.sink.write(compressed_block(bytes(self.held[:BLOCK_BYTES])))
-            del self.held[:BLOCK_BYTES]
+        at = 0
+        while len(self.held) - at >= least:
+            self.sink.write(compressed_block(self.held[at : at + BLOCK_BYTES]))
+            at += BLOCK_BYTES
+        self.held = self.held[at:]
+
+    def head(self) -> None:
+        self.held = self.top
+        self._flush(1)  # records begin with a block of their own
 
-    def add(self, row: dict) -> None:
-        self.held += encode_read(row, self.number)
+    def add(self, rows: pa.RecordBatch) -> None:
+        self.held += encode_reads(rows, self.number)
         self._flush()
 
     def end(self) -> None:
         self._flush(1)
+
+    def tail(self) -> None:
         self.sink.write(END_BLOCK)
 
 
@@ -171,29 +120,57 @@ class _Writer(DataSourceArrowWriter):
         store, top = _located(self.path)
         return store, top, f"{top}/{HIDDEN}-{self.run}"
 
-    def _body(self, sink: pa.NativeFile, file_id: str) -> _Text | _Bam:
-        header = self.headers.get(file_id, "")
-        return _Bam(sink, header) if self.kind == "bam" else _Text(sink, header if self.single else "")
-
-    def _file(self, store: fs.FileSystem, hidden: str, file_id: int, rows: Iterator[dict]) -> str:
-        name = f"{hidden}/{uuid.uuid4().hex}"
-        with store.open_output_stream(name) as sink:
-            body = self._body(sink, str(file_id))
-            for row in rows:
-                body.add(row)
-            body.end()
-        return name
+    def _body(self, sink: pa.NativeFile, file_id: int | None) -> _Text | _Bam:
+        return (_Bam if self.kind == "bam" else _Text)(sink, self.headers.get(str(file_id), ""))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Wrote:
+        """A file for each stretch of rows of one file. With `single` it is a part of that file, else one by itself: of BAM it has head and tail, and
+        lines have a header of their own."""
         store, _, hidden = self._store()
         store.create_dir(hidden)
-        rows = (row for batch in iterator for row in batch.to_pylist())
-        out = []
-        for file_id, own in itertools.groupby(rows, lambda r: r["file_id"]):
-            first = next(own)
-            out.append((file_id, first["place"], self._file(store, hidden, file_id, itertools.chain([first], own))))
+        out: list[tuple[int, int, str]] = []
+        alone, body = self.kind == "bam" and not self.single, None
+
+        def close() -> None:
+            if body:
+                body.end()
+                if alone:
+                    body.tail()
+                body.sink.close()
+
+        try:
+            for batch in iterator:
+                ids, at = batch.column("file_id").to_pylist(), 0
+                while at < len(ids):
+                    n = len(ids) - at if ids[at] == ids[-1] else next(k for k in range(at, len(ids)) if ids[k] != ids[at]) - at
+                    if body is None or out[-1][0] != ids[at]:
+                        close()
+                        out.append((ids[at], batch.column("place")[at].as_py(), f"{hidden}/{uuid.uuid4().hex}"))
+                        body = self._body(store.open_output_stream(out[-1][2]), ids[at])
+                        if alone:
+                            body.head()
+                    body.add(batch.slice(at, n))
+                    at += n
+            close()
+        finally:
+            if body:
+                body.sink.close()
         return _Wrote(out)
 
+    def _joined(self, store: fs.FileSystem, hidden: str, file_id: str, parts: list[str]) -> str:
+        """The parts of a file laid end to end, between its head and its tail; each goes when it is copied."""
+        name = f"{hidden}/{uuid.uuid4().hex}"
+        with store.open_output_stream(name) as sink:
+            body = self._body(sink, file_id)
+            body.head()
+            for part in parts:
+                with store.open_input_stream(part) as source:
+                    while data := source.read(COPY_BYTES):
+                        sink.write(data)
+                store.delete_file(part)
+            body.tail()
+        return name
+
     def commit(self, messages: list[_Wrote | None]) -> None:
         """Moves what the tasks told to `<name>` with single, else to `<name>/part-<n>` in the order of the rows, the header's lines first."""
         store, top, hidden = self._store()
@@ -209,7 +186,7 @@ class _Writer(DataSourceArrowWriter):
                     sink.write(text.encode())
                 parts.setdefault(file_id, []).append((-1, name))
             elif file_id not in parts:  # a file without rows
-                parts[file_id] = [(0, self._file(store, hidden, int(file_id), iter(())))]
+                parts[file_id] = [] if self.single else [(0, self._joined(store, hidden, file_id, []))]
         if self.overwrite:
             for info in store.get_file_info(fs.FileSelector(top)):
                 if info.base_name != f"{HIDDEN}-{self.run}":
@@ -220,8 +197,8 @@ class _Writer(DataSourceArrowWriter):
                 raise FileExistsError(to)
             if not self.single:
                 store.create_dir(to)
-            elif len(found) > 1:
-                raise ValueError(f"rows of file {file_id} came from several tasks")
+            else:
+                found = [(0, self._joined(store, hidden, file_id, [name for _, name in sorted(found)]))]
             for i, (_, name) in enumerate(sorted(found)):
                 store.move(name, to if self.single else f"{to}/part-{i:05d}.{self.kind}")
         self.abort(messages)
@@ -263,15 +240,14 @@ def write_files(reads: DataFrame, path: str, header: DataFrame | None = None, ki
 
     A file's rows are dealt to tasks by ranges of the order; the parts of a file that is dealt to several are in a folder of its
     name, and laid end to end they are its text (parts of BAM are files of their own, each with the header). With
-    `single`, one task writes each file as a stream, so a file is one file and takes one task's time. `names` gives names by file_id."""
+    `single`, the commit lays them end to end, so a file is one file; the driver copies its bytes, a few at a time. `names` gives names by file_id."""
     from readloom.sources.text import sam_line
 
     spark: SparkSession = reads.sparkSession
     spark.dataSource.register(SamSink)
     spark.dataSource.register(BamSink)
     keys = ["file_id", *(order or ["row_id"])]
-    placed = reads.repartition("file_id") if single else reads.repartitionByRange(*keys)
-    placed = placed.sortWithinPartitions(*keys).withColumn("place", F.monotonically_increasing_id())
+    placed = reads.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("place", F.monotonically_increasing_id())
     body = [sam_line().alias("value")] if kind == "sam" else [*LINE, "tags"]
     options = {"headers": json.dumps(headers_of(header) if header is not None else {}), "names": json.dumps({str(k): v for k, v in (names or {}).items()}), "single": str(single)}
     writer = placed.select("file_id", "place", *body).write.format(f"{kind}_files").options(**options)

@@ -7,6 +7,7 @@ error. With an index (see index_bam), filters on contig and position choose the
 
 from __future__ import annotations
 
+import bisect
 import gzip
 import os
 import struct
@@ -25,52 +26,18 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe,
 
 from readloom.operators.ranges import MAX_POS, Range, in_range
 from readloom.schema import READS
+from readloom.sources.records import BASES, BINS, FIXED, NUMBERS, OPS, Records  # noqa: F401
 
-# Fixed values of the format: operation and base codes, and struct codes and SAM types of the numeric tag types.
-OPS, BASES = "MIDNSHP=X", "=ACMGRSVTWYHKDBN"
-NUMBERS = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f", "d": "d"}
-# A compressed block begins so, and has its size in the extra field of this name; the fixed part of a record.
+# A compressed block begins so, and has its size in the extra field of this name.
 BLOCK_MAGIC, BLOCK_FIELD = b"\x1f\x8b\x08\x04", b"BC"
-FIXED = np.dtype([("size", "<i4"), ("ref", "<i4"), ("pos", "<i4"), ("n_name", "u1"), ("mapq", "u1"), ("bin", "<u2"), ("n_ops", "<u2"), ("flag", "<u2"), ("n_seq", "<i4"), ("mate_ref", "<i4"), ("mate_pos", "<i4"), ("tlen", "<i4")])
-#: Levels of bins of positions: the first bin's number and the bits of a bin's width.
-BINS = ((0, 29), (1, 26), (9, 23), (73, 20), (585, 17), (4681, 14))
 #: Bits of the width of the linear index's windows.
 WINDOW_BITS = 14
-ROWS_PER_BATCH = 4096
+#: Records, and bytes of them, in a batch at most; a record may be longer.
+ROWS_PER_BATCH, BATCH_BYTES = 4096, 4 << 20
 #: Bytes of a file in a range, and those read at a time; records in a row that tell a record's start.
 SPLIT_BYTES, READ_BYTES, CHAIN = 32 << 20, 1 << 20, 8
+_SIZE = struct.Struct("<i")
 PLACES = "file_id int, chr string, begin long, end_excl long, v_begin long, v_end long"
-_HEX = str.maketrans("0123456789abcdef", BASES)
-_SHOWN = bytes(min(q + 33, 255) for q in range(256))
-
-
-def _number(value: float | int, code: str) -> str:
-    return f"{value:g}" if code in "fd" else str(value)
-
-
-def _tags(data: bytes) -> list[dict]:
-    out, at = [], 0
-    while at + 3 <= len(data):
-        tag, kind = data[at : at + 2].decode(), chr(data[at + 2])
-        at += 3
-        if kind in NUMBERS:
-            (value,) = struct.unpack_from("<" + NUMBERS[kind], data, at)
-            at += struct.calcsize(NUMBERS[kind])
-            shown, text = ("f" if kind in "fd" else "i"), _number(value, kind)
-        elif kind == "A":
-            shown, text, at = "A", chr(data[at]), at + 1
-        elif kind in "ZH":
-            end = data.index(b"\0", at)
-            shown, text, at = kind, data[at:end].decode(), end + 1
-        elif kind == "B":
-            item, n = chr(data[at]), struct.unpack_from("<I", data, at + 1)[0]
-            values = struct.unpack_from(f"<{n}{NUMBERS[item]}", data, at + 5)
-            at += 5 + n * struct.calcsize(NUMBERS[item])
-            shown, text = "B", ",".join([item, *(_number(v, item) for v in values)])
-        else:
-            raise ValueError(f"unknown tag type {kind!r}")
-        out.append({"pos": len(out), "tag": tag, "type": shown, "value": text})
-    return out
 
 
 def read_dictionary(f: BinaryIO) -> tuple[str, list[tuple[str, int]]]:
@@ -200,39 +167,54 @@ def _plausible(data: np.ndarray, n_refs: int) -> np.ndarray:
     return found[~inside | (data[np.minimum(end, len(data) - 1)] == 0)]
 
 
-def _chain(data: np.ndarray, at: int, n_refs: int, whole: bool) -> bool | None:
+def _chain(data: np.ndarray, at: int, n_refs: int, whole: bool) -> tuple[bool | None, list[int]]:
     """A record begins at a place, since CHAIN records follow one another from there, or as many as there are to the file's end; None if
-    more data must tell. `whole`: nothing follows the data."""
+    more data must tell. And where the records begin that follow, as far as there is data. `whole`: nothing follows the data."""
+    trail = []
     for _ in range(CHAIN):
         if at == len(data) and whole:
-            return True
+            return True, trail
         if at + FIXED.itemsize + 256 > len(data) and not whole:
-            return None
+            return None, trail
         if 0 not in _plausible(data[at : at + FIXED.itemsize + 256], n_refs):
-            return False
+            return False, trail
         at += 4 + int.from_bytes(data[at : at + 4].tobytes(), "little", signed=True)
         if at > len(data):
-            return False if whole else None
-    return True
+            return (False if whole else None), trail
+        trail.append(at)
+    return True, trail
 
 
 def first_record(blocks: Blocks, offset: int, n_refs: int) -> int:
-    """Place of the first record in the blocks that begin at `offset` or later; the file's end if there is none."""
-    content, done = Content(blocks, blocks.next_block(offset), 1 << 16), 0
+    """Place of the first record in the blocks that begin at `offset` or later; the file's end if there is none. A place that more data must
+    tell of gives way to a later one that is told, unless that follows from it: what looks like a very long record mostly is none, and
+    no file is read to its end for it."""
+    content, done, wanted = Content(blocks, blocks.next_block(offset), 1 << 16), 0, 0
     while content.more():
+        while len(content.data) < wanted and content.more():
+            pass
+        wanted = 2 * len(content.data)
         data, whole = np.frombuffer(bytes(content.data), np.uint8), content.next >= blocks.size
-        for c in (done + _plausible(data[done:], n_refs)).tolist():
-            found = _chain(data, c, n_refs, whole)
+        open_places: list[tuple[int, list[int]]] = []
+        for c in _candidates(data, done, n_refs):
+            found, trail = _chain(data, c, n_refs, whole)
             if found:
-                return int(content.place(np.array([c]))[0])
+                first = next((p for p, then in open_places if c in then), c)
+                return int(content.place(np.array([first]))[0])
             if found is None:
-                done = c
-                break
-        else:
-            done = max(done, len(data) - FIXED.itemsize)
+                open_places.append((c, trail))
+        done = open_places[0][0] if open_places else max(done, len(data) - FIXED.itemsize)
     return blocks.size << 16
 
 
+def _candidates(data: np.ndarray, at: int, n_refs: int, width: int = 1 << 10) -> Iterator[int]:
+    """The plausible places from one on, looked for a window at a time: the first record is mostly near."""
+    last = len(data) - FIXED.itemsize
+    for low in range(at, last, width):
+        found = low + _plausible(data[low : low + width + FIXED.itemsize + 256], n_refs)
+        yield from found[found < low + width].tolist()
+
+
 def located_records(blocks: Blocks, begin: int, end: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
     """Content, record starts in it and their file places (one more: the end), for the records from place `begin` up to place `end`, in batches."""
     content = Content(blocks, begin >> 16, min(READ_BYTES, max(1 << 16, (end >> 16) - (begin >> 16) + (1 << 16))))
@@ -240,8 +222,9 @@ def located_records(blocks: Blocks, begin: int, end: int) -> Iterator[tuple[byte
     while not last:
         starts = []
         content.has(at, 0)
-        while len(starts) < ROWS_PER_BATCH:
-            # places are checked where a block begins or the end is near
+        while len(starts) < ROWS_PER_BATCH and (not starts or at - starts[0] < BATCH_BYTES):
+            at = _whole_records(content, at, _held_before(content, end), starts)
+            # places are checked where the held blocks or the range end
             if not content.has(at, 4):
                 if content.has(at, 1):
                     raise ValueError("the file ends inside of a record")
@@ -264,6 +247,28 @@ def located_records(blocks: Blocks, begin: int, end: int) -> Iterator[tuple[byte
         content.drop(at)
 
 
+def _held_before(content: Content, end: int) -> int:
+    """Where, in the held content, what lies before a place of the file ends."""
+    k = bisect.bisect_left(content.offsets, end >> 16)
+    if k == len(content.offsets):
+        return content.base + len(content.data)
+    return content.starts[k] + ((end & 0xFFFF) if content.offsets[k] == end >> 16 else 0)
+
+
+def _whole_records(content: Content, at: int, before: int, starts: list[int]) -> int:
+    """Adds to `starts` the records that begin before a place and are held whole, as many as a batch may have; the place behind them."""
+    data, base, filled = content.data, content.base, content.base + len(content.data)
+    stop = min(before, filled - 3, (starts[0] if starts else at) + BATCH_BYTES)
+    room = ROWS_PER_BATCH - len(starts)
+    while at < stop and room > 0:
+        n = _SIZE.unpack_from(data, at - base)[0]
+        if n < 32 or at + 4 + n > filled:
+            break
+        starts.append(at)
+        at, room = at + 4 + n, room - 1
+    return at
+
+
 def _gzip_records(f: BinaryIO) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
     """The same for a stream that is not made of blocks; a record's place is its offset in the content."""
     base, held, done = 0, b"", False
@@ -284,60 +289,42 @@ def _gzip_records(f: BinaryIO) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]
         raise ValueError("the file ends inside of a record")
 
 
-def _fixed(data: bytes, starts: np.ndarray) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8)
-    return raw[starts[:, None] + np.arange(FIXED.itemsize)].reshape(-1).view(FIXED)
-
-
 def decode(data: bytes, starts: np.ndarray, places: np.ndarray, contigs: list[str], file_id: int, schema: pa.Schema) -> pa.RecordBatch:
-    """Records as reads: fixed fields by column, the rest one by one; only columns of `schema` are made."""
-    fixed = _fixed(data, starts)
-    names = np.array([*contigs, "*"], object)
+    """Records as reads, by column; only columns of `schema` are made."""
+    records = Records(data, starts)
+    fixed, names = records.fixed, pa.array([*contigs, "*", "="])
     refs, mates = fixed["ref"], fixed["mate_ref"]
-    wanted = set(schema.names)
-    columns: dict[str, object] = {
-        "file_id": np.full(len(starts), file_id, np.int32),
-        "row_id": places[:-1],
-        "flag": fixed["flag"].astype(np.int32),
-        "chr": names[refs],
-        "pos": fixed["pos"].astype(np.int64) + 1,
-        "mapq": fixed["mapq"].astype(np.int32),
-        "pchr": np.where((mates == refs) & (refs >= 0), "=", names[mates]),
-        "ploc": fixed["mate_pos"].astype(np.int64) + 1,
-        "tlen": fixed["tlen"],
+    name = lambda of: names.take(pa.array(np.where(of < 0, len(contigs), of)))
+    columns = {
+        "file_id": lambda: np.full(len(starts), file_id, np.int32),
+        "row_id": lambda: places[:-1],
+        "flag": lambda: fixed["flag"].astype(np.int32),
+        "chr": lambda: name(refs),
+        "pos": lambda: fixed["pos"].astype(np.int64) + 1,
+        "mapq": lambda: fixed["mapq"].astype(np.int32),
+        "pchr": lambda: name(np.where((mates == refs) & (refs >= 0), len(contigs) + 1, mates)),
+        "ploc": lambda: fixed["mate_pos"].astype(np.int64) + 1,
+        "tlen": lambda: fixed["tlen"],
+        "rname": records.rname,
+        "cigar": records.cigar,
+        "seq": records.seq,
+        "qual": records.qual,
     }
-    texts = {k: [] for k in ("rname", "cigar", "seq", "qual", "tags") if k in wanted}
-    if texts:
-        for at, size, n_name, n_ops, n_seq in zip(starts.tolist(), *(fixed[k].tolist() for k in ("size", "n_name", "n_ops", "n_seq")), strict=True):
-            end, at = at + 4 + size, at + FIXED.itemsize
-            ops = at + n_name
-            seq = ops + 4 * n_ops
-            qual = seq + (n_seq + 1) // 2
-            if "rname" in texts:
-                texts["rname"].append(data[at : ops - 1].decode())
-            if "cigar" in texts:
-                texts["cigar"].append("".join(f"{x >> 4}{OPS[x & 15]}" for x in struct.unpack_from(f"<{n_ops}I", data, ops)) or "*")
-            if "seq" in texts:
-                texts["seq"].append(data[seq:qual].hex().translate(_HEX)[:n_seq] or "*")
-            if "qual" in texts:
-                q = data[qual : qual + n_seq]
-                texts["qual"].append("*" if not q or q[0] == 0xFF else q.translate(_SHOWN).decode("latin-1"))
-            if "tags" in texts:
-                texts["tags"].append(_tags(data[qual + n_seq : end]))
-    return pa.record_batch([pa.array((columns | texts)[f.name], f.type) for f in schema], schema=schema)
+    made = [records.tags(f.type) if f.name == "tags" else _as_type(columns[f.name](), f.type) for f in schema]
+    return pa.record_batch(made, schema=schema)
+
+
+def _as_type(column: np.ndarray | pa.Array, kind: pa.DataType) -> pa.Array:
+    return column.cast(kind) if isinstance(column, pa.Array) else pa.array(column, kind)
 
 
 def places_of(data: bytes, starts: np.ndarray, places: np.ndarray, contigs: list[str], file_id: int, schema: pa.Schema) -> pa.RecordBatch:
     """(file_id, chr, begin, end_excl, v_begin, v_end): where records lie on contigs and in the file."""
-    fixed = _fixed(data, starts)
-    spans = []
-    for at, n_name, n_ops in zip(starts.tolist(), fixed["n_name"].tolist(), fixed["n_ops"].tolist(), strict=True):
-        ops = struct.unpack_from(f"<{n_ops}I", data, at + FIXED.itemsize + n_name)
-        spans.append(sum(x >> 4 for x in ops if OPS[x & 15] in "M=XDN"))
-    begin = fixed["pos"].astype(np.int64)
-    names = np.array([*contigs, "*"], object)
-    columns = [np.full(len(starts), file_id, np.int32), names[fixed["ref"]], begin, begin + np.maximum(spans, 1), places[:-1], places[1:]]
-    return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+    records = Records(data, starts)
+    begin, refs = records.fixed["pos"].astype(np.int64), records.fixed["ref"]
+    chr_ = pa.array([*contigs, "*"]).take(pa.array(np.where(refs < 0, len(contigs), refs)))
+    columns = [np.full(len(starts), file_id, np.int32), chr_, begin, begin + np.maximum(records.spans(), 1), places[:-1], places[1:]]
+    return pa.record_batch([_as_type(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 @dataclass

@@ -6,15 +6,19 @@ import glob
 import gzip
 import hashlib
 import io
+import json
 import os
 import random
+import struct
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, LessThan
 
 from readloom.operators import tiles
 from readloom.operators.ranges import Range
+from readloom.schema import LINE
 from readloom.sources import bam, fasta, sinks, text
 from tests.reads import fold
 from tests.reads.test_sources import HEADER, LINES
@@ -121,6 +125,53 @@ def test_index_reads_some_blocks(spark, big_bam):
         assert sorted(r.row_id for r in over.collect()) == [r.row_id for r in every if r.chr == c and r.pos < high and (r.pos >= low or r.pos - 1 + spans[r.row_id] >= low)]
 
 
+def _batch(rows: list[dict]) -> pa.RecordBatch:
+    tags = pa.list_(pa.struct([("pos", pa.int32()), ("tag", pa.string()), ("type", pa.string()), ("value", pa.string())]))
+    kinds = {"file_id": pa.int32(), "place": pa.int64(), "flag": pa.int32(), "pos": pa.int64(), "mapq": pa.int32(), "ploc": pa.int64(), "tlen": pa.int32(), "tags": tags}
+    names = ["file_id", "place", *LINE, "tags"]
+    return pa.RecordBatch.from_pylist(rows, pa.schema([(k, kinds.get(k, pa.string())) for k in names]))
+
+
+def test_no_search_to_the_end_for_a_long_record(tmp_path):
+    """What looks like a record of 500 MB in front of each first one does not have the rest of the file read."""
+    rng = random.Random(3)
+    fake = struct.pack("<iiiBBHHHiiii", 500 << 20, 0, 0, 2, 0, 4681, 0, 0, 0, -1, -1, 0) + b"x\0"
+    value = "C," + ",".join(map(str, fake * 3))
+    rows = [
+        {"file_id": 0, "place": i, "rname": f"r{i}", "chr": "c1", "pos": i + 1, "seq": "".join(rng.choices("ACGT", k=150)), "qual": "".join(chr(rng.randint(33, 126)) for _ in range(150)),
+         "tags": [{"pos": 0, "tag": "XB", "type": "B", "value": value}]}
+        for i in range(12_000)
+    ]
+    body = sinks._Bam(pa.OSFile(str(tmp_path / "a.bam"), "w"), "@SQ\tSN:c1\tLN:1000000\n")
+    body.head()
+    body.add(_batch(rows))
+    body.end()
+    body.tail()
+    body.sink.close()
+    size = os.path.getsize(tmp_path / "a.bam")
+    with open(tmp_path / "a.bam", "rb") as f:
+        blocks = bam.Blocks(f, size)
+        head = bam._after_header(blocks, _head_bytes(tmp_path / "a.bam"))
+        places = [int(p) for _, _, found in bam.located_records(blocks, head, size << 16) for p in found[:-1]]
+        assert len(places) == len(rows)
+        for offset in range(1 << 16, size - (1 << 17), size // 9):
+            own = bam.Blocks(f, size)
+            assert bam.first_record(own, offset, 1) == next(p for p in places if p >> 16 >= own.next_block(offset))
+            assert own.bytes_read < 1 << 19 < size / 3
+
+
+def test_parts_of_several_tasks_are_one_file(spark, tmp_path):
+    """A file of BAM is written by as many tasks as there are: the commit lays their blocks end to end."""
+    rows = [{"file_id": i // 300, "place": i, "rname": f"r{i}", "chr": "c1", "pos": i + 1, "cigar": "3M", "seq": "ACG", "qual": "III", "tags": []} for i in range(600)]
+    options = {"path": str(tmp_path / "out"), "single": "True", "headers": json.dumps({k: "@SQ\tSN:c1\tLN:1000\n" for k in "012"})}
+    writer = sinks._Writer("bam", options, False)
+    told = [writer.write(iter([_batch(rows[a : a + 90]), _batch(rows[a + 90 : a + 200])])) for a in (400, 0, 200)]
+    writer.commit(told)
+    assert sorted(os.listdir(tmp_path / "out")) == ["0.bam", "1.bam", "2.bam"]
+    back = bam.read_bam(spark, [str(tmp_path / "out" / f"{i}.bam") for i in range(3)]).orderBy("file_id", "row_id")
+    assert [(r.file_id, r.rname) for r in back.collect()] == [(i // 300, f"r{i}") for i in range(600)]
+
+
 def test_sinks_give_the_input(spark, tmp_path):
     for i, lines in enumerate((LINES, [x.replace("p1", "p2") for x in LINES] * 50)):
         (tmp_path / f"{i}.sam").write_text("\n".join([*HEADER, *lines]) + "\n")

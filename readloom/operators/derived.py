@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readloom.functions.alignment import md_tag, nm_tag, xd_from_md
+from readloom.functions.compared import compared
 from readloom.operators.pileup import with_reference, with_spans
 
 #: Tags that can be computed, with the type that they are computed in.
@@ -22,9 +22,9 @@ def with_derived(reads: DataFrame, chunks: DataFrame | None, keys: list[str]) ->
         placed = with_reference(placed, chunks, keys)
     seq = F.upper("seq")
     usable = (F.col("chr") != "*") & (F.col("cigar") != "*") & (F.col("seq") != "*")
-    md = md_tag(F.col("ops"), seq, F.col("ref"))
-    made = F.create_map(F.lit("MD"), md, F.lit("XD"), xd_from_md(md), F.lit("NM"), nm_tag(F.col("ops"), seq, F.col("ref")).cast("string"))
-    return placed.withColumn("derived", F.when(usable, made)).drop("ops", "ref", "ref_span", "end_excl")
+    tags = placed.withColumn("_tags", compared(F.when(usable, F.col("ops")), seq, F.col("ref")))
+    made = F.create_map(F.lit("MD"), F.col("_tags.md"), F.lit("XD"), F.col("_tags.xd"), F.lit("NM"), F.col("_tags.nm").cast("string"))
+    return tags.withColumn("derived", F.when(F.col("_tags").isNotNull(), made)).drop("_tags", "ops", "ref", "ref_span", "end_excl")
 
 
 def _same(tag: Column) -> Column:

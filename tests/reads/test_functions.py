@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from readloom.functions import alignment as A
+from readloom.functions import compared
 from readloom.functions import fields as X
 from readloom.operators import stats
 from tests.reads import fold
@@ -47,6 +48,26 @@ def random_alignments(n, seed=1):
     return out
 
 
+def test_compared_equals_the_column_functions(spark):
+    """MD, XD and NM of one pass over the bases, also of texts that are too short or too long, odd letters and long runs."""
+    rng = random.Random(4)
+    data = random_alignments(300, 6)
+    data += [(i, c, s[: rng.randint(0, len(s))] if i % 2 else s + "AC", r[: rng.randint(0, len(r))] if i % 3 else r + "GT") for i, c, s, r in random_alignments(200, 7)]
+    data += [(0, c, s, "".join(rng.choice([b, b, "1", "^", "=", "$"]) for b in r)) for _, c, s, r in random_alignments(100, 8)]
+    data += [(0, c, s.replace("A", "\xe9"), r.replace("C", "\xe9").replace("G", "\u6f22")) for _, c, s, r in random_alignments(50, 9)]
+    data += [(0, "1234M3D70M", "A" * 1304, "A" * 1233 + "C" + "GGT" + "A" * 69 + "C"), (0, "*", "", ""), (0, "5M", "", ""), (0, "3D", "ACG", "A"), (0, None, "A", "A"), (0, "1M", None, "A"), (0, "1M", "A", None)]
+    df = spark.createDataFrame(data, "i int, cigar string, seq string, ref string").withColumn("ops", A.parse_cigar(F.col("cigar"))).coalesce(2)
+    ops, seq, ref = (F.col(c) for c in ("ops", "seq", "ref"))
+    got = df.withColumn("made", compared.compared(ops, seq, ref)).withColumn("md", A.md_tag(ops, seq, ref)).withColumn("nm", A.nm_tag(ops, seq, ref)).withColumn("xd", A.xd_from_md(F.col("md")))
+    rows = got.collect()
+    assert len(rows) == len(data)
+    for r in rows:
+        if None in (r.cigar, r.seq, r.ref):
+            assert r.made is None
+        else:
+            assert (r.made.md, r.made.xd, r.made.nm) == (r.md, r.xd, r.nm), r
+
+
 def test_alignment_functions_equal_folds(spark):
     data = random_alignments(300)
     df = spark.createDataFrame(data, "i int, cigar string, seq string, ref string").withColumn("ops", A.parse_cigar(F.col("cigar")))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from readloom.functions.alignment import ALIGNED, ON_READ, ON_REFERENCE
 
 #: Bases that are compared at a time; a read may have more.
-BASES_AT_ONCE = 1 << 20
+BASES_AT_ONCE = 1 << 18
 TAGS = pa.struct([("md", pa.string()), ("xd", pa.string()), ("nm", pa.int64())])
 _MATCH, _GONE = ord("="), 0
 _TENS = 10 ** np.arange(18)
@@ -55,11 +55,13 @@ def _before(n: np.ndarray) -> np.ndarray:
     return np.cumsum(n) - n
 
 
-def _at(flat: np.ndarray, first: np.ndarray, n: np.ndarray, row: np.ndarray, k: np.ndarray, none: int) -> np.ndarray:
-    """The k-th character of a row's text, `none` behind its end."""
-    inside = k < n[row]
-    out = np.full(len(k), none, np.uint32)
-    out[inside] = flat[(first[row] + k)[inside]]
+def _taken(flat: np.ndarray, at: np.ndarray, size: np.ndarray, offset: np.ndarray, n: np.ndarray, none: int) -> np.ndarray:
+    """n characters from an offset on, of texts that begin at `at` and have a size, one stretch behind the other; `none` behind a text's end."""
+    held = np.clip(size - offset, 0, n)
+    if (held == n).all():
+        return flat[_spread(at + offset, n)]
+    out = np.full(int(n.sum()), none, flat.dtype)
+    out[_spread(_before(n), held)] = flat[_spread(at + np.minimum(offset, size), held)]
     return out
 
 
@@ -84,22 +86,24 @@ def _compare(ops: pa.Array, seq: pa.Array, ref: pa.Array) -> pa.Array:
     on_ref, on_read = passed(ON_REFERENCE), passed(ON_READ)
     aligned, gone = among(ALIGNED), among("D")
     n_events = np.where(aligned, length, np.where(gone, 1, 0))
-    event_at = _before(n_events)
-    events = np.zeros(int(n_events.sum()), np.uint32)  # `=`, the reference base, or _GONE for a deletion
-    n = np.where(aligned, length, 0)
-    k, own = np.arange(int(n.sum())) - np.repeat(_before(n), n), np.repeat(row, n)
-    there = _at(base, base_at, n_base, own, k + np.repeat(on_ref, n), ord("N"))
-    here = _at(read, read_at, n_read, own, k + np.repeat(on_read, n), 0)
-    events[_spread(event_at, n)] = np.where(there == here, _MATCH, there)
-    events[event_at[gone]] = _GONE
+    event_at, n = _before(n_events), np.where(aligned, length, 0)
+    there = _taken(base, base_at[row], n_base[row], on_ref, n, ord("N"))
+    here = _taken(read, read_at[row], n_read[row], on_read, n, 0)
+    matched = np.where(there == here, np.array(_MATCH, base.dtype), there)
+    if gone.any():
+        events = np.zeros(int(n_events.sum()), base.dtype)  # `=`, the reference base, or _GONE for a deletion
+        events[_spread(event_at, n)] = matched
+        events[event_at[gone]] = _GONE
+    else:
+        events = matched
     is_gone = np.zeros(len(events), bool)
     is_gone[event_at[gone]] = True
     # a token for each event that is no match, of the matches before it and what it is, and one for the matches at a row's end
     row_events = np.bincount(row, n_events, rows).astype(np.int64)
-    row_at, event_row = _before(row_events), np.repeat(np.arange(rows), row_events)
+    row_at = _before(row_events)
     at = np.flatnonzero((events != _MATCH) | is_gone)
-    at_row = event_row[at]
-    per_row = np.bincount(at_row, minlength=rows)
+    per_row = np.diff(np.searchsorted(at, np.append(row_at, len(events))))
+    at_row = np.repeat(np.arange(rows), per_row)
     last = np.concatenate([[-1], at])  # the event before each, of any row
     run = at - np.maximum(last[:-1] + 1, row_at[at_row])
     end_run = row_at + row_events - np.maximum(last[np.cumsum(per_row)] + 1, row_at)
@@ -110,34 +114,44 @@ def _compare(ops: pa.Array, seq: pa.Array, ref: pa.Array) -> pa.Array:
     lost_row = row[gone]
     lost = np.clip(n_base[lost_row] - on_ref[gone], 0, length[gone])
     lost_bases = base[_spread(base_at[lost_row] + np.minimum(on_ref[gone], n_base[lost_row]), lost)]
-    gone_token, other_token = token[is_gone[at]], token[~is_gone[at]]
+    gone_token, other_token, others = token[is_gone[at]], token[~is_gone[at]], events[at[~is_gone[at]]]
     odd = bool(len(base)) and bool((((base >= 48) & (base <= 57)) | (base == ord("^"))).any())
 
+    most, long_runs = int(runs.max(initial=0)), np.flatnonzero(runs > 9)
+
     def text(zeros: bool, close: bool) -> pa.Array:
-        digits = np.searchsorted(_TENS, runs, "right")
-        digits = np.where(runs == 0, int(zeros), digits)
-        width = digits.copy()
+        width = np.ones(len(runs), np.int64) if zeros else (runs > 0).astype(np.int64)
+        for least in _TENS[1:]:
+            if least > most:
+                break
+            width[long_runs] += runs[long_runs] >= least
+        shown = width > 0
+        digits = width.copy()
         width[other_token] += 1
         width[gone_token] += 1 + lost + int(close)
-        starts = _before(width)
-        out = np.zeros(int(width.sum()), np.uint32 if base.dtype == np.uint32 else np.uint8)
-        for place in range(int(digits.max(initial=0))):
-            has = digits > place
-            out[(starts + digits - 1 - place)[has]] = (runs[has] // _TENS[place]) % 10 + 48
-        behind = starts + digits
-        out[behind[other_token]] = events[at[~is_gone[at]]]
+        ends = np.cumsum(width)
+        behind = ends - width + digits
+        out = np.zeros(int(ends[-1]) if len(ends) else 0, base.dtype)
+        out[behind[shown] - 1] = runs[shown] % 10 + 48
+        at_digit, rest = behind[long_runs] - 2, runs[long_runs] // 10
+        while len(rest):
+            out[at_digit] = rest % 10 + 48
+            more = rest > 9
+            at_digit, rest = at_digit[more] - 1, rest[more] // 10
+        out[behind[other_token]] = others
         out[behind[gone_token]] = ord("^")
         out[_spread(behind[gone_token] + 1, lost)] = lost_bases
         if close:
             out[behind[gone_token] + 1 + lost] = ord("$")
-        chars = np.bincount(np.repeat(np.arange(rows), per_row + 1), width, rows).astype(np.int64)
-        ends = np.concatenate([[0], np.cumsum(chars)]).tolist()
-        whole = out.tobytes().decode("utf-32-le" if out.dtype == np.uint32 else "ascii")
-        return pa.array([whole[a:b] for a, b in zip(ends, ends[1:], strict=False)], pa.string())
+        cuts = [0, *ends[end_token].tolist()]
+        if out.dtype == np.uint32:
+            cuts, whole = [4 * c for c in cuts], out.tobytes()
+            return pa.array([whole[a:b].decode("utf-32-le") for a, b in zip(cuts, cuts[1:], strict=False)], pa.string())
+        return pa.StringArray.from_buffers(rows, pa.py_buffer(np.array(cuts, np.int32)), pa.py_buffer(out))
 
     md = text(True, False)
     xd = pa.array([_xd(m) for m in md.to_pylist()], pa.string()) if odd else text(False, True)
-    changed = np.bincount(at_row[~is_gone[at] & (events[at] != ord("^"))], minlength=rows)
+    changed = np.bincount(at_row[~is_gone[at]][others != ord("^")], minlength=rows)
     nm = changed + np.bincount(row, np.where(among("ID"), length, 0), rows).astype(np.int64)
     return pa.StructArray.from_arrays([md, xd, pa.array(nm.astype(np.int64))], fields=list(TAGS))
 

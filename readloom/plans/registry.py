@@ -13,7 +13,7 @@ from readloom.functions import alignment, fields
 from readloom.operators import buckets, columns, derived, mates, ordered, pileup, ranges, stats, tiles
 from readloom.plans.adapters import ORDER, C, L, M, Q, R, contigs, letters, mated, qualities, reads, table
 from readloom.sources import bam, fasta, sinks, store, tail, text
-from readloom.storage import shared_path
+from readloom.storage import materialize, shared_path
 from readloom.streaming import reads as streams
 from readloom.streaming import stateful
 
@@ -940,6 +940,7 @@ def _over_batches(df: DataFrame, number: str, n: int, make: Callable[[DataFrame]
 def q_stream_pending_mates(spark, sf_dir):
     """The mate fold over a stream whose names come in three micro-batches."""
     df = mated(spark, sf_dir).withColumns({"t": F.timestamp_seconds(F.col("row") * 60 + 86_400), "batch": F.least(F.floor((F.col("row") - 1) / 2), F.lit(2))})
+    df = materialize(df, "mated")
     pairs = _over_batches(df, "batch", 3, lambda stream: stateful.pending_mates(stream, ["oid"], "t", "10 days"), "pending-mates")
     return mates.both_sides(pairs, ["oid"])
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -16,7 +18,6 @@ from readloom.operators.pileup import CHUNK
 #: Seconds that a place is shifted by: watermarks begin at time 0.
 SHIFT = 86_400
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_READ = "row long, chr string, pos long, span long, pchr string, ploc long, tlen long"
 
 
 def keyed_state(spark: SparkSession) -> None:
@@ -26,66 +27,93 @@ def keyed_state(spark: SparkSession) -> None:
         spark.conf.set(name, ROCKS)
 
 
-def mate_offset(first: Row, second: Row) -> int | None:
-    """How far the first read's length is off the distance of two mates; None if they are none. See mates.matches."""
-    if None in (first.pos, first.span, first.tlen, first.ploc, second.pos, second.ploc, second.tlen):
-        return None
-    off = second.pos + first.span - first.pos - first.tlen
-    same = first.pchr == "=" or first.pchr is not None and first.pchr == first.chr
-    fits = second.tlen == -first.tlen and second.pos == first.ploc and second.ploc == first.pos and same and first.tlen >= 0
-    return off if fits and 0 <= off <= 1 else None
+#: Columns of a read that the fold looks at. `leads`: it can be a candidate; `follows`: it can match one.
+_FOLDED = ("row", "pos", "span", "ploc", "tlen", "leads", "follows", "at")
 
 
 class _Mates(StatefulProcessor):
-    """The candidate of a name: it stays while reads match it, and one that does not takes its place. A read that comes more than `keep`
-    milliseconds of event time after the last of its name does not meet the candidate, in whatever batch, so a timer can forget it."""
+    """The candidates of the names of a bucket: one stays while reads of its name match it, and one that does not takes its place. A read that
+    comes more than `keep` milliseconds of event time after the last of its name does not meet the candidate, in whatever batch, so what is older
+    than the watermark is left out when the bucket is next written, and a timer forgets the rest. State is one value a bucket, which crosses to
+    Python once a batch, not once a name."""
 
-    def __init__(self, names: list[str], keep: int):
-        self.names, self.keep = names, keep
+    def __init__(self, keys: list[str], keep: int):
+        self.keys, self.keep = keys, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.candidate = handle.getValueState("candidate", _READ)
-        self.until = handle.getValueState("until", "at long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        first = Row(*FIELDS)(*self.candidate.get()) if self.candidate.exists() else None
-        had = self.until.get()[0] if self.until.exists() else None
-        until = had
-        for r in sorted(rows, key=lambda r: r.row):
-            at = int(r.t.timestamp() * 1000)
-            off = mate_offset(first, r) if first is not None and at <= until else None
-            until = at + self.keep if until is None else max(until, at + self.keep)
-            if off is None:
-                first = Row(*FIELDS)(*(r[f] for f in FIELDS))
-            else:
-                yield Row(*self.names, "row", "mate", "off")(*key[:-1], r.row, first.row, off)
-        self.candidate.update(tuple(first))
-        if had is not None:
-            self.handle.deleteTimer(had)
-        self.until.update((until,))
-        self.handle.registerTimer(until)
+        self.held = handle.getValueState("held", "candidates binary, timer long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        names: dict[tuple, tuple] = {}
+        timer = None
+        if self.held.exists():
+            data, timer = self.held.get()
+            names = pickle.loads(bytes(data))
+        batch = pd.concat(list(rows), ignore_index=True).sort_values("row", kind="stable")
+        whose = zip(*(batch[k].tolist() for k in self.keys), strict=True)
+        found: list[tuple] = []
+        for name, row, pos, span, ploc, tlen, leads, follows, at in zip(whose, *(batch[f].tolist() for f in _FOLDED), strict=True):
+            first = names.get(name)
+            until = at + self.keep
+            if first is not None:
+                f_row, f_pos, f_span, f_ploc, f_tlen, f_leads, f_until = first
+                off = pos + f_span - f_pos - f_tlen
+                until = max(until, f_until)
+                if f_leads and follows and at <= f_until and tlen == -f_tlen and pos == f_ploc and ploc == f_pos and 0 <= off <= 1:
+                    found.append((*name[:-1], row, f_row, off))
+                    names[name] = (*first[:-1], until)
+                    continue
+            names[name] = (row, pos, span, ploc, tlen, leads, until)
+        watermark = timerValues.getCurrentWatermarkInMs()
+        names = {k: v for k, v in names.items() if v[-1] >= watermark}
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        if names:
+            timer = max(v[-1] for v in names.values()) + 1
+            self.held.update((pickle.dumps(names, pickle.HIGHEST_PROTOCOL), timer))
+            self.handle.registerTimer(timer)
+        else:
+            self.held.clear()
+        if found:
+            yield pd.DataFrame(found, columns=[*self.keys[:-1], "row", "mate", "off"])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.candidate.clear()
-        self.until.clear()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.held.clear()
         return iter(())
 
     def close(self) -> None:
         pass
 
 
-def pending_mates(stream: DataFrame, partition: list[str], time: str, keep: str = "10 minutes") -> DataFrame:
+def pending_mates(stream: DataFrame, partition: list[str], time: str, keep: str = "10 minutes", buckets: int = 1024) -> DataFrame:
     """(partition..., row, mate, off): each read that matches the candidate of its name, by the same fold as mates.pair_mates, as the
-    rows of a name come, batch by batch, in the order of `row`. State is one read a name; a read that comes more than `keep`
-    of event time after the last of its name does not meet it. mates.both_sides gives the states of both reads of a pair."""
+    rows of a name come, batch by batch, in the order of `row`. State is one read a name, kept in so many buckets of names, each one value; a
+    bucket's rows of a batch are held at a time, and its value is written anew in batches that have any. The number of buckets cannot change
+    while a stream goes on. A read that comes more than `keep` of event time after the last of its name does not meet it. mates.both_sides
+    gives the states of both reads of a pair."""
     keyed_state(stream.sparkSession)
     milliseconds = int(stream.sparkSession.sql(f"SELECT cast(interval {keep} AS interval day to second) AS i").first()["i"].total_seconds() * 1000)
     kinds = dict(stream.dtypes)
-    timed = stream.select(*partition, "rname", *(F.col(f).cast("string" if f in ("chr", "pchr") else "long").alias(f) for f in FIELDS), F.col(time).cast("timestamp").alias("t"))
-    schema = ", ".join(f"{p} {kinds[p]}" for p in partition) + ", row long, mate long, off long"
-    grouped = timed.withWatermark("t", "0 seconds").groupBy(*partition, "rname")
-    return grouped.transformWithState(_Mates(partition, milliseconds), schema.lstrip(", "), "Append", "EventTime")
+    # numbers cross to Python without nulls: what a null forbids is told by flags; names and their parts cross as text
+    given = {f: F.col(f).cast("string" if f in ("chr", "pchr") else "long") for f in FIELDS}
+    lacks = lambda *names: F.greatest(*(given[f].isNull() for f in names))
+    same = F.coalesce((given["pchr"] == "=") | (given["pchr"] == given["chr"]), F.lit(False))
+    keys = [f"key{i}" for i in range(len(partition) + 1)]
+    at = F.col(time).cast("timestamp")
+    timed = stream.select(
+        *(F.col(p).cast("string").alias(k) for p, k in zip([*partition, "rname"], keys, strict=True)),
+        given["row"].alias("row"),
+        *(F.coalesce(given[f], F.lit(0)).alias(f) for f in ("pos", "span", "ploc", "tlen")),
+        (same & ~lacks("row", "pos", "span", "ploc", "tlen") & (F.coalesce(given["tlen"], F.lit(-1)) >= 0)).alias("leads"),
+        (~lacks("pos", "ploc", "tlen")).alias("follows"),
+        F.unix_millis(at).alias("at"),
+        at.alias("t"),
+        F.pmod(F.xxhash64(*partition, "rname"), F.lit(buckets)).cast("int").alias("bucket"),
+    )
+    schema = ", ".join([*(f"{k} string" for k in keys[:-1]), "row long, mate long, off long"])
+    pairs = timed.withWatermark("t", "0 seconds").groupBy("bucket").transformWithStateInPandas(_Mates(keys, milliseconds), schema, "Append", "EventTime")
+    return pairs.select(*(F.col(k).cast(kinds[p]).alias(p) for p, k in zip(partition, keys[:-1], strict=True)), "row", "mate", "off")
 
 
 class _Tiles(StatefulProcessor):

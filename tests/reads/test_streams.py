@@ -54,6 +54,24 @@ def test_old_candidates_are_forgotten(spark, tmp_path):
     assert [tuple(r) for r in pairs.collect()] == [(3, 1, 0)]
 
 
+def test_pending_mates_cross_by_bucket(spark, tmp_path):
+    """Names with nulls, parts of other kinds and large numbers share a bucket, whose state is one value, not one a name."""
+    rng, big = random.Random(11), (1 << 53) + 1
+    rows = []
+    for row in range(300):
+        second = rng.random() < 0.5
+        pos, ploc, tlen = (big + 10, big, -15) if second else (big, big + 10, 15)
+        values = [rng.choice([None, "a", "b"]), big + row, rng.choice(["c1", None]), pos, 5, rng.choice(["=", "c1", None]), ploc, tlen]
+        if rng.random() < 0.2:
+            values[rng.choice([3, 4, 6, 7])] = None
+        rows.append((rng.choice([None, 1, big]), *values, row // 100))
+    df = spark.createDataFrame(rows, "part long, " + MATED).withColumn("t", F.timestamp_seconds(F.col("minute") * 60 + 86_400))
+    stream = batches(spark, str(tmp_path / "in"), [df.where(F.col("minute") == k) for k in range(3)])
+    pairs = drained(stateful.pending_mates(stream, ["part"], "t", "1 day", buckets=2), str(tmp_path / "out"))
+    want = {tuple(r) for r in mates.pair_mates(df, ["part"], few=1000).collect()}
+    assert {tuple(r) for r in mates.both_sides(pairs, ["part"]).collect()} == want and len(want) > 20
+
+
 def test_settled_tiles(spark, tmp_path):
     """Tiles come once, whole, when a read begins behind them; what reads can still reach stays state."""
     rng = random.Random(3)
